@@ -1,0 +1 @@
+"""Intentionally empty: the workload is batch only, there is no streaming operator to offer."""
