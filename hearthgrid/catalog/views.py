@@ -45,11 +45,20 @@ def slot_time():
     return F.expr(FIRST_HOUR) + F.make_dt_interval(F.lit(0), F.col("slot").cast("int"))
 
 
+def _mean(c: str, unit: int = 1, scale: int = 1):
+    """Mean of a column with ``unit`` steps per 1, divided by ``scale``.
+
+    The sum runs over whole numbers, so it does not depend on the order of the rows.
+    """
+    total = F.sum(F.round(F.col(c) * unit).cast("bigint"))
+    return total.cast("double") / (F.count(F.lit(1)) * scale).cast("double")
+
+
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "orders")
         .groupBy((F.col("o_orderkey") % SLOTS).alias("slot"))
-        .agg(F.round(F.avg("o_totalprice") / 1000, 6).alias("price"))
+        .agg(_mean("o_totalprice", 100, 100_000).alias("price"))
         .select(slot_time().alias("ts"), "price")
     )
 
@@ -61,11 +70,11 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "lineitem")
         .groupBy((F.col("l_orderkey") % SLOTS).alias("slot"))
         .agg(
-            F.round(F.avg("l_quantity"), 6).alias("temp"),
-            F.round(F.avg("l_discount") * 100, 6).alias("dwpt"),
-            F.round(F.avg("l_tax") * 1000, 6).alias("rhum"),
-            F.round(F.avg("l_extendedprice") / 100, 6).alias("wdir"),
-            F.round(F.avg("l_linenumber"), 6).alias("wspd"),
+            _mean("l_quantity").alias("temp"),
+            _mean("l_discount", 100).alias("dwpt"),
+            _mean("l_tax", 1000).alias("rhum"),
+            _mean("l_extendedprice", 100, 10_000).alias("wdir"),
+            _mean("l_linenumber").alias("wspd"),
         )
         .select(
             slot_time().alias("ts"),

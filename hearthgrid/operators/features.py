@@ -112,3 +112,25 @@ def threshold_profile(
 def group_mean(df: DataFrame, by: list[Column], columns: list[str]) -> DataFrame:
     """AGG-1."""
     return df.groupBy(*by).agg(*[F.avg(c).alias(c) for c in columns])
+
+
+def uses_per_day(load: DataFrame) -> DataFrame:
+    """Hours in use per device and day, for days with any use (AGG-6)."""
+    return (
+        load.where(F.col("load") > 0)
+        .groupBy("household_id", "device", F.to_date("ts").alias("day"))
+        .agg(F.count(F.lit(1)).alias("uses"))
+    )
+
+
+def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Pearson correlation of every column pair, in one aggregate: ``a, b, corr`` (AGG-7)."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
+    one = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    rows = F.array(
+        *[
+            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{i}`").alias("corr"))
+            for i, (a, b) in enumerate(pairs)
+        ]
+    )
+    return one.select(F.explode(rows).alias("p")).select("p.*")
