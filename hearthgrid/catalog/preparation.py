@@ -316,7 +316,7 @@ def _impute_sql() -> str:
         f" GROUP BY ts, name"
     )
     picks = ", ".join(
-        f"round(coalesce(any_value(w.{c}), max(f.v) FILTER (WHERE f.name = '{c}')), 6) AS {c}"
+        f"round(coalesce(any_value(w.{c}), max(f.v) FILTER (WHERE f.name = '{c}')), 9) AS {c}"
         for c in cols
     )
     return f"SELECT w.ts, {picks} FROM weather w LEFT JOIN ({fills}) f ON w.ts = f.ts GROUP BY w.ts"
@@ -324,7 +324,7 @@ def _impute_sql() -> str:
 
 @query("cln4_knn_impute", _impute_sql())
 def cln4_knn_impute(spark, d):
-    return rounded(knn_impute(V.weather(spark, d), "ts", WEATHER))
+    return rounded(knn_impute(V.weather(spark, d), "ts", WEATHER), 9)
 
 
 def _households_weather(spark, d):
