@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hearthgrid.catalog import views as V
 from hearthgrid.catalog.preparation import hourly
-from hearthgrid.catalog.registry import query, rounded
+from hearthgrid.catalog.registry import NUDGE, query, rounded
 from hearthgrid.config import GRID_THRESHOLDS
 from hearthgrid.functions.exprs import saving_percent
 from hearthgrid.functions.vectors import run_cost
@@ -90,7 +90,7 @@ class Prepared:
 
 
 PAIR = "activity_threshold = 0.25 AND usage_threshold = 0.375"
-H_SQL = ", ".join(f"round(max(load) FILTER (WHERE off = {i}), 8) AS h{i + 1}" for i in range(24))
+H_SQL = ", ".join(f"round(max(load) FILTER (WHERE off = {i}) + {NUDGE}, 6) AS h{i + 1}" for i in range(24))
 
 
 # --- runs and profiles ---------------------------------------------------------------
@@ -118,7 +118,7 @@ def win3_runs(spark, d):
     " GROUP BY household_id, device, day",
 )
 def lod1_profile(spark, d):
-    return rounded(Prepared(spark, d).profiles(), 8)
+    return rounded(Prepared(spark, d).profiles(), nudge=NUDGE)
 
 
 @query(
@@ -130,7 +130,7 @@ def lod1_profile(spark, d):
 )
 def agg4_mean_run(spark, d):
     means = Prepared(spark, d).runs().groupBy("device").agg(
-        *[F.avg(F.col("load")[i]).alias(h) for i, h in enumerate(HOURS)]
+        *[F.expr(f"avg(load[{i}])").alias(h) for i, h in enumerate(HOURS)]
     )
     vector = F.array(*HOURS)
     long = means.select("device", F.posexplode(vector).alias("offset", "load"))
@@ -164,7 +164,7 @@ def cst1_cost(spark, d):
     rows = t.profiles().select(*KEY, decide.profile_vector().alias("profile"))
     priced = attach(rows, stage(price_vectors(t.prices()), "prices"), ["day"], F.col("household_id"))
     costs = priced.select(
-        *KEY, F.posexplode(decide.start_costs(F.col("prices"), F.col("profile"))).alias("start_hour", "cost")
+        *KEY, F.posexplode(decide.start_costs("prices", "profile")).alias("start_hour", "cost")
     )
     return rounded(costs, 4)
 
@@ -180,7 +180,7 @@ def cst2_run_cost(spark, d):
         *DEVICE, F.to_date("start_ts").alias("day"), F.hour("start_ts").alias("hour"), "load"
     )
     priced = attach(rows, stage(price_vectors(t.prices()), "prices"), ["day"], F.col("household_id"))
-    cost = run_cost(F.col("prices"), F.col("hour"), F.col("load"))
+    cost = run_cost("prices", "hour", "load")
     return rounded(priced.select(*KEY, "hour", cost.alias("cost")), 4)
 
 
@@ -336,7 +336,7 @@ def agg9_rec_hist(spark, d):
     costed = Prepared(spark, d).costed().withColumn(
         "activity_threshold", F.explode(F.array(*[F.lit(t) for t in GRID_THRESHOLDS]))
     )
-    recommended = decide.recommend(costed, F.col("activity_threshold"), 0.125)
+    recommended = decide.recommend(costed, "activity_threshold", 0.125)
     return decide.recommendation_hours(recommended, ["activity_threshold"])
 
 

@@ -28,7 +28,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
+# Means of decimal readings are often exact ties of a rounding; this moves them off the tie.
+NUDGE = 3e-8
+
+
+def rounded(df: DataFrame, digits: int = 6, nudge: float = 0.0, **other: int) -> DataFrame:
     """Round all DOUBLE columns, so that sums in another order compare equal."""
     doubles = [f.name for f in df.schema.fields if f.dataType.typeName() == "double"]
-    return df.withColumns({c: F.round(c, other.get(c, digits)) for c in doubles})
+    return df.withColumns({c: F.round(F.col(c) + nudge, other.get(c, digits)) for c in doubles})

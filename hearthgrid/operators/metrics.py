@@ -43,10 +43,8 @@ def load_mse(run_table: DataFrame, profiles: DataFrame) -> DataFrame:
     """
     on_day = run_table.withColumn("day", F.to_date("start_ts"))
     pairs = on_day.join(profiles.select(*DEVICE, "day", *HOURS), [*DEVICE, "day"], "left")
-    error = sum(
-        ((F.col("load")[i] - F.coalesce(F.col(h), F.lit(0.0))) ** 2 for i, h in enumerate(HOURS)),
-        F.lit(0.0),
-    ) / len(HOURS)
+    squares = " + ".join(f"pow(load[{i}] - coalesce({h}, 0D), 2)" for i, h in enumerate(HOURS))
+    error = F.expr(f"({squares}) / {len(HOURS)}")
     return pairs.groupBy(*DEVICE).agg(F.avg(error).alias("mse"), F.count(F.lit(1)).alias("n_runs"))
 
 
@@ -56,10 +54,10 @@ def profile_distance(profiles: DataFrame) -> DataFrame:
         F.max_by(F.struct(*HOURS), F.col("day")).alias("_last")
     )
     rows = profiles.join(last, DEVICE)
-    diff = sum(((F.col(h) - F.col(f"_last.{h}")) ** 2 for h in HOURS), F.lit(0.0))
-    size = sum((F.col(f"_last.{h}") ** 2 for h in HOURS), F.lit(0.0))
-    return rows.select(
-        *DEVICE, "day", (F.sqrt(diff) / F.nullif(F.sqrt(size), F.lit(0.0))).alias("distance")
+    diff = " + ".join(f"pow({h} - _last.{h}, 2)" for h in HOURS)
+    size = " + ".join(f"pow(_last.{h}, 2)" for h in HOURS)
+    return rows.selectExpr(
+        *DEVICE, "day", f"sqrt({diff}) / nullif(sqrt({size}), 0D) AS distance"
     )
 
 

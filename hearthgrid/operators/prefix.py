@@ -17,7 +17,8 @@ def running_totals(
     chunks come from a second, much smaller table with one row per key and chunk, so no
     task ever sees a whole key.
     """
-    chunked = df.withColumn("_chunk", chunk)
+    # one exchange serves the window inside the chunks and the totals of the chunks
+    chunked = df.withColumn("_chunk", chunk).repartition(*keys, "_chunk")
     inside = (
         Window.partitionBy(*keys, "_chunk")
         .orderBy(order)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hearthgrid.config import PRICE_HOURS, PROFILE_HOURS
 from hearthgrid.functions.times import at_hour
+from hearthgrid.functions.vectors import hour_vector
 
 
 def price_vectors(prices: DataFrame) -> DataFrame:
@@ -29,9 +30,7 @@ def price_vectors(prices: DataFrame) -> DataFrame:
         served.groupBy(F.col("_s.day").alias("day"))
         .agg(
             F.count("price").alias("_n"),
-            F.array(
-                *[F.max(F.when(F.col("_s.slot") == i, F.col("price"))) for i in range(PRICE_HOURS)]
-            ).alias("prices"),
+            hour_vector("_s.slot", "price", PRICE_HOURS).alias("prices"),
         )
         .where(F.col("_n") == PRICE_HOURS)
         .drop("_n")
@@ -50,13 +49,8 @@ def price_matrix(prices: DataFrame) -> DataFrame:
     v = price_vectors(prices).withColumn(
         "hour", F.explode(F.sequence(F.lit(0), F.lit(PROFILE_HOURS - 1)))
     )
-    return v.select(
-        "day",
-        "hour",
-        *[
-            F.get("prices", F.col("hour") + i).alias(f"price_at_h_{i}")
-            for i in range(PROFILE_HOURS)
-        ],
+    return v.selectExpr(
+        "day", "hour", *[f"get(prices, hour + {i}) AS price_at_h_{i}" for i in range(PROFILE_HOURS)]
     )
 
 

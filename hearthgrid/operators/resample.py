@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthgrid.functions.times import bin_range, bin_start
@@ -21,16 +21,44 @@ def densify(
     ``binned`` has one row per key and bin. All members (``keys``) of one span group
     share its span. Missing bins carry NULL, or 0 for the columns named in ``zero``.
     """
-    members = binned.groupBy(*keys).agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
-    span = Window.partitionBy(*span_keys)
-    spans = members.select(
-        *keys, F.min("_lo").over(span).alias("_lo"), F.max("_hi").over(span).alias("_hi")
-    )
-    grid = spans.select(*keys, F.explode(bin_range(F.col("_lo"), F.col("_hi"), unit)).alias(ts))
+    grid = span_grid(binned, keys, span_keys, unit, ts)
     out = grid.join(binned, [*keys, ts], "left")
     return out.fillna(0.0, zero) if zero else out
 
 
+def span_grid(
+    binned: DataFrame,
+    keys: list[str],
+    span_keys: list[str],
+    unit: str,
+    ts: str,
+    limits: dict[str, Column] | None = None,
+) -> DataFrame:
+    """All keys and bins of the grid; ``limits`` are further aggregates per key to keep.
+
+    Members of a span group (the appliances of a household) are few, so they fit in a list.
+    """
+    kept = dict(limits or {})
+    members = binned.groupBy(*keys).agg(
+        F.min(ts).alias("_lo"), F.max(ts).alias("_hi"), *[v.alias(c) for c, v in kept.items()]
+    )
+    others = [k for k in keys if k not in span_keys]
+    if others:
+        members = (
+            members.groupBy(*span_keys)
+            .agg(
+                F.min("_lo").alias("_lo"),
+                F.max("_hi").alias("_hi"),
+                F.collect_list(F.struct(*others, *kept)).alias("_members"),
+            )
+            .select(*span_keys, "_lo", "_hi", F.explode("_members").alias("_m"))
+            .select(*span_keys, "_lo", "_hi", "_m.*")
+        )
+    return members.select(
+        *keys, *kept, F.explode(bin_range(F.col("_lo"), F.col("_hi"), unit)).alias(ts)
+    )
+
+
 def bin_mean(
     df: DataFrame, keys: list[str], values: list[str], unit: str = "hour", ts: str = "ts"
 ) -> DataFrame:

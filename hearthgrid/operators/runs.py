@@ -65,35 +65,23 @@ def runs(load: DataFrame, truncate_first_run: bool = True) -> DataFrame:
     ``truncate_first_run`` a run already on in the first row keeps only its first hour.
     """
     w = Window.partitionBy(*DEVICE).orderBy("ts")
-    known = F.coalesce(F.col("load"), F.lit(0.0))
     ahead = load.select(
         *DEVICE,
-        "ts",
+        F.col("ts").alias("start_ts"),
         "load",
         F.lag("load", 1, 0.0).over(w).alias("_before"),
-        (F.row_number().over(w) == 1).alias("_first"),
-        F.collect_list(known).over(w.rowsBetween(0, PROFILE_HOURS - 1)).alias("_next"),
-    ).where((F.col("_before") == 0) & (F.col("load") > 0))
-    stop = F.array_position(F.transform("_next", lambda x: x > 0), False)
-    length = F.when(stop > 0, stop - 1).otherwise(F.size("_next")).cast("int")
+        F.row_number().over(w).alias("_row"),
+        F.collect_list(F.expr("coalesce(load, 0D)"))
+        .over(w.rowsBetween(0, PROFILE_HOURS - 1))
+        .alias("_next"),
+    ).where("_before = 0 AND load > 0")
+    length = "coalesce(nullif(array_position(transform(_next, x -> x > 0), false), 0) - 1, size(_next))"
     if truncate_first_run:
-        length = F.when(F.col("_first"), F.lit(1)).otherwise(length)
-    return ahead.select(
-        *DEVICE,
-        F.col("ts").alias("start_ts"),
-        length.alias("run_hours"),
-        F.col("_next"),
-    ).select(
-        *DEVICE,
-        "start_ts",
-        "run_hours",
-        F.array(
-            *[
-                F.when(F.col("run_hours") > i, F.get("_next", F.lit(i))).otherwise(F.lit(0.0))
-                for i in range(PROFILE_HOURS)
-            ]
-        ).alias("load"),
-    )
+        length = f"CASE WHEN _row = 1 THEN 1 ELSE {length} END"
+    hour = f"transform(sequence(0, {PROFILE_HOURS - 1}), i -> IF(i < run_hours, get(_next, i), 0D))"
+    return ahead.selectExpr(
+        *DEVICE, "start_ts", f"CAST({length} AS INT) AS run_hours", "_next"
+    ).selectExpr(*DEVICE, "start_ts", "run_hours", f"{hour} AS load")
 
 
 def run_elements(run_table: DataFrame) -> DataFrame:
@@ -115,8 +103,7 @@ def load_profiles(load: DataFrame, truncate_first_run: bool = True) -> DataFrame
     """
     whole = drop_partial_first_day(load)
     run_table = runs(whole, truncate_first_run)
-    hour = F.hour("start_ts")
-    day = F.to_date("start_ts")
+    hour, day = F.hour("start_ts"), F.to_date("start_ts")
     pieces = F.array(
         F.struct(day.alias("day"), F.lit(1).alias("n"), F.lit(0).alias("shift")),
         F.struct(F.date_add(day, 1).alias("day"), F.lit(0).alias("n"), F.lit(1).alias("shift")),
@@ -125,12 +112,13 @@ def load_profiles(load: DataFrame, truncate_first_run: bool = True) -> DataFrame
     split = run_table.select(
         *DEVICE, "load", "run_hours", hour.alias("_hour"), F.explode(pieces).alias("_p")
     ).where((F.col("_p.shift") == 0) | (F.col("_hour") + F.col("run_hours") > PROFILE_HOURS))
-    in_piece = lambda i: (F.col("_hour") + i >= PROFILE_HOURS).cast("int") == F.col("_p.shift")
     per_day = split.groupBy(*DEVICE, F.col("_p.day").alias("day")).agg(
         F.sum("_p.n").alias("n"),
         *[
-            F.sum(F.when(in_piece(i), F.col("load")[i]).otherwise(F.lit(0.0))).alias(HOURS[i])
-            for i in range(PROFILE_HOURS)
+            F.expr(
+                f"sum(IF(CAST(_hour + {i} >= {PROFILE_HOURS} AS INT) = _p.shift, load[{i}], 0D))"
+            ).alias(h)
+            for i, h in enumerate(HOURS)
         ],
     )
     days = whole.select(*DEVICE, F.to_date("ts").alias("day")).distinct()
@@ -140,18 +128,9 @@ def load_profiles(load: DataFrame, truncate_first_run: bool = True) -> DataFrame
     totals = dense.select(
         *DEVICE, "day", n.alias("n_runs"), *[F.sum(h).over(earlier).alias(h) for h in HOURS]
     )
-    return totals.select(
-        *DEVICE,
-        "day",
-        "n_runs",
-        *[
-            F.when(F.col("n_runs") > 0, F.coalesce(F.col(h), F.lit(0.0)) / F.col("n_runs"))
-            .otherwise(F.lit(0.0))
-            .alias(h)
-            for h in HOURS
-        ],
-    )
+    mean = "coalesce(CASE WHEN n_runs > 0 THEN {h} / n_runs END, 0D) AS {h}"
+    return totals.selectExpr(*DEVICE, "day", "n_runs", *[mean.format(h=h) for h in HOURS])
 
 
 def profile_vector() -> Column:
-    return F.array(*[F.col(h) for h in HOURS])
+    return F.array(*HOURS)

@@ -8,7 +8,7 @@ shuffles are the joins on (household, device, day) that build the row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthgrid.config import GRID_THRESHOLDS
@@ -54,7 +54,7 @@ def usage_frequency(usage: DataFrame) -> DataFrame:
 def hour_probabilities(p_activity: DataFrame) -> DataFrame:
     """``household_id, day, p_activity``: probabilities of a day as a 24-vector."""
     return p_activity.groupBy("household_id", "day").agg(
-        hour_vector(F.col("hour"), F.col("p")).alias("p_activity")
+        hour_vector("hour", "p").alias("p_activity")
     )
 
 
@@ -92,40 +92,37 @@ def input_errors(inputs: DataFrame) -> DataFrame:
 def with_costs(inputs: DataFrame) -> DataFrame:
     """Cost of the typical run per start hour, for complete rows (CST-1)."""
     return inputs.where(F.col("reason").isNull()).withColumn(
-        "costs", start_costs(F.col("prices"), F.col("profile"))
+        "costs", start_costs("prices", "profile")
     )
 
 
 def recommend(
-    costed: DataFrame, activity_threshold: Column | float, usage_threshold: Column | float
+    costed: DataFrame, activity_threshold: str | float, usage_threshold: str | float
 ) -> DataFrame:
     """Cheapest start among the hours likely to be active (REC-1, REC-2, REC-3).
 
+    The thresholds are numbers or the names of columns that hold them.
+
     When no hour reaches the activity threshold the launch hour is 0 and the activity
     flag is set; a usage probability below its threshold sets the usage flag. Either
     flag makes ``recommendation`` NULL.
     """
-    thr = activity_threshold if isinstance(activity_threshold, Column) else F.lit(activity_threshold)
-    best = cheapest_hour(F.col("costs"), lambda h: F.get("p_activity", h) >= thr)
-    out = costed.withColumn("_best", best)
-    flag_a = F.col("_best").isNull().cast("int")
-    flag_u = (F.col("p_usage") < usage_threshold).cast("int")
+    best = cheapest_hour("costs", "p_activity", str(activity_threshold))
     return (
-        out.withColumns(
-            {
-                "best_launch_hour": F.coalesce(F.col("_best.hour"), F.lit(0)),
-                "no_recommend_flag_activity": flag_a,
-                "no_recommend_flag_usage": flag_u,
-            }
+        costed.withColumn("_best", best)
+        .selectExpr(
+            *costed.columns,
+            "coalesce(_best.hour, 0) AS best_launch_hour",
+            "CAST(_best IS NULL AS INT) AS no_recommend_flag_activity",
+            f"CAST(p_usage < {usage_threshold} AS INT) AS no_recommend_flag_usage",
         )
         .withColumn(
             "recommendation",
-            F.when(
-                (F.col("no_recommend_flag_activity") == 0) & (F.col("no_recommend_flag_usage") == 0),
-                F.col("best_launch_hour"),
+            F.expr(
+                "CASE WHEN no_recommend_flag_activity = 0 AND no_recommend_flag_usage = 0"
+                " THEN best_launch_hour END"
             ),
         )
-        .drop("_best")
     )
 
 
@@ -178,7 +175,7 @@ def with_truth(
 ) -> DataFrame:
     """Add what really happened: use of the device, activity per hour, runs (JN-4, JN-7)."""
     active = activity.groupBy("household_id", F.to_date("ts").alias("day")).agg(
-        hour_vector(F.hour("ts"), F.col("activity")).alias("activity_true")
+        hour_vector("hour(ts)", "activity").alias("activity_true")
     )
     return (
         inputs.join(usage.select(*KEY, F.col("usage").alias("usage_true")), KEY, "left")
@@ -189,31 +186,28 @@ def with_truth(
 
 def evaluate(recommended: DataFrame) -> DataFrame:
     """Acceptance, costs and savings of each recommendation (EVL-1..4, JN-6)."""
-    rec = F.col("recommendation")
     out = recommended.withColumns(
         {
-            "acceptable": F.col("usage_true") * F.get("activity_true", rec),
-            "_run": nearest_start(F.col("starts"), rec),
+            "acceptable": F.expr("usage_true * get(activity_true, recommendation)"),
+            "_run": nearest_start("starts", "recommendation"),
         }
     )
-    run_hour, load = F.col("_run.hour"), F.col("_run.load")
-    no_load = F.array_repeat(F.lit(0.0), 24)
+    # a day without a run has no start; its load is zero, and so is the cost of moving it
     out = out.withColumns(
         {
-            "relevant_start": run_hour,
-            "cost_no_recommendation": F.when(
-                run_hour.isNotNull(), run_cost(F.col("prices"), run_hour, load)
-            ),
+            "relevant_start": F.col("_run.hour"),
+            "cost_no_recommendation": run_cost("prices", "_run.hour", "_run.load"),
             "cost_recommendation": F.when(
-                rec.isNotNull(), run_cost(F.col("prices"), rec, F.coalesce(load, no_load))
+                F.col("recommendation").isNotNull(),
+                F.coalesce(run_cost("prices", "recommendation", "_run.load"), F.lit(0.0)),
             ),
         }
     )
-    savings = F.col("cost_no_recommendation") - F.col("cost_recommendation")
+    savings = "cost_no_recommendation - cost_recommendation"
     return out.withColumns(
         {
-            "savings": savings,
-            "relative_savings": savings / F.nullif(F.col("cost_no_recommendation"), F.lit(0.0)),
+            "savings": F.expr(savings),
+            "relative_savings": F.expr(f"({savings}) / nullif(cost_no_recommendation, 0D)"),
         }
     ).drop("_run")
 
@@ -253,7 +247,7 @@ def threshold_grid(
     lits = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
     per_activity = recommend(
         costed_with_truth.withColumn("activity_threshold", F.explode(lits(activity_thresholds))),
-        F.col("activity_threshold"),
+        "activity_threshold",
         0.0,
     )
     scored = evaluate(per_activity).select(

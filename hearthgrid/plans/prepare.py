@@ -15,7 +15,7 @@ from hearthgrid.operators.features import (
     add_lags,
     add_periods_since,
 )
-from hearthgrid.operators.resample import densify
+from hearthgrid.operators.resample import span_grid
 from hearthgrid.operators.runs import device_load
 from hearthgrid.session import attach, stage
 
@@ -43,9 +43,10 @@ def hourly_readings(readings: DataFrame, factor: float = 1.5, fill: str = "null"
         F.min("watts").alias("_min"),
         F.max("watts").alias("_max"),
     )
-    whole = Window.partitionBy(*METER)
-    dense = densify(hours, METER, ["household_id"])
-    scaled = minmax(F.col("watts"), F.min("_min").over(whole), F.max("_max").over(whole))
+    limits = {"_lowest": F.min("_min"), "_highest": F.max("_max")}
+    grid = span_grid(hours, METER, ["household_id"], "hour", "ts", limits)
+    dense = grid.join(hours.select(*METER, "ts", "watts"), [*METER, "ts"], "left")
+    scaled = minmax(F.col("watts"), F.col("_lowest"), F.col("_highest"))
     out = dense.select(*METER, "ts", "watts", scaled.alias("scaled"))
     return out.fillna(0.0, ["watts", "scaled"]) if fill == "zero" else out
 

@@ -31,7 +31,7 @@ def read_meter_csv(spark: SparkSession, paths: str | list[str], issues: bool = F
         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
         .csv(paths)
     )
-    house = F.regexp_extract(F.col("_metadata.file_name"), HOUSE_FILE, 1).cast("int")
+    house = F.regexp_extract(F.col("_metadata.file_path"), HOUSE_FILE, 1).cast("int")
     return raw.select(
         house.alias("household_id"),
         F.col("Time").alias("ts"),
