@@ -41,7 +41,7 @@ def read_meter_csv(spark: SparkSession, paths: str | list[str], issues: bool = F
 
 def read_appliance_labels(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Appliance dictionary from readme texts: ``household_id, slot, appliance`` (SRC-2)."""
-    texts = spark.read.option("wholetext", True).text(paths)
+    texts = spark.read.text(paths, wholetext=True)
     return parse_appliance_labels(texts, "value")
 
 
