@@ -319,7 +319,7 @@ def agg8_sensitivity(spark, d):
     f"SELECT household_id, activity_threshold, usage_threshold, {SUMMARY_SQL},"
     " 'activity: ' || CAST(activity_threshold AS VARCHAR) || '; usage: ' ||"
     " CAST(usage_threshold AS VARCHAR) AS threshold_key FROM summary"
-    " QUALIFY row_number() OVER (PARTITION BY household_id ORDER BY total_savings DESC NULLS LAST,"
+    " QUALIFY row_number() OVER (PARTITION BY household_id ORDER BY round(total_savings, 6) DESC NULLS LAST,"
     " activity_threshold DESC, usage_threshold DESC) = 1",
 )
 def evl8_optimal(spark, d):

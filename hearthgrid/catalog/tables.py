@@ -20,7 +20,7 @@ from hearthgrid.operators.prefix import weighted_quantiles
 from hearthgrid.operators.runs import DEVICE, HOURS
 from hearthgrid.plans import decide, prepare
 from hearthgrid.plans.dates import before_date
-from hearthgrid.session import staging_dir
+from hearthgrid.session import stage, staging_dir
 from hearthgrid.sources import meter, tables
 
 # Slot of each appliance in the meter files written by the queries below.
@@ -113,6 +113,74 @@ def flt5_usage_projection(spark, d):
     return rounded(known.select(*KEY, *USAGE_COLUMNS), 8)
 
 
+_SETTINGS_SQL = (
+    "(SELECT household_id, 0.3 + 0.1 * (household_id % 3) AS thr, CASE WHEN household_id % 2 = 0"
+    " THEN ['Kettle', 'Dishwasher'] ELSE ['Television', 'Kettle', 'Tumble Dryer'] END AS act,"
+    " CASE WHEN household_id % 2 = 0 THEN ['Dishwasher'] ELSE ['Washing Machine', 'Tumble Dryer'] END AS dev"
+    " FROM (SELECT DISTINCT household_id FROM readings))"
+)
+
+
+def household_settings(spark, d):
+    """Configuration documents with other devices and thresholds for odd and even households."""
+    house = V.readings(spark, d).select("household_id").distinct()
+    even = F.col("household_id") % 2 == 0
+    names = lambda *xs: F.array(*[F.lit(x) for x in xs])
+    return house.select(
+        F.struct(F.col("household_id").alias("household")).alias("data"),
+        F.struct(
+            F.when(even, names("Dishwasher")).otherwise(names("Washing Machine", "Tumble Dryer"))
+            .alias("shiftable_devices"),
+            F.when(even, names("Kettle", "Dishwasher"))
+            .otherwise(names("Television", "Kettle", "Tumble Dryer")).alias("active_appliances"),
+            (0.3 + 0.1 * (F.col("household_id") % 3)).alias("threshold"),
+        ).alias("user_input"),
+    )
+
+
+@query(
+    "src7_household_settings",
+    "SELECT h.household_id, CAST(h.ts AS DATE) AS day, h.appliance AS device,"
+    " CAST(max(CASE WHEN h.scaled > s.thr THEN 1 ELSE 0 END) AS INT) AS usage,"
+    " CAST(any_value(a.activity) AS INT) AS activity"
+    f" FROM hourly h JOIN {_SETTINGS_SQL} s ON h.household_id = s.household_id"
+    " JOIN (SELECT h.household_id, CAST(h.ts AS DATE) AS day,"
+    "   max(CASE WHEN h.scaled > s.thr AND list_contains(s.act, h.appliance) THEN 1 ELSE 0 END) AS activity"
+    f"   FROM hourly h JOIN {_SETTINGS_SQL} s ON h.household_id = s.household_id GROUP BY ALL) a"
+    "  ON a.household_id = h.household_id AND a.day = CAST(h.ts AS DATE)"
+    " WHERE list_contains(s.dev, h.appliance) GROUP BY h.household_id, CAST(h.ts AS DATE), h.appliance",
+)
+def src7_household_settings(spark, d):
+    settled = prepare.with_household_settings(hourly(spark, d), household_settings(spark, d))
+    return prepare.household_usage(settled)
+
+
+@query(
+    "evl11_all_households",
+    "SELECT h.household_id, h.appliance AS device, count(*) FILTER (WHERE h.scaled > s.thr) AS hours_on,"
+    " round(sum(CASE WHEN h.scaled > s.thr THEN h.watts ELSE 0 END), 4) AS load,"
+    " CAST(any_value(a.n) AS BIGINT) AS active_hours"
+    f" FROM hourly h JOIN {_SETTINGS_SQL} s ON h.household_id = s.household_id"
+    " JOIN (SELECT household_id, sum(activity) AS n FROM (SELECT h.household_id, h.ts,"
+    "   max(CASE WHEN h.scaled > s.thr AND list_contains(s.act, h.appliance) THEN 1 ELSE 0 END) AS activity"
+    f"   FROM hourly h JOIN {_SETTINGS_SQL} s ON h.household_id = s.household_id GROUP BY ALL) GROUP BY ALL) a"
+    "  ON a.household_id = h.household_id"
+    " WHERE list_contains(s.dev, h.appliance) GROUP BY h.household_id, h.appliance",
+)
+def evl11_all_households(spark, d):
+    """Each household with its own devices and threshold, all in one job."""
+    settled = stage(
+        prepare.with_household_settings(hourly(spark, d), household_settings(spark, d)), "settled"
+    )
+    active = prepare.household_activity(settled).groupBy("household_id").agg(
+        F.sum("activity").alias("active_hours")
+    )
+    loads = prepare.household_load(settled, "zero").groupBy(*DEVICE).agg(
+        F.count_if(F.col("load") > 0).alias("hours_on"), F.sum("load").alias("load")
+    )
+    return rounded(loads.join(active, "household_id"), 4)
+
+
 @query("flt3_numeric_columns", "SELECT household_id, watts FROM readings")
 def flt3_numeric_columns(spark, d):
     rows = V.readings(spark, d)

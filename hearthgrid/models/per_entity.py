@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hearthgrid.session import spread_out
+
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None, c: float = 1.0,
                  max_iter: int = 100, tol: float = 1e-8) -> np.ndarray:
@@ -126,7 +128,7 @@ def walk_forward(
     )
     day = F.unix_date(F.to_date(order)).alias("_day")
     slim = features.select(*keys, order, day, label, *columns)
-    return slim.groupBy(*keys).applyInPandas(
+    return spread_out(slim, keys).groupBy(*keys).applyInPandas(
         _walk(keys, order, columns, label, model_type, leak_free, params), schema
     ).withColumns({"p": F.nanvl("p", F.lit(None)), "train_auc": F.nanvl("train_auc", F.lit(None))})
 

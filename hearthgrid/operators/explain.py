@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearthgrid.session import attach, stage
+from hearthgrid.session import attach, spread_out, stage
 
 Scorer = Callable[[DataFrame], DataFrame]
 MAX_BACKGROUND = 100
@@ -123,7 +123,8 @@ def shapley(
     numbered = [{"w": b["w"], "v": [float(b[c]) for c in columns]} for b in background]
     value = lambda c: F.col(c).cast("double")
     mixed = (
-        instances.select(*ids, F.array(*[value(c) for c in columns]).alias("_x"))
+        spread_out(instances, ids)
+        .select(*ids, F.array(*[value(c) for c in columns]).alias("_x"))
         .withColumn("_c", F.explode(_literal_array(coalitions, "struct<mask:int,coef:array<double>>")))
         .withColumn("_b", F.explode(_literal_array(numbered, "struct<w:double,v:array<double>>")))
     )
@@ -252,7 +253,9 @@ def lime(
     m = len(columns)
     width = kernel_width or 0.75 * math.sqrt(m)
     sd = {c: (s if s and s > 0 else 1.0) for c, (_, s) in scales.items()}
-    x = instances.select(*ids, F.array(*[F.col(c).cast("double") for c in columns]).alias("_x"))
+    x = spread_out(instances, ids).select(
+        *ids, F.array(*[F.col(c).cast("double") for c in columns]).alias("_x")
+    )
     drawn = x.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).select(
         *ids, "_x",
         F.array(

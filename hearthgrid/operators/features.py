@@ -17,16 +17,20 @@ from hearthgrid.functions.times import day_name, is_weekend, weekday
 def activity_flag(
     hourly: DataFrame,
     threshold: float | Column,
-    appliances: list[str] | None = None,
+    appliances: list[str] | Column | None = None,
     value: str = "scaled",
 ) -> DataFrame:
     """1 when any listed appliance is above the threshold in that hour (FEA-1).
 
-    Hours of a household that owns none of the listed appliances stay, with 0.
+    ``appliances`` is a list of names or a condition. Hours of a household that owns none
+    of the listed appliances stay, with 0.
     """
     flag = above(F.col(value), threshold)
     if appliances is not None:
-        flag = F.when(F.col("appliance").isin(*appliances), flag).otherwise(0)
+        listed = (
+            appliances if isinstance(appliances, Column) else F.col("appliance").isin(*appliances)
+        )
+        flag = F.when(listed, flag).otherwise(0)
     return hourly.groupBy("household_id", "ts").agg(F.max(flag).alias("activity"))
 
 

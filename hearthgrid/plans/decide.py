@@ -218,6 +218,18 @@ EVALUATION = [
 ]
 
 
+def _summary_sql(condition: str = "true") -> dict[str, str]:
+    """Summary aggregates over the rows that meet a condition."""
+    when = lambda value: f"CASE WHEN {condition} THEN {value} END"
+    return {
+        "n_recommendations": f"count({when('recommendation')})",
+        "acceptable": f"avg({when('acceptable')})",
+        "total_savings": f"sum({when('acceptable * savings')})",
+        "relative_savings_mean": f"avg({when('relative_savings')})",
+        "relative_savings_median": f"median({when('relative_savings')})",
+    }
+
+
 def summarise(evaluated: DataFrame, by: list[str]) -> DataFrame:
     """Counts, acceptance and savings per group (EVL-5, AGG-3).
 
@@ -225,11 +237,7 @@ def summarise(evaluated: DataFrame, by: list[str]) -> DataFrame:
     limited by its devices and days.
     """
     return evaluated.groupBy(*by).agg(
-        F.count("recommendation").alias("n_recommendations"),
-        F.avg("acceptable").alias("acceptable"),
-        F.sum(F.col("acceptable") * F.col("savings")).alias("total_savings"),
-        F.avg("relative_savings").alias("relative_savings_mean"),
-        F.median("relative_savings").alias("relative_savings_median"),
+        *[F.expr(sql).alias(name) for name, sql in _summary_sql().items()]
     )
 
 
@@ -240,13 +248,14 @@ def threshold_grid(
 ) -> DataFrame:
     """Summary per household and threshold pair in one job (EVL-6, JN-8).
 
-    The thresholds are exploded from literal arrays inside the row, so costs are computed
-    once and nothing is joined or shuffled before the final aggregate, which combines
-    on the map side.
+    Costs are computed once. The activity thresholds are exploded from a literal array,
+    since each may choose another hour. A usage threshold only drops recommendations, so
+    all usage thresholds are conditional aggregates of the same rows. Nothing is
+    joined or shuffled before the one aggregate.
     """
-    lits = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    lits = F.array(*[F.lit(float(x)) for x in activity_thresholds])
     per_activity = recommend(
-        costed_with_truth.withColumn("activity_threshold", F.explode(lits(activity_thresholds))),
+        costed_with_truth.withColumn("activity_threshold", F.explode(lits)),
         "activity_threshold",
         0.0,
     )
@@ -254,16 +263,16 @@ def threshold_grid(
         "household_id", "activity_threshold", "p_usage",
         "recommendation", "acceptable", "savings", "relative_savings",
     )
-    pairs = scored.withColumn("usage_threshold", F.explode(lits(usage_thresholds)))
-    # below the usage threshold there is no recommendation, hence no acceptance or savings
-    kept = F.col("p_usage") >= F.col("usage_threshold")
-    gated = pairs.withColumns(
-        {
-            c: F.when(kept, F.col(c))
-            for c in ("recommendation", "acceptable", "savings", "relative_savings")
-        }
+    per_usage = {i: _summary_sql(f"p_usage >= {float(u)}D") for i, u in enumerate(usage_thresholds)}
+    wide = scored.groupBy("household_id", "activity_threshold").agg(
+        *[F.expr(sql).alias(f"{name}_{i}") for i, part in per_usage.items() for name, sql in part.items()]
     )
-    return summarise(gated, ["household_id", "activity_threshold", "usage_threshold"])
+    structs = ", ".join(
+        f"named_struct('usage_threshold', {float(u)}D, "
+        + ", ".join(f"'{name}', {name}_{i}" for name in per_usage[i]) + ")"
+        for i, u in enumerate(usage_thresholds)
+    )
+    return wide.selectExpr("household_id", "activity_threshold", f"inline(array({structs}))")
 
 
 def sensitivity(
@@ -288,9 +297,12 @@ def sensitivity(
 
 
 def optimal_thresholds(grid: DataFrame) -> DataFrame:
-    """Pair with the highest total savings per household; the last pair wins ties (EVL-8, TOP-1)."""
+    """Pair with the highest total savings per household; the last pair wins ties (EVL-8, TOP-1).
+
+    Totals are compared to 6 digits, so that the order of a sum cannot break a tie.
+    """
     rank = F.struct(
-        F.coalesce("total_savings", F.lit(float("-inf"))),
+        F.coalesce(F.round("total_savings", 6), F.lit(float("-inf"))),
         F.col("activity_threshold"),
         F.col("usage_threshold"),
     )

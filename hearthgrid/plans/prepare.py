@@ -98,27 +98,77 @@ def activity_features(
     return out
 
 
-def daily_usage(hourly: DataFrame, config: EngineConfig) -> DataFrame:
+def daily_flags(
+    hourly: DataFrame, shiftable: Column, active: Column, device_threshold: Column,
+    activity_threshold: Column,
+) -> DataFrame:
     """Long daily flags: ``household_id, day, device, usage, activity`` (FLT-7, RES-1, FEA-7).
 
     A daily mean of 0/1 flags is positive exactly when one of them is 1, so the daily
     flag is a maximum.
     """
-    thr_a, thr_d = config.activity_threshold, config.device_threshold
-    active = F.when(
-        F.col("appliance").isin(*config.active_appliances), above(F.col("scaled"), thr_a)
-    ).otherwise(0)
     per_day = hourly.groupBy("household_id", F.to_date("ts").alias("day"), "appliance").agg(
-        F.max(above(F.col("scaled"), thr_d)).alias("usage"), F.max(active).alias("_active")
+        F.max(above(F.col("scaled"), device_threshold)).alias("usage"),
+        F.max(F.when(active, above(F.col("scaled"), activity_threshold)).otherwise(0)).alias("_active"),
+        F.max(shiftable).alias("_shiftable"),
     )
     household_day = Window.partitionBy("household_id", "day")
     return (
         per_day.withColumn("activity", F.max("_active").over(household_day))
-        .where(F.col("appliance").isin(*config.shiftable_devices))
+        .where("_shiftable")
         .select("household_id", "day", F.col("appliance").alias("device"), "usage", "activity")
     )
 
 
+def daily_usage(hourly: DataFrame, config: EngineConfig) -> DataFrame:
+    """Daily flags with the same settings for all households."""
+    return daily_flags(
+        hourly,
+        F.col("appliance").isin(*config.shiftable_devices),
+        F.col("appliance").isin(*config.active_appliances),
+        F.lit(config.device_threshold),
+        F.lit(config.activity_threshold),
+    )
+
+
+def with_household_settings(hourly: DataFrame, configs: DataFrame) -> DataFrame:
+    """Add ``threshold``, ``active`` and ``shiftable`` from each household's configuration.
+
+    ``configs`` is the table of configuration documents (SRC-7), one row per household.
+    Households without one are left out. All households run in one job (EVL-11).
+    """
+    settings = configs.select(
+        F.col("data.household").alias("household_id"),
+        F.col("user_input.threshold").alias("threshold"),
+        F.col("user_input.active_appliances").alias("_active"),
+        F.col("user_input.shiftable_devices").alias("_shiftable"),
+    )
+    joined = attach(hourly, stage(settings, "settings"), ["household_id"], F.col("ts"))
+    return joined.select(
+        *hourly.columns,
+        "threshold",
+        F.array_contains("_active", F.col("appliance")).alias("active"),
+        F.array_contains("_shiftable", F.col("appliance")).alias("shiftable"),
+    )
+
+
+def household_activity(settled: DataFrame) -> DataFrame:
+    """Hourly activity with each household's own appliances and threshold."""
+    return activity_flag(settled, F.col("threshold"), F.col("active"))
+
+
+def household_usage(settled: DataFrame) -> DataFrame:
+    """Daily flags with each household's own devices and threshold."""
+    return daily_flags(
+        settled, F.col("shiftable"), F.col("active"), F.col("threshold"), F.col("threshold")
+    )
+
+
+def household_load(settled: DataFrame, fill: str = "null") -> DataFrame:
+    """Hourly loads of each household's own devices (PIPE-2)."""
+    return device_load(settled.where("shiftable"), None, F.col("threshold"), fill)
+
+
 def usage_features(
     hourly: DataFrame, config: EngineConfig, weather: DataFrame | None = None,
     weather_agg: str = "mean",

@@ -63,6 +63,17 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_out(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash rows on ``keys`` into the configured number of shuffle partitions.
+
+    For rows that are small but cause much work each (a model fit, thousands of
+    perturbations): a partition number given by hand is not merged by adaptive execution,
+    which judges partitions by their bytes.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
+
+
 def attach(
     fact: DataFrame,
     dim: DataFrame,
