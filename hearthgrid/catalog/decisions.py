@@ -491,6 +491,21 @@ def win4_cold_start_days(spark, d):
     return metrics.cold_start_days(scores, DEVICE, TOLERANCES, F.lit(True))
 
 
+@query(
+    "evl9_cold_start_table",
+    "SELECT household_id, device, "
+    + ", ".join(
+        f"CAST(coalesce(max(rn) FILTER (WHERE NOT coalesce(distance < {t}, false)), 0) + 1 AS INT)"
+        f" AS days_{str(t).replace('.', '_')}"
+        for t in TOLERANCES
+    )
+    + " FROM (SELECT *, row_number() OVER (PARTITION BY household_id, device ORDER BY day) AS rn"
+    " FROM distances) GROUP BY household_id, device",
+)
+def evl9_cold_start_table(spark, d):
+    return metrics.cold_start_table(win4_cold_start_days(spark, d), DEVICE, TOLERANCES)
+
+
 @query(
     "evl9_framework_days",
     "SELECT household_id, tolerance, CAST(max(days) AS INT) AS framework FROM"

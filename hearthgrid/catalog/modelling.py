@@ -432,6 +432,68 @@ def xai2_shapley(spark, d):
     return explain.shapley(test, USAGE_IDS, USAGE_COLUMNS, background, model.score)
 
 
+_LINEAR_SQL = " + ".join(f"{w} * {c}" for c, w in USAGE_WEIGHTS.items())
+_KNOWN_SQL = " AND ".join(f"{c} IS NOT NULL" for c in USAGE_WEIGHTS)
+_TRAIN_SQL = f"(SELECT * FROM {USAGE_FEATURES_SQL} WHERE {_KNOWN_SQL} AND day < DATE '2024-01-22')"
+_TEST_SQL = f"(SELECT * FROM {USAGE_FEATURES_SQL} WHERE {_KNOWN_SQL} AND day >= DATE '2024-01-22')"
+
+
+def linear_score(df: DataFrame) -> DataFrame:
+    return df.withColumn("p", F.expr(_LINEAR_SQL))
+
+
+def _usage_rows(spark, d):
+    rows = stage(usage_frame(spark, d).na.drop(subset=USAGE_COLUMNS), "features")
+    return rows.where(F.col("day") < "2024-01-22"), rows.where(F.col("day") >= "2024-01-22")
+
+
+@query(
+    "xai2_shapley_linear",
+    " UNION ALL ".join(
+        f"SELECT t.household_id, t.device, t.day, '{c}' AS feature, round(CAST({w} AS DOUBLE) * (t.{c} - m.{c}), 7)"
+        f" AS attribution FROM {_TEST_SQL} t CROSS JOIN (SELECT avg({c}) AS {c} FROM {_TRAIN_SQL}) m"
+        for c, w in USAGE_WEIGHTS.items()
+    ),
+)
+def xai2_shapley_linear(spark, d):
+    """The Shapley job on a linear score with the mean row as background has a closed form."""
+    train, test = _usage_rows(spark, d)
+    mean = train.agg(*[F.avg(c).alias(c) for c in USAGE_COLUMNS]).first().asDict()
+    phi = explain.shapley(test, USAGE_IDS, USAGE_COLUMNS, [{"w": 1.0, **mean}], linear_score)
+    return rounded(phi.select(*USAGE_IDS, "feature", "attribution"), 7)
+
+
+@query(
+    "xai2_efficiency",
+    f"SELECT household_id, device, day, CAST({len(USAGE_WEIGHTS)} AS BIGINT) AS features, true AS adds_up"
+    f" FROM {_TEST_SQL}",
+)
+def xai2_efficiency(spark, d):
+    """Attributions of the fitted model add up to prediction - base for every row."""
+    gap = F.abs(F.sum("attribution") - (F.first("prediction") - F.first("base")))
+    return xai2_shapley(spark, d).groupBy(*USAGE_IDS).agg(
+        F.count(F.lit(1)).alias("features"), (gap < 1e-9).alias("adds_up")
+    )
+
+
+@query(
+    "xai1_lime_linear",
+    " UNION ALL ".join(
+        f"SELECT household_id, device, day, '{c}' AS feature, CAST({w} AS DOUBLE) AS weight,"
+        f" round({_LINEAR_SQL}, 5) AS local_pred FROM {_TEST_SQL}"
+        for c, w in USAGE_WEIGHTS.items()
+    ),
+)
+def xai1_lime_linear(spark, d):
+    """A local surrogate of a linear score finds its weights."""
+    train, test = _usage_rows(spark, d)
+    scales = explain.feature_scales(train, USAGE_COLUMNS)
+    out = explain.lime(
+        test, USAGE_IDS, USAGE_COLUMNS, scales, linear_score, samples=200, alpha=1e-10
+    )
+    return rounded(out.select(*USAGE_IDS, "feature", "weight", "local_pred"), 5)
+
+
 @query("xai5_importance")
 def xai5_importance(spark, d):
     train, test, model = _usage_model(spark, d)

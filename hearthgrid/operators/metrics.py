@@ -141,6 +141,16 @@ def cold_start_days(
     )
 
 
+def cold_start_table(
+    days: DataFrame, keys: list[str], tolerances: list[float]
+) -> DataFrame:
+    """One row per key with the cold-start days of every tolerance side by side (EVL-9)."""
+    wide = days.groupBy(*keys).pivot("tolerance", tolerances).agg(F.first("cold_start_days"))
+    return wide.select(
+        *keys, *[F.col(f"`{t}`").alias(f"days_{str(t).replace('.', '_')}") for t in tolerances]
+    )
+
+
 def framework_days(days: DataFrame, by: list[str]) -> DataFrame:
     """The whole framework is ready when its slowest agent is (AGG-5)."""
     return days.groupBy(*by, "tolerance").agg(F.max("cold_start_days").alias("framework"))

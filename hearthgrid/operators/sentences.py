@@ -16,6 +16,18 @@ from hearthgrid.config import WEATHER_LABELS, WEEKDAY_DUMMIES
 # Wording of the explanations.
 OPENING = "We based the recommendation on your past activity and usage of the device. "
 LAG_WORDS = {24: "day", 48: "two days", 72: "three days"}
+ACTIVE_TODAY = "We believe you are active today since you were "
+ACTIVE_DURING = "active during the last "
+ONE_WEATHER = "The weather condition ("
+TWO_WEATHER = "The weather conditions ("
+WEATHER_END = ") support that recommendation."
+WEEKDAY_AND_HOUR = "The weekday and hour strenghtens that prediction."
+WEEKDAY_ONLY = "The weekday strenghtens that prediction."
+HOUR_ONLY = "The hour strenghtens that prediction."
+LIKELY_USE = "We believe you are likely to use the device in the near future since you were "
+USED_DURING = " and have used the device in the last "
+TWO_DAYS_BACK = "active during the last 2 days"
+NOT = "not "
 
 
 def _of(feature: str, column: str) -> Column:
@@ -52,10 +64,8 @@ def _weather_clause(features: list[str]) -> Column:
         lambda s: (s["a"] <= 0) & s["text"].isNotNull(),
     )
     top = F.transform(F.slice(F.array_sort(ranked), 1, 2), lambda s: s["text"])
-    one = F.concat(F.lit("The weather condition ("), F.get(top, F.lit(0)), F.lit(") support that recommendation."))
-    two = F.concat(
-        F.lit("The weather conditions ("), F.concat_ws(", ", top), F.lit(") support that recommendation.")
-    )
+    one = F.concat(F.lit(ONE_WEATHER), F.get(top, F.lit(0)), F.lit(WEATHER_END))
+    two = F.concat(F.lit(TWO_WEATHER), F.concat_ws(", ", top), F.lit(WEATHER_END))
     return F.when(F.size(top) == 2, two).when(F.size(top) == 1, one).otherwise("")
 
 
@@ -88,17 +98,16 @@ def activity_sentences(attributions: DataFrame, ids: list[str]) -> DataFrame:
     past = F.when(
         period.isNotNull(),
         F.concat(
-            F.lit("We believe you are active today since you were "),
-            F.when(idle, "not ").otherwise(""),
-            F.lit("active during the last "), period, F.lit("."),
+            F.lit(ACTIVE_TODAY), F.when(idle, NOT).otherwise(""), F.lit(ACTIVE_DURING), period,
+            F.lit("."),
         ),
     ).otherwise("")
     by_day = F.coalesce(F.col("_weekday") >= 0, F.lit(False))
     by_hour = F.coalesce(F.col("_hour") >= 0, F.lit(False))
     when = (
-        F.when(by_day & by_hour, "The weekday and hour strenghtens that prediction.")
-        .when(by_day, "The weekday strenghtens that prediction.")
-        .when(by_hour, "The hour strenghtens that prediction.")
+        F.when(by_day & by_hour, WEEKDAY_AND_HOUR)
+        .when(by_day, WEEKDAY_ONLY)
+        .when(by_hour, HOUR_ONLY)
         .otherwise("")
     )
     return one.select(
@@ -117,14 +126,14 @@ def usage_sentences(attributions: DataFrame, ids: list[str]) -> DataFrame:
     )
     period = _strongest([(F.col("_lag_1"), F.lit("day")), (F.col("_lag_2"), F.lit("two days"))])
     used = F.when(
-        period.isNotNull(), F.concat(F.lit(" and have used the device in the last "), period)
+        period.isNotNull(), F.concat(F.lit(USED_DURING), period)
     ).otherwise("")
     return one.select(
         *ids,
         F.concat(
-            F.lit("We believe you are likely to use the device in the near future since you were "),
-            F.when(F.coalesce(F.col("_active"), F.lit(0.0)) == 0, "not ").otherwise(""),
-            F.lit("active during the last 2 days"), used, F.lit("."),
+            F.lit(LIKELY_USE),
+            F.when(F.coalesce(F.col("_active"), F.lit(0.0)) == 0, NOT).otherwise(""),
+            F.lit(TWO_DAYS_BACK), used, F.lit("."),
             _weather_clause(weather),
         ).alias("sentence"),
     )

@@ -25,6 +25,15 @@ from hearthgrid.operators.prices import price_vectors
 from hearthgrid.operators.runs import DEVICE, profile_vector
 from hearthgrid.session import attach, stage
 
+# Wording of the recommendation messages.
+MESSAGE_DEVICE = "You have a recommendation for the following device: "
+MESSAGE_DAY = "\n\nPlease use the device on the "
+MESSAGE_HOUR = " at "
+MESSAGE_REASON = " o'clock because it saves you "
+MESSAGE_SHARE = " % of costs compared to the mean of the day.\n"
+MESSAGE_NONE = "There is no recommendation for the device "
+MESSAGE_DATE_FORMAT, MESSAGE_HOUR_FORMAT = "dd.MM.yyyy", "HH:mm"
+
 KEY = [*DEVICE, "day"]
 SUMMARY = [
     "n_recommendations", "acceptable", "total_savings",
@@ -143,13 +152,12 @@ def messages(recommended: DataFrame) -> DataFrame:
     percent = saving_percent(F.get("prices", hour), mean)
     at = at_hour(F.col("day"), F.coalesce(hour, F.lit(0)))
     yes = F.concat(
-        F.lit("You have a recommendation for the following device: "), F.col("device"),
-        F.lit("\n\nPlease use the device on the "), F.date_format(at, "dd.MM.yyyy"),
-        F.lit(" at "), F.date_format(at, "HH:mm"),
-        F.lit(" o'clock because it saves you "), percent.cast("string"),
-        F.lit(" % of costs compared to the mean of the day.\n"),
+        F.lit(MESSAGE_DEVICE), F.col("device"),
+        F.lit(MESSAGE_DAY), F.date_format(at, MESSAGE_DATE_FORMAT),
+        F.lit(MESSAGE_HOUR), F.date_format(at, MESSAGE_HOUR_FORMAT),
+        F.lit(MESSAGE_REASON), percent.cast("string"), F.lit(MESSAGE_SHARE),
     )
-    no = F.concat(F.lit("There is no recommendation for the device "), F.col("device"), F.lit(" ."))
+    no = F.concat(F.lit(MESSAGE_NONE), F.col("device"), F.lit(" ."))
     return recommended.select(
         *KEY,
         "recommendation",
