@@ -6,65 +6,92 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_totals(
-    df: DataFrame, keys: list[str], order: str, sums: list[str], chunk: Column
-) -> DataFrame:
-    """Add ``<c>_before`` and ``<c>_total`` for each column of ``sums``.
+def _chunk_totals(chunked: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """Totals per key and chunk with ``_b_<c>`` (earlier chunks) and ``<c>_total`` (whole key).
 
-    ``<c>_before`` is the total over all rows of the key with a smaller ``order`` value
-    (which must be unique per key), ``<c>_total`` the total of the key. ``chunk`` must
-    grow with ``order``. Rows are sorted inside one chunk only; the totals of earlier
-    chunks come from a second, much smaller table with one row per key and chunk, so no
-    task ever sees a whole key.
+    One small row per key and chunk, so sorting them per key is cheap for any key.
     """
-    # one exchange serves the window inside the chunks and the totals of the chunks
-    chunked = df.withColumn("_chunk", chunk).repartition(*keys, "_chunk")
-    inside = (
-        Window.partitionBy(*keys, "_chunk")
-        .orderBy(order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
     whole = Window.partitionBy(*keys)
     earlier = whole.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0)
-
     totals = chunked.groupBy(*keys, "_chunk").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    totals = totals.select(
+    return totals.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col("_chunk").alias("_k_chunk"),
-        *[F.coalesce(F.sum(f"_t_{c}").over(earlier), zero).alias(f"_b_{c}") for c in sums],
+        *[f"_t_{c}" for c in sums],
+        *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_b_{c}") for c in sums],
         *[F.sum(f"_t_{c}").over(whole).alias(f"{c}_total") for c in sums],
     )
+
+
+def _totals_inside(
+    chunked: DataFrame, totals: DataFrame, keys: list[str], order: str, sums: list[str]
+) -> DataFrame:
+    """Join the chunk totals and add ``<c>_before``; chunks without a total are dropped."""
     match = F.col("_chunk").eqNullSafe(F.col("_k_chunk"))
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    partial = chunked.select(
-        "*", *[F.coalesce(F.sum(c).over(inside), zero).alias(f"_i_{c}") for c in sums]
+    inside = (
+        Window.partitionBy(*keys, "_chunk")
+        .orderBy(order)
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    return partial.join(totals, match).select(
-        *df.columns,
-        *[(F.col(f"_i_{c}") + F.col(f"_b_{c}")).alias(f"{c}_before") for c in sums],
+    columns = [c for c in chunked.columns if c != "_chunk"]
+    return chunked.join(totals, match).select(
+        *columns,
+        *[
+            (F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_b_{c}")).alias(f"{c}_before")
+            for c in sums
+        ],
         *[f"{c}_total" for c in sums],
     )
 
 
+def running_totals(
+    df: DataFrame, keys: list[str], order: str, sums: list[str], chunk: Column
+) -> DataFrame:
+    """Add ``<c>_before`` and ``<c>_total`` for each column of ``sums``.
+
+    ``<c>_before`` is the total over all rows of the key with a smaller ``order`` value
+    (which must be unique per key), ``<c>_total`` the total of the key. ``chunk`` must
+    grow with ``order``. Rows are sorted inside one chunk only; the totals of earlier
+    chunks come from a second, much smaller table, so no task ever sees a whole key.
+    """
+    # one exchange serves the window inside the chunks and the totals of the chunks
+    chunked = df.withColumn("_chunk", chunk).repartition(*keys, "_chunk")
+    return _totals_inside(chunked, _chunk_totals(chunked, keys, sums), keys, order, sums)
+
+
 def weighted_quantiles(
     counts: DataFrame, keys: list[str], value: str, n: str, probs: dict[str, float], chunk: Column
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles from a value/count table (AGG-2).
 
-    ``counts`` has one row per key and distinct value. The value at rank r is the one
-    whose count interval covers r, so the answer is one aggregate over running totals.
+    ``counts`` has one row per key and distinct value. The chunk totals tell which chunks
+    hold the wanted ranks; only those are sorted. The value at rank r is the one whose
+    count interval covers r.
     """
-    ranked = running_totals(counts, keys, value, [n], chunk)
-    before, total = F.col(f"{n}_before"), F.col(f"{n}_total")
-    aggs, cols = [], []
+    chunked = counts.withColumn("_chunk", chunk).repartition(*keys, "_chunk")
+    totals = _chunk_totals(chunked, keys, [n])
+    total = F.col(f"{n}_total")
+    ranks = {
+        f"_{name}_{side}": cut((total - 1) * F.lit(p))
+        for name, p in probs.items()
+        for side, cut in (("lo", F.floor), ("hi", F.ceil))
+    }
+    covers = lambda rank, before, size: (before <= rank) & (rank < before + size)
+    wanted = F.lit(False)
+    for rank in ranks.values():
+        wanted = wanted | covers(rank, F.col(f"_b_{n}"), F.col(f"_t_{n}"))
+    ranked = _totals_inside(chunked, totals.where(wanted), keys, value, [n])
+    out = ranked.groupBy(*keys, f"{n}_total").agg(
+        *[
+            F.max(F.when(covers(rank, F.col(f"{n}_before"), F.col(n)), F.col(value))).alias(name)
+            for name, rank in ranks.items()
+        ]
+    )
+    cols = []
     for name, p in probs.items():
         pos = (total - 1) * F.lit(p)
-        for side, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            covers = (before <= rank) & (rank < before + F.col(n))
-            aggs.append(F.max(F.when(covers, F.col(value))).alias(f"_{name}_{side}"))
         lo, hi = F.col(f"_{name}_lo"), F.col(f"_{name}_hi")
         cols.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-    out = ranked.groupBy(*keys, f"{n}_total").agg(*aggs)
-    return out.select(*keys, F.col(f"{n}_total").alias("n"), *cols)
+    return out.select(*keys, total.alias("n"), *cols)
