@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthgrid.catalog import views as V
-from hearthgrid.catalog.decisions import Prepared, _auc_sql
+from hearthgrid.catalog.decisions import Prepared
 from hearthgrid.catalog.registry import query, rounded
 from hearthgrid.config import WEATHER_COLUMNS, WEEKDAY_DUMMIES
 from hearthgrid.models import per_entity, pooled, splits

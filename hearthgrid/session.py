@@ -20,6 +20,10 @@ def build_session(app: str = "hearthgrid", master: str | None = None, **conf: st
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # many queries share the preparation stages: keep their compiled code
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
+        # plans of several hundred columns: no call-site capture per column
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
