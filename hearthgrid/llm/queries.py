@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthgrid.llm import url_rules
+from hearthgrid.llm import line_rules, url_rules
 from hearthgrid.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,52 @@ FROM ruled
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every page's URL."""
     return url_rules.judge_urls(read(spark, sf_dir, "pages")).drop("pattern")
+
+
+LINE_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    string_split(coalesce(text, ''), chr(10)) AS lines
+  FROM documents
+), windows AS (
+  SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+  FROM (SELECT rid, w, unnest(generate_series(1, len(w) - 2)) AS i FROM docs)
+), again AS (
+  SELECT rid, count(DISTINCT i + d) AS n_repeat_words
+  FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM windows), (VALUES (0), (1), (2)) AS v(d)
+  WHERE n > 1 GROUP BY rid
+), lined AS (
+  SELECT rid, host, text, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw
+  FROM (SELECT rid, host, text, unnest(lines) AS line FROM docs)
+), words AS (
+  SELECT rid, host, text, line, len(lw) AS n, translate(array_to_string(lw, ' '),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS normal
+  FROM lined WHERE len(lw) > 0
+), dups AS (
+  SELECT rid, count(*) - count(DISTINCT line) AS n_dup_lines FROM words GROUP BY rid
+), hosts AS (
+  SELECT host, count(DISTINCT text) AS n_docs FROM docs GROUP BY host
+), frequent AS (
+  SELECT host, normal FROM (SELECT host, normal, count(DISTINCT text) AS n FROM words GROUP BY ALL)
+  JOIN hosts USING (host) WHERE n > 20 AND n > 0.05 * n_docs
+), gone AS (
+  SELECT rid, sum(n) AS removed_words FROM words JOIN frequent USING (host, normal) GROUP BY rid
+), measured AS (
+  SELECT doc_id, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars,
+    len(coalesce(text, '')) - len(regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    coalesce(removed_words, 0) AS removed_words
+  FROM docs LEFT JOIN again USING (rid) LEFT JOIN dups USING (rid) LEFT JOIN gone USING (rid)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+    AND n_words - removed_words >= 0.3 * n_words AS kept
+FROM measured
+"""
+
+
+@query("op7_line_rules", LINE_SQL)
+def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
+    return line_rules.judge_documents(read(spark, sf_dir, "documents")).drop("clean_text")
