@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthgrid.llm import line_rules, url_rules
+from hearthgrid.llm import line_rules, quality, url_rules
 from hearthgrid.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,10 @@ FROM measured
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     return line_rules.judge_documents(read(spark, sf_dir, "documents")).drop("clean_text")
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = read(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs, read(spark, sf_dir, "labels")))
