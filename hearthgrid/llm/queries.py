@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthgrid.llm import line_rules, quality, url_rules
+from hearthgrid.llm import line_rules, quality, simhash, url_rules
 from hearthgrid.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     docs = read(spark, sf_dir, "documents")
     return quality.score_documents(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
+@query("op6_simhash")
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
