@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hearthgrid.llm import line_rules, quality, simhash, url_rules
+from hearthgrid.llm import line_rules, packing, quality, simhash, url_rules
 from hearthgrid.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +119,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op3_packing")
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packed pieces of every document."""
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    pieces = packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary)
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
