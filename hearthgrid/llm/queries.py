@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthgrid.llm import line_rules, packing, piece_ids, quality, simhash, url_rules
+from hearthgrid.llm import language, line_rules, packing, piece_ids, quality, simhash, url_rules
 from hearthgrid.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,10 @@ def op4_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text decoded from them."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     return piece_ids.encoding_digests(read(spark, sf_dir, "documents"), model)
+
+
+@query("op1_language")
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = read(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
