@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthgrid.llm import language, line_rules, packing, piece_ids, quality, simhash, url_rules
+from hearthgrid.llm import language, line_rules, packing, piece_ids, quality, simhash, url_rules, vector_graph
 from hearthgrid.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,9 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     docs = read(spark, sf_dir, "documents")
     return language.identify(docs, language.train(docs))
+
+
+@query("op2_neighbours")
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest rows of every twentieth embedding."""
+    return vector_graph.nearest(read(spark, sf_dir, "embeddings"))
