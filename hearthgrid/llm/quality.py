@@ -1,6 +1,6 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-The trees are grown on a bounded sample of labelled rows, over feature histograms of at most ``BINS`` bins. All trees are
+The trees are grown on a bounded sample of labelled rows, over feature histograms of 64 bins. All trees are
 complete and of one depth, so the model is three flat arrays, and a batch of documents goes down all
 trees at once with numpy indexing.
 """
@@ -19,10 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthgrid.llm.common import WORD, crc_of_id, map_rows
+from hearthgrid.llm.trees import FlatTrees, Histograms
 
 #: Bound on the labelled rows that a model is fitted on (in expectation; rows are drawn by a hash of the id).
 MAX_TRAIN = 20_000
-TREES, DEPTH, BINS = 60, 4, 64
+TREES, DEPTH = 60, 4
 RATE, L2, MIN_HESSIAN = 0.15, 1.0, 2.0
 
 WORDS = re.compile(WORD)
@@ -85,68 +86,32 @@ def statistics(text: str | None) -> list[float]:
 
 
 @dataclass
-class Trees:
-    """``feature`` and ``threshold`` by tree and inner node, ``leaf`` by tree and leaf; ``base`` is the first log odds."""
+class Boosted:
+    """Trees whose leaves add up to log odds above ``base``."""
 
-    feature: np.ndarray
-    threshold: np.ndarray
-    leaf: np.ndarray
+    trees: FlatTrees
     base: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Probability of label 1 for each row of ``x``."""
-        trees, inner = self.feature.shape
-        if not trees:
-            return np.full(len(x), 1 / (1 + np.exp(-self.base)))
-        tree, row = np.arange(trees)[None, :], np.arange(len(x))[:, None]
-        node = np.zeros((len(x), trees), np.int64)
-        while inner:
-            node = 2 * node + 1 + (x[row, self.feature[tree, node]] > self.threshold[tree, node])
-            inner //= 2
-        total = self.base + self.leaf[tree, node - self.feature.shape[1]].sum(axis=1)
-        return 1 / (1 + np.exp(-total))
-
-
-def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, bins: int = BINS) -> Trees:
+        return 1 / (1 + np.exp(-self.base - self.trees.totals(x)))
+
+
+def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH) -> Boosted:
     """Boost ``trees`` complete trees on the log loss; needs rows of both labels, else only the prior is kept."""
     rate = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.5
     base = float(np.log(rate / (1 - rate)))
-    inner = 2**depth - 1
-    feature = np.zeros((trees, inner), np.int64)
-    threshold = np.full((trees, inner), np.inf)
-    leaf = np.zeros((trees, inner + 1))
     if len(set(y.tolist())) < 2:
-        return Trees(feature[:0], threshold[:0], leaf[:0], base)
-    rows, width = x.shape
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(width)]
-    binned = np.column_stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)])
-    cells = binned + np.arange(width) * bins  # a histogram cell for each row and feature
-    total = np.full(rows, base)
+        return Boosted(FlatTrees.empty(0, depth), base)
+    model, cells, total = FlatTrees.empty(trees, depth), Histograms(x), np.full(len(x), base)
     for t in range(trees):
         p = 1 / (1 + np.exp(-total))
         grad, hess = p - y, p * (1 - p)
-        node = np.zeros(rows, np.int64)
-        for level in range(depth):
-            nodes, first = 2**level, 2**level - 1
-            at = ((node - first)[:, None] * (width * bins) + cells).ravel()
-            shape = (nodes, width, bins)
-            g = np.bincount(at, np.repeat(grad, width), nodes * width * bins).reshape(shape).cumsum(axis=2)
-            h = np.bincount(at, np.repeat(hess, width), nodes * width * bins).reshape(shape).cumsum(axis=2)
-            g_all, h_all = g[:, :, -1:], h[:, :, -1:]
-            gain = g**2 / (h + L2) + (g_all - g) ** 2 / (h_all - h + L2) - g_all**2 / (h_all + L2)
-            gain[(h < MIN_HESSIAN) | (h_all - h < MIN_HESSIAN)] = 0
-            best = gain.reshape(nodes, -1).argmax(axis=1)
-            for i, b in enumerate(best):
-                j, cut = divmod(int(b), bins)
-                # a node without a gain sends all rows to the left
-                if gain[i, j, cut] > 1e-9 and cut < len(edges[j]):
-                    feature[t, first + i], threshold[t, first + i] = j, edges[j][cut]
-            node = 2 * node + 1 + (x[np.arange(rows), feature[t, node]] > threshold[t, node])
-        place = node - inner
-        g, h = (np.bincount(place, w, inner + 1) for w in (grad, hess))
-        leaf[t] = -RATE * g / (h + L2)
-        total += leaf[t, place]
-    return Trees(feature, threshold, leaf, base)
+        place = cells.grow(model, t, grad, hess, L2, MIN_HESSIAN)
+        g, h = (np.bincount(place, w, 2**depth) for w in (grad, hess))
+        model.leaf[t] = -RATE * g / (h + L2)
+        total += model.leaf[t, place]
+    return Boosted(model, base)
 
 
 def held_out(column: str = "doc_id", parts: int = 3, part: int = 1) -> Column:
@@ -160,7 +125,7 @@ RESULT = pa.schema(
 )
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Trees:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Boosted:
     """Fit on at most about ``max_train`` labelled documents outside of the held-out part.
 
     Rows of ``labels`` (``doc_id, quality``) with a NULL or with another value than 0 and 1 are left out. The drawn
@@ -185,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tre
     return fit_trees(x[order], y[order])
 
 
-def score_documents(docs: DataFrame, model: Trees) -> DataFrame:
+def score_documents(docs: DataFrame, model: Boosted) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs`` (``doc_id, text``).
 
     A NULL text is scored as an empty one. Repeated rows keep one output row each, a NULL id counts as held out, an

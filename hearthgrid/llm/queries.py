@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthgrid.llm import language, line_rules, packing, piece_ids, quality, simhash, url_rules, vector_graph
+from hearthgrid.llm import language, line_rules, packing, piece_ids, quality, secret_scan, simhash, url_rules, vector_graph
 from hearthgrid.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest rows of every twentieth embedding."""
     return vector_graph.nearest(read(spark, sf_dir, "embeddings"))
+
+
+@query("op9_secrets")
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates for secrets of every document, judged by the forest."""
+    docs = read(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.train(docs))
