@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthgrid.llm import language, line_rules, packing, piece_ids, quality, secret_scan, simhash, url_rules, vector_graph
+from hearthgrid.llm import language, license_scan, line_rules, packing, piece_ids, quality, secret_scan, simhash, url_rules, vector_graph
 from hearthgrid.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,9 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates for secrets of every document, judged by the forest."""
     docs = read(spark, sf_dir, "documents")
     return secret_scan.scan(docs, secret_scan.train(docs))
+
+
+@query("op5_licenses")
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices and texts found in every document."""
+    return license_scan.scan(read(spark, sf_dir, "documents"))
