@@ -50,6 +50,36 @@ def map_rows(
     return df.mapInArrow(run, _spark_schema(schema))
 
 
+def edit_texts(docs: DataFrame, edit: Callable[..., tuple[list[bool], list]]) -> DataFrame:
+    """Rows of ``docs`` that ``edit(texts)`` keeps, with the texts it gives and all other columns as they are."""
+    return edit_structs(docs.select(F.struct("*").alias("doc")), docs, edit)
+
+
+def edit_structs(rows: DataFrame, docs: DataFrame, edit: Callable[..., tuple[list[bool], list]]) -> DataFrame:
+    """As :func:`edit_texts`, for ``rows`` with a struct of all columns of ``docs`` and further columns for ``edit``.
+
+    In a struct, the columns of documents may have any name. ``n_chars``, where there is one, follows a changed text.
+    """
+    names = docs.columns
+    at_text, at_chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                columns = part.column(0).flatten()
+                texts = columns[at_text].to_pylist()
+                kept, edited = edit(texts, *(c.to_pylist() for c in part.columns[1:]))
+                columns[at_text] = pa.array(edited, columns[at_text].type)
+                if at_chars is not None:
+                    counts = columns[at_chars].to_pylist()
+                    counts = [n if a == b else len(b) for n, a, b in zip(counts, texts, edited, strict=True)]
+                    columns[at_chars] = pa.array(counts, columns[at_chars].type)
+                yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(kept, pa.bool_()))
+
+    return rows.mapInArrow(run, docs.schema)
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(

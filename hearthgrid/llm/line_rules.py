@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthgrid.llm.common import ASCII_LOWER, LOWER, UPPER, WORD, map_rows
+from hearthgrid.llm.common import ASCII_LOWER, LOWER, UPPER, WORD, edit_structs, map_rows
 from hearthgrid.session import stage
 
 MIN_DOCS = 20
@@ -110,13 +110,33 @@ def remove_lines(text: str, frequent: set[int]) -> tuple[str, int]:
     return "\n".join(left), removed
 
 
+def verdict(text: str | None, lines: list[int] | None) -> tuple[tuple[int, ...], int, bool, bool, str | None]:
+    """Measures, removed words, base failure, whether the document stays, and its text without frequent lines."""
+    counts = measure(text or "")
+    clean, removed = remove_lines(text, set(lines)) if text and lines else (text, 0)
+    failed = base_failure(counts[0], counts[4])
+    return counts, removed, failed, not failed and counts[0] - removed >= MIN_LEFT * counts[0], clean
+
+
 def judge_rows(ids, texts, frequent):
     for doc_id, text, lines in zip(ids, texts, frequent, strict=True):
-        counts = measure(text or "")
-        clean, removed = remove_lines(text, set(lines)) if text and lines else (text, 0)
-        failed = base_failure(counts[0], counts[4])
-        kept = not failed and counts[0] - removed >= MIN_LEFT * counts[0]
-        yield doc_id, *counts, removed, failed, kept, clean
+        counts, *rest = verdict(text, lines)
+        yield doc_id, *counts, *rest
+
+
+def filter_rows(texts, frequent):
+    found = [verdict(t, lines) for t, lines in zip(texts, frequent, strict=True)]
+    return [f[3] for f in found], [f[4] for f in found]
+
+
+def with_lines(docs: DataFrame, min_docs: int, max_share: float) -> DataFrame:
+    """``doc`` (all columns of ``docs``) and ``lines``, the boilerplate of its host.
+
+    The table of boilerplate is written first, so the planner broadcasts it only by its measured size.
+    """
+    frequent = stage(frequent_lines(docs, min_docs, max_share), "frequent-lines")
+    rows = docs.select(F.struct("*").alias("doc"), F.coalesce("source", F.lit("")).alias("host"))
+    return rows.join(frequent, "host", "left").select("doc", "lines")
 
 
 def judge_documents(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
@@ -125,10 +145,12 @@ def judge_documents(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float
     A NULL text has no words, fails the base rules and keeps a NULL ``clean_text``; NULL sources form one host.
     Repeated rows keep one output row each, and as copies of one text they count as one
     document of a line. An empty table gives an empty result; other columns are ignored.
-    The table of boilerplate is written first, so the planner broadcasts it only by its measured size.
     """
-    frequent = stage(frequent_lines(docs, min_docs, max_share), "frequent-lines")
-    rows = docs.select("doc_id", "text", F.coalesce("source", F.lit("")).alias("host"))
-    return map_rows(
-        rows.join(frequent, "host", "left").select("doc_id", "text", "lines"), judge_rows, RESULT
-    )
+    rows = with_lines(docs.select("doc_id", "text", "source"), min_docs, max_share)
+    return map_rows(rows.select("doc.doc_id", "doc.text", "lines"), judge_rows, RESULT)
+
+
+def filter_documents(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+    """The rows of ``docs`` that :func:`judge_documents` keeps, with their cleaned texts and all their columns."""
+    rows = with_lines(docs, min_docs, max_share)
+    return edit_structs(rows, docs, filter_rows)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthgrid.llm.common import WORD, crc_of_id, map_rows
+from hearthgrid.llm.common import WORD, crc_of_id, edit_texts, map_rows
 from hearthgrid.llm.trees import FlatTrees, Histograms
 
 #: Bound on the labelled rows that a model is fitted on (in expectation; rows are drawn by a hash of the id).
@@ -163,3 +163,12 @@ def score_documents(docs: DataFrame, model: Boosted) -> DataFrame:
             yield i, out, s, int(s >= 0.5)
 
     return map_rows(docs.select("doc_id", held_out().alias("held_out"), "text"), rows, RESULT)
+
+
+def filter_documents(docs: DataFrame, model: Boosted) -> DataFrame:
+    """The rows of ``docs`` that the model gives label 1, with all their columns."""
+
+    def edit(texts):
+        return (model.score(np.array([statistics(t) for t in texts], float)) >= 0.5).tolist(), texts
+
+    return edit_texts(docs, edit)

@@ -30,7 +30,7 @@ SAMPLE, MAX_SAMPLE = 64, 1 << 20
 BLOCK = 1024
 NO_ID = (1 << 63) - 1  # stands for a NULL id, after all others
 
-PRINTS = pa.schema([("doc_id", pa.int64()), ("print", pa.int64())])
+PRINTS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("print", pa.int64())])
 
 
 def fingerprint(text: str | None) -> int:
@@ -52,10 +52,10 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, print`` of every row."""
+    """``doc_id, text_key, print`` of every row."""
     return map_rows(
-        docs.select("doc_id", "text"),
-        lambda ids, texts: zip(ids, map(fingerprint, texts), strict=True),
+        docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text"),
+        lambda ids, keys, texts: zip(ids, keys, map(fingerprint, texts), strict=True),
         PRINTS,
         rows=100_000,
     )
@@ -205,7 +205,10 @@ def shard_links(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def link_prints(points: DataFrame) -> DataFrame:
-    """``print, component_id`` of every different fingerprint (``print``, its least id ``rep``)."""
+    """``print, component_id, root`` of every different fingerprint (``print``, its least id ``rep``).
+
+    ``root`` is one fingerprint of the component.
+    """
     n = points.count()
     shards = -(-n // SHARD)
     share = min(1.0, min(SAMPLE * shards + 1024, MAX_SAMPLE) / max(n, 1))
@@ -221,11 +224,22 @@ def link_prints(points: DataFrame) -> DataFrame:
         F.struct(F.col("rep_a").alias("rep"), F.col("print_a").alias("print")).alias("a"),
         F.struct(F.col("rep_b").alias("rep"), F.col("print_b").alias("print")).alias("b"),
     )
-    roots = star_components(edges).select(F.col("node.print").alias("print"), F.col("root.rep").alias("root_rep"))
+    roots = star_components(edges).select(
+        F.col("node.print").alias("print"), F.col("root.rep").alias("root_rep"), F.col("root.print").alias("root_print")
+    )
     least = F.coalesce("root_rep", "rep")
     return points.join(roots, "print", "left").select(
-        "print", F.when(least != NO_ID, least).alias("component_id")
+        "print", F.when(least != NO_ID, least).alias("component_id"), F.coalesce("root_print", "print").alias("root")
+    )
+
+
+def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written tables: the fingerprint of every row, and the component of every fingerprint."""
+    prints = stage(fingerprints(docs), "prints")
+    points = stage(
+        prints.groupBy("print").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("rep")), "points"
     )
+    return prints, stage(link_prints(points), "components")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -238,11 +252,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Copies are grouped by fingerprint before any comparison. The last join has a hot key where one text
     makes up much of the table; adaptive execution splits it, as nothing above needs its order.
     """
-    prints = stage(fingerprints(docs), "prints")
-    points = stage(
-        prints.groupBy("print").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("rep")), "points"
-    )
-    components = stage(link_prints(points), "components")
+    prints, components = linked(docs)
     return prints.join(components, "print").select(
         "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row of each component of :func:`near_duplicates`, the one with the least id, with all its columns.
+
+    A row without an id stays only if no row of its component has one.
+    """
+    prints, components = linked(docs)
+    by_id = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("text_key"))
+    chosen = prints.join(components, "print").groupBy("root").agg(F.min(by_id).alias("row"))
+    rows = docs.select(
+        F.struct("*").alias("doc"), F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("text_key")
+    )
+    # repeated rows have the same id and text
+    kept = rows.join(chosen.select("row.id", "row.text_key"), ["id", "text_key"]).dropDuplicates(["id", "text_key"])
+    return kept.select("doc.*")
