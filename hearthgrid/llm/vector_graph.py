@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by inner product: a robust-pruned directed graph per shard.
 
-Different vectors are dealt by hash to shards of bounded size, and one task builds the graph of a shard: points join in growing
+Different vectors are dealt to shards by their length, a quarter of an octave apart, and within that by hash to shards of
+bounded size. One task builds the graph of a shard: points join in growing
 batches, a greedy search over the graph so far proposes their neighbours, and relaxed distance pruning keeps edges
 in diverse directions. Queries come in blocks of bounded size; one task runs a beam search of one
 block in one shard. Vectors are lifted by one component to a common length, which makes the largest
-inner product the smallest distance.
+inner product the smallest distance; vectors of similar length keep that component small, without which searches go astray.
 """
 
 from __future__ import annotations
@@ -24,7 +25,10 @@ RELAX = 1.2
 #: Points that join a graph at once.
 BATCH = 512
 
-INDEX = "dim int, shard int, vectors array<array<double>>, members array<array<long>>, links array<array<int>>"
+#: Ranges of vector length for each doubling.
+PER_OCTAVE = 4
+
+INDEX = "dim int, size int, shard int, vectors array<array<double>>, members array<array<long>>, links array<array<int>>"
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -150,6 +154,7 @@ def build_shard(rows: pa.Table) -> pa.Table:
     return pa.table(
         {
             "dim": pa.array([dim], pa.int32()),
+            "size": pa.array([rows["size"][0].as_py()], pa.int32()),
             "shard": pa.array([rows["shard"][0].as_py()], pa.int32()),
             "vectors": pa.array([list(vectors[order])], pa.list_(pa.list_(pa.float64()))),
             "members": pa.array([[members[i] for i in order]], pa.list_(pa.list_(pa.int64()))),
@@ -195,8 +200,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     )
 
 
-def _by_dim(table: dict[int, int], dim: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(v) for pair in sorted(table.items()) for v in pair]), dim)
+def _looked_up(table: dict, key: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(v) for pair in sorted(table.items()) for v in pair]), key)
 
 
 def nearest(
@@ -211,7 +216,7 @@ def nearest(
 
     Rows with equal vectors are one point of the graph with the ``k + 1`` least of their ids, which is exact for the ``k`` best
     others and keeps a vector that a third of all rows share small. The only counts that reach the
-    driver are those of vectors by length.
+    driver are those of vectors by number of components and range of length.
     """
     spark = vectors.sparkSession
     rows = usable(vectors).dropDuplicates(["vec_id", "embedding"])
@@ -224,27 +229,40 @@ def nearest(
         "points",
     )
     queries = rows.where(F.col("vec_id") % every == 0)
-    shards = {r.dim: -(-r.n // shard) for r in points.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    # length range of a vector; a unit vector is in the middle of one
+    size = F.floor(F.log2(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)) * (PER_OCTAVE / 2) + 0.5)
+    points = points.withColumn("size", size.cast("int"))
+    counts = points.groupBy("dim", "size").agg(F.count("*").alias("n")).collect()
     blocks = {r.dim: -(-r.n // block) for r in queries.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     if not blocks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    shards = {f"{r.dim} {r['size']}": -(-r.n // shard) for r in counts}
+    n_shards = _looked_up(shards, F.concat_ws(" ", "dim", "size"))
+    n_blocks = _looked_up(blocks, F.col("dim"))
     dealt = points.where(F.col("dim").isin(*blocks)).select(
-        "dim",
-        F.pmod(F.xxhash64("embedding"), _by_dim(shards, F.col("dim"))).cast("int").alias("shard"),
+        "dim", "size", F.pmod(F.xxhash64("embedding"), n_shards).cast("int").alias("shard"),
         "embedding", "members", F.element_at("members", 1).alias("first"),
     )
-    index = stage(
-        spread_out(dealt, ["dim", "shard"]).groupBy("dim", "shard").applyInArrow(build_shard, INDEX), "graph"
-    )
+    keys = ["dim", "size", "shard"]
+    index = stage(spread_out(dealt, keys).groupBy(*keys).applyInArrow(build_shard, INDEX), "graph")
     asked = (
-        queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), _by_dim(blocks, F.col("dim"))).cast("int"))
+        queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int"))
         .groupBy("dim", "block")
         .agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
     )
-    every_shard = F.explode(F.sequence(F.lit(0), _by_dim(shards, F.col("dim")) - 1)).alias("shard")
-    every_block = F.explode(F.sequence(F.lit(0), _by_dim(blocks, F.col("dim")) - 1)).alias("block")
-    keys = ["dim", "shard", "block"]
-    meetings = spread_out(index.select("*", every_block), keys).join(asked.select("*", every_shard), keys)
+    # every block meets every shard of its vectors' number of components
+    ranges = F.create_map(*[
+        v for d in sorted(blocks)
+        for v in (F.lit(d), F.array(*[F.struct(F.lit(r["size"]).alias("size"), F.lit(shards[f"{d} {r['size']}"]).alias("n"))
+                                      for r in sorted(counts) if r.dim == d]))
+    ])
+    met = asked.select("*", F.explode(F.element_at(ranges, F.col("dim"))).alias("range")).select(
+        "dim", "block", "queries", F.col("range.size").alias("size"),
+        F.explode(F.sequence(F.lit(0), F.col("range.n") - 1)).alias("shard"),
+    )
+    held = index.select("*", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"))
+    keys = [*keys, "block"]
+    meetings = spread_out(held, keys).join(met, keys)
     found = meetings.groupBy(*keys).applyInArrow(lambda t: search_block(t, k, beam), FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
