@@ -22,11 +22,11 @@ APPLIANCES = list(V.CONFIG.active_appliances)
 
 
 class Prepared:
-    """Prepared tables of one run: the hourly table is written once and read by all branches."""
+    """Prepared tables of a data directory; all branches read one written hourly table."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
-        self.hourly = stage(hourly(spark, sf_dir), "hourly")
+        self.hourly = hourly(spark, sf_dir)
 
     def activity(self) -> DataFrame:
         return features.activity_flag(self.hourly, V.CONFIG.activity_threshold, APPLIANCES)
@@ -123,10 +123,9 @@ def lod1_profile(spark, d):
 
 @query(
     "agg4_mean_run",
-    "SELECT device, \"offset\", round(sum(load) / any_value(n), 6) AS load FROM"
-    " (SELECT device, CAST(off AS INT) AS \"offset\", load FROM run_hours) JOIN"
-    " (SELECT device, count(*) AS n FROM run_hours WHERE off = 0 GROUP BY device) USING (device)"
-    " GROUP BY device, \"offset\"",
+    "SELECT r.device, CAST(o.off AS INT) AS \"offset\", round(coalesce(sum(h.load), 0) / any_value(r.n), 6) AS load FROM"
+    " (SELECT device, count(*) AS n FROM run_hours WHERE off = 0 GROUP BY device) r CROSS JOIN offsets o"
+    " LEFT JOIN run_hours h ON h.device = r.device AND h.off = o.off GROUP BY r.device, o.off",
 )
 def agg4_mean_run(spark, d):
     means = Prepared(spark, d).runs().groupBy("device").agg(
@@ -134,7 +133,7 @@ def agg4_mean_run(spark, d):
     )
     vector = F.array(*HOURS)
     long = means.select("device", F.posexplode(vector).alias("offset", "load"))
-    return rounded(long.where(F.col("load") > 0))
+    return rounded(long)
 
 
 # --- prices and costs ----------------------------------------------------------------
@@ -162,7 +161,7 @@ def win1_price_matrix(spark, d):
 def cst1_cost(spark, d):
     t = Prepared(spark, d)
     rows = t.profiles().select(*KEY, decide.profile_vector().alias("profile"))
-    priced = attach(rows, stage(price_vectors(t.prices()), "prices"), ["day"], F.col("household_id"))
+    priced = attach(rows, stage(price_vectors(t.prices()), "prices"), ["day"])
     costs = priced.select(
         *KEY, F.posexplode(decide.start_costs("prices", "profile")).alias("start_hour", "cost")
     )
@@ -179,7 +178,7 @@ def cst2_run_cost(spark, d):
     rows = t.runs().select(
         *DEVICE, F.to_date("start_ts").alias("day"), F.hour("start_ts").alias("hour"), "load"
     )
-    priced = attach(rows, stage(price_vectors(t.prices()), "prices"), ["day"], F.col("household_id"))
+    priced = attach(rows, stage(price_vectors(t.prices()), "prices"), ["day"])
     cost = run_cost("prices", "hour", "load")
     return rounded(priced.select(*KEY, "hour", cost.alias("cost")), 4)
 
@@ -328,16 +327,16 @@ def evl8_optimal(spark, d):
 
 @query(
     "agg9_rec_hist",
-    "SELECT activity_threshold, recommendation, count(*) AS n FROM recs"
-    " WHERE recommendation IS NOT NULL AND usage_threshold = 0.125"
-    " GROUP BY activity_threshold, recommendation",
+    "SELECT activity_threshold, usage_threshold, recommendation, count(*) AS n FROM recs"
+    " WHERE recommendation IS NOT NULL GROUP BY activity_threshold, usage_threshold, recommendation",
 )
 def agg9_rec_hist(spark, d):
-    costed = Prepared(spark, d).costed().withColumn(
-        "activity_threshold", F.explode(F.array(*[F.lit(t) for t in GRID_THRESHOLDS]))
-    )
-    recommended = decide.recommend(costed, "activity_threshold", 0.125)
-    return decide.recommendation_hours(recommended, ["activity_threshold"])
+    steps = F.array(*[F.lit(t) for t in GRID_THRESHOLDS])
+    costed = Prepared(spark, d).costed()
+    for name in ("activity_threshold", "usage_threshold"):
+        costed = costed.withColumn(name, F.explode(steps))
+    recommended = decide.recommend(costed, "activity_threshold", "usage_threshold")
+    return decide.recommendation_hours(recommended, ["activity_threshold", "usage_threshold"])
 
 
 @query(
@@ -383,8 +382,7 @@ def met4_auc_true(spark, d):
     return rounded(out.withColumnRenamed("auc", "auc_true"))
 
 
-@query(
-    "met2_mse",
+MSE_SQL = (
     "SELECT household_id, device, round(avg(err), 4) AS mse, count(*) AS n_runs FROM"
     " (SELECT s.household_id, s.device, s.day, s.hour, avg((coalesce(r.load, 0) - coalesce(p.load, 0))"
     "   * (coalesce(r.load, 0) - coalesce(p.load, 0))) AS err"
@@ -392,8 +390,11 @@ def met4_auc_true(spark, d):
     "  LEFT JOIN run_hours r ON r.household_id = s.household_id AND r.device = s.device"
     "   AND r.start_ts = CAST(s.day AS TIMESTAMP) + to_hours(s.hour) AND r.off = o.off"
     "  LEFT JOIN profiles p ON p.household_id = s.household_id AND p.device = s.device"
-    "   AND p.day = s.day AND p.off = o.off GROUP BY ALL) GROUP BY household_id, device",
+    "   AND p.day = s.day AND p.off = o.off GROUP BY ALL) GROUP BY household_id, device"
 )
+
+
+@query("met2_mse", MSE_SQL)
 def met2_mse(spark, d):
     t = Prepared(spark, d)
     return rounded(metrics.load_mse(t.runs(), t.profiles()), 4)
@@ -466,15 +467,12 @@ def met9_confusion(spark, d):
     "SELECT household_id, round(max(mse) FILTER (WHERE pos = 0), 4) AS device_0,"
     " round(max(mse) FILTER (WHERE pos = 1), 4) AS device_1,"
     " round(max(mse) FILTER (WHERE pos = 2), 4) AS device_2 FROM"
-    " (SELECT household_id, device, avg(load) AS mse,"
-    "  row_number() OVER (PARTITION BY household_id ORDER BY device) - 1 AS pos"
-    "  FROM run_hours GROUP BY household_id, device) GROUP BY household_id",
+    " (SELECT *, row_number() OVER (PARTITION BY household_id ORDER BY device) - 1 AS pos"
+    f"  FROM ({MSE_SQL})) GROUP BY household_id",
 )
 def met8_score_table(spark, d):
-    scores = runs.run_elements(Prepared(spark, d).runs()).groupBy(*DEVICE).agg(
-        F.avg("load").alias("mean_load")
-    )
-    return rounded(metrics.score_table(scores, "mean_load", 3), 4)
+    t = Prepared(spark, d)
+    return rounded(metrics.score_table(metrics.load_mse(t.runs(), t.profiles()), "mse", 3), 4)
 
 
 TOLERANCES = [0.05, 0.1, 0.25, 0.5]

@@ -19,8 +19,6 @@ DAYS = [f"day_name_{d}" for d in WEEKDAY_DUMMIES]
 WEATHER = list(WEATHER_COLUMNS)
 ACTIVITY_COLUMNS = ["hour", *LAGS, *DAYS]
 USAGE_COLUMNS = ["usage_lag_1", "usage_lag_2", "active_last_2_days", *WEATHER]
-# Folds of the walk-forward queries: refits after two and after three weeks.
-FOLDS = [("2024-01-15", "2024-01-21"), ("2024-01-22", "2024-01-31")]
 
 
 def activity_frame(spark, d, weather: bool = False) -> DataFrame:
@@ -119,7 +117,7 @@ def spl2_split_with_test_day(spark, d):
 def mdl5_knn(spark, d):
     rows = activity_frame(spark, d)
     out = per_entity.walk_forward(
-        rows, ["household_id"], "ts", ACTIVITY_COLUMNS, "activity", "knn", k=10
+        rows, ["household_id"], "ts", ACTIVITY_COLUMNS, "activity", "knn", n_neighbors=10
     )
     known = out.where(F.col("p").isNotNull())
     return rounded(known.select("household_id", "ts", "p"))
@@ -132,17 +130,17 @@ def mdl1_logit(spark, d):
 
 @query("mdl2_rf")
 def mdl2_rf(spark, d):
-    return scored(spark, d, "random forest", n_estimators=50)
+    return scored(spark, d, "random forest")
 
 
 @query("mdl3_gbt")
 def mdl3_gbt(spark, d):
-    return scored(spark, d, "xgboost", n_estimators=20)
+    return scored(spark, d, "xgboost")
 
 
 @query("mdl4_ada")
 def mdl4_ada(spark, d):
-    return scored(spark, d, "ada", n_estimators=20)
+    return scored(spark, d, "ada")
 
 
 @query("mdl6_additive")
@@ -180,9 +178,10 @@ def mdl9_walk_forward_usage(spark, d):
 
 @query("mdl9_walk_forward_pooled")
 def mdl9_walk_forward_pooled(spark, d):
+    """A model for each week, fitted on all days before it."""
     rows = stage(activity_frame(spark, d), "features")
     out, _, _ = pooled.walk_forward(
-        rows, FOLDS, "day", ACTIVITY_COLUMNS, "activity", "logit"
+        rows, pooled.folds(rows, "day", "week"), "day", ACTIVITY_COLUMNS, "activity", "logit"
     )
     return metrics.auc(out, ["household_id", "fold"], "activity", "p")
 
@@ -221,8 +220,9 @@ def rec2_model_recommend(spark, d):
 
 @query("mdl11_cold_start")
 def mdl11_cold_start(spark, d):
+    """A model for each day of the period, fitted on all days before it."""
     rows = stage(activity_frame(spark, d), "features")
-    days = ["2024-01-08", "2024-01-15", "2024-01-22"]
+    days = [first for first, _ in pooled.folds(rows, "day", "day")]
     return pooled.cold_start(
         rows, days, "day", ACTIVITY_COLUMNS, "activity", "logit", ["household_id"]
     )
@@ -307,7 +307,7 @@ def usage_attributions(spark, d) -> DataFrame:
     )
 
 
-def _unscaled(attributions: DataFrame) -> DataFrame:
+def unscaled(attributions: DataFrame) -> DataFrame:
     return attributions.withColumn(
         "unscaled", F.when(F.col("feature").isin(*WEATHER), F.col("value"))
     )
@@ -372,8 +372,12 @@ def _peak(source: str, ids: str, prefix: str, words: str) -> str:
     )
 
 
-@query(
-    "xai6_text",
+# The words and sentences below must equal the expected texts.
+ACTIVITY_WORDS = (
+    "WHEN 'activity_lag_24' THEN 'day' WHEN 'activity_lag_48' THEN 'two days' WHEN 'activity_lag_72' THEN 'three days'"
+)
+USAGE_WORDS = "WHEN 'usage_lag_1' THEN 'day' WHEN 'usage_lag_2' THEN 'two days'"
+XAI6_SQL = (
     "SELECT a.household_id, a.ts, 'We based the recommendation on your past activity and usage of the device. '"
     " || CASE WHEN p.word IS NULL THEN '' ELSE 'We believe you are active today since you were ' ||"
     "  CASE WHEN a.was = 0 THEN 'not ' ELSE '' END || 'active during the last ' || p.word || '.' END || "
@@ -384,33 +388,38 @@ def _peak(source: str, ids: str, prefix: str, words: str) -> str:
     " (SELECT household_id, ts, max(value) FILTER (WHERE feature LIKE 'activity_lag%') AS was,"
     "  max(attribution) FILTER (WHERE feature LIKE 'day_name%') AS wd,"
     f"  max(attribution) FILTER (WHERE feature = 'hour') AS hr FROM ({ACTIVITY_ATTR_SQL}) GROUP BY ALL) a"
-    f" LEFT JOIN ({_peak(ACTIVITY_ATTR_SQL, 'household_id, ts', 'activity_lag', chr(39).join(['WHEN ', 'activity_lag_24', ' THEN ', 'day', ' WHEN ', 'activity_lag_48', ' THEN ', 'two days', ' WHEN ', 'activity_lag_72', ' THEN ', 'three days', '']))}) p"
+    f" LEFT JOIN ({_peak(ACTIVITY_ATTR_SQL, 'household_id, ts', 'activity_lag', ACTIVITY_WORDS)}) p"
     " ON p.household_id = a.household_id AND p.ts = a.ts"
     f" LEFT JOIN ({_top_weather_sql(ACTIVITY_ATTR_SQL, 'household_id, ts')}) w"
-    " ON w.household_id = a.household_id AND w.ts = a.ts",
+    " ON w.household_id = a.household_id AND w.ts = a.ts"
 )
+
+
+@query("xai6_text", XAI6_SQL)
 def xai6_text(spark, d):
     return sentences.activity_sentences(
-        _unscaled(activity_attributions(spark, d)), ["household_id", "ts"]
+        unscaled(activity_attributions(spark, d)), ["household_id", "ts"]
     )
 
 
-@query(
-    "xai7_text",
+XAI7_SQL = (
     "SELECT a.household_id, a.device, a.day, 'We believe you are likely to use the device in the near future"
     " since you were ' || CASE WHEN a.was = 0 THEN 'not ' ELSE '' END || 'active during the last 2 days' ||"
     " CASE WHEN p.word IS NULL THEN '' ELSE ' and have used the device in the last ' || p.word END || '.' || "
     + _WEATHER_TEXT + " AS sentence FROM"
     " (SELECT household_id, device, day, max(value) FILTER (WHERE feature = 'active_last_2_days') AS was"
     f"  FROM ({USAGE_ATTR_SQL}) GROUP BY ALL) a"
-    f" LEFT JOIN ({_peak(USAGE_ATTR_SQL, 'household_id, device, day', 'usage_lag', chr(39).join(['WHEN ', 'usage_lag_1', ' THEN ', 'day', ' WHEN ', 'usage_lag_2', ' THEN ', 'two days', '']))}) p"
+    f" LEFT JOIN ({_peak(USAGE_ATTR_SQL, 'household_id, device, day', 'usage_lag', USAGE_WORDS)}) p"
     " ON p.household_id = a.household_id AND p.device = a.device AND p.day = a.day"
     f" LEFT JOIN ({_top_weather_sql(USAGE_ATTR_SQL, 'household_id, device, day')}) w"
-    " ON w.household_id = a.household_id AND w.device = a.device AND w.day = a.day",
+    " ON w.household_id = a.household_id AND w.device = a.device AND w.day = a.day"
 )
+
+
+@query("xai7_text", XAI7_SQL)
 def xai7_text(spark, d):
     return sentences.usage_sentences(
-        _unscaled(usage_attributions(spark, d)), ["household_id", "device", "day"]
+        unscaled(usage_attributions(spark, d)), ["household_id", "device", "day"]
     )
 
 
@@ -428,7 +437,7 @@ USAGE_IDS = ["household_id", "device", "day"]
 def xai2_shapley(spark, d):
     """Exact Shapley values of the usage model for every test day."""
     train, test, model = _usage_model(spark, d)
-    background = explain.sample_background(train, USAGE_COLUMNS, 20)
+    background = explain.sample_background(train, USAGE_COLUMNS)
     return explain.shapley(test, USAGE_IDS, USAGE_COLUMNS, background, model.score)
 
 
@@ -456,10 +465,15 @@ def _usage_rows(spark, d):
     ),
 )
 def xai2_shapley_linear(spark, d):
-    """The Shapley job on a linear score with the mean row as background has a closed form."""
+    """The Shapley job on a linear score has a closed form for any weighted background of the training mean.
+
+    The background is one row per device with the device's number of rows as its weight.
+    """
     train, test = _usage_rows(spark, d)
-    mean = train.agg(*[F.avg(c).alias(c) for c in USAGE_COLUMNS]).first().asDict()
-    phi = explain.shapley(test, USAGE_IDS, USAGE_COLUMNS, [{"w": 1.0, **mean}], linear_score)
+    groups = train.groupBy("device").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in USAGE_COLUMNS]).collect()
+    n = sum(r.n for r in groups)
+    background = [{"w": r.n / n, **{c: r[c] for c in USAGE_COLUMNS}} for r in groups]
+    phi = explain.shapley(test, USAGE_IDS, USAGE_COLUMNS, background, linear_score)
     return rounded(phi.select(*USAGE_IDS, "feature", "attribution"), 7)
 
 
@@ -469,11 +483,15 @@ def xai2_shapley_linear(spark, d):
     f" FROM {_TEST_SQL}",
 )
 def xai2_efficiency(spark, d):
-    """Attributions of the fitted model add up to prediction - base for every row."""
-    gap = F.abs(F.sum("attribution") - (F.first("prediction") - F.first("base")))
-    return xai2_shapley(spark, d).groupBy(*USAGE_IDS).agg(
-        F.count(F.lit(1)).alias("features"), (gap < 1e-9).alias("adds_up")
-    )
+    """Attributions add up to the model's own score of the row less its mean score of the background."""
+    train, test, model = _usage_model(spark, d)
+    background = explain.sample_background(train, USAGE_COLUMNS)
+    phi = explain.shapley(test, USAGE_IDS, USAGE_COLUMNS, background, model.score)
+    mean = model.score(spark.createDataFrame(background)).agg(F.sum(F.col("w") * F.col("p"))).first()[0]
+    total = phi.groupBy(*USAGE_IDS).agg(F.count(F.lit(1)).alias("features"), F.sum("attribution").alias("sum"))
+    own = model.score(test).select(*USAGE_IDS, "p")
+    gap = F.abs(F.col("sum") - (F.col("p") - F.lit(mean)))
+    return total.join(own, USAGE_IDS).select(*USAGE_IDS, "features", (gap < 1e-9).alias("adds_up"))
 
 
 @query(
@@ -489,7 +507,7 @@ def xai1_lime_linear(spark, d):
     train, test = _usage_rows(spark, d)
     scales = explain.feature_scales(train, USAGE_COLUMNS)
     out = explain.lime(
-        test, USAGE_IDS, USAGE_COLUMNS, scales, linear_score, samples=200, alpha=1e-10
+        test, USAGE_IDS, USAGE_COLUMNS, scales, linear_score, alpha=1e-10
     )
     return rounded(out.select(*USAGE_IDS, "feature", "weight", "local_pred"), 5)
 
@@ -497,9 +515,9 @@ def xai1_lime_linear(spark, d):
 @query("xai5_importance")
 def xai5_importance(spark, d):
     train, test, model = _usage_model(spark, d)
-    background = explain.sample_background(train, USAGE_COLUMNS, 20)
+    background = explain.sample_background(train, USAGE_COLUMNS)
     phi = explain.shapley(test, USAGE_IDS, USAGE_COLUMNS, background, model.score)
-    return explain.importance(phi, USAGE_IDS).where(F.col("rank") <= 3)
+    return explain.importance(phi, USAGE_IDS)
 
 
 @query("xai10_kmeans_background")
@@ -514,13 +532,13 @@ def xai1_lime(spark, d):
     train, test, model = _usage_model(spark, d)
     return explain.lime(
         test, USAGE_IDS, USAGE_COLUMNS, explain.feature_scales(train, USAGE_COLUMNS),
-        model.score, samples=200,
+        model.score,
     )
 
 
 @query("xai12_lime_weights")
 def xai12_lime_weights(spark, d):
-    return explain.top_weights(xai1_lime(spark, d), USAGE_IDS, 3)
+    return explain.ranked_weights(xai1_lime(spark, d), USAGE_IDS)
 
 
 @query("xai11_additive")

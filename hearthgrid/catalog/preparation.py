@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from hearthgrid.operators.prices import hourly_mean_price, replicate_years
 from hearthgrid.operators.runs import drop_partial_first_day
 from hearthgrid.plans import prepare
 from hearthgrid.plans.dates import date_bounds, from_date, min_start, timespan
+from hearthgrid.session import stage, staging_dir
 from hearthgrid.sources import meter, tables
 
 METER = ["household_id", "appliance"]
@@ -23,8 +26,16 @@ WEATHER = list(WEATHER_COLUMNS)
 APPLIANCES = list(V.CONFIG.active_appliances)
 
 
+# The written hourly tables of each application, data directory and way to fill.
+_HOURLY: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def hourly(spark: SparkSession, sf_dir: str, fill: str = "zero") -> DataFrame:
-    return prepare.hourly_readings(V.readings(spark, sf_dir), fill=fill)
+    """Hourly readings, written once in an application and read by all queries on the directory."""
+    key = (spark.sparkContext.applicationId, sf_dir, fill)
+    if key not in _HOURLY:
+        _HOURLY[key] = stage(prepare.hourly_readings(V.readings(spark, sf_dir), fill=fill), "hourly")
+    return _HOURLY[key]
 
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +132,13 @@ def src5_price_years(spark, d):
 
 @query("src6_weather", "SELECT * FROM weather")
 def src6_weather(spark, d):
-    return V.weather(spark, d)
+    """The weather written as a user's CSV and Parquet file and read back; both must agree."""
+    path = f"{staging_dir(spark).rstrip('/')}/weather-{uuid.uuid4().hex}"
+    table = stage(V.weather(spark, d), "weather")
+    table.write.parquet(f"{path}/parquet")
+    table.withColumn("ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).write.option("header", True).csv(f"{path}/csv")
+    read = tables.read_weather(spark, f"{path}/parquet")
+    return read.intersectAll(tables.read_weather(spark, f"{path}/csv", "csv"))
 
 
 @query(
@@ -134,7 +151,7 @@ def src6_weather(spark, d):
     " GROUP BY household_id, appliance) GROUP BY household_id",
 )
 def src8_legend(spark, d):
-    """Configuration documents written as JSON from the readings and parsed back.
+    """Configuration documents written as JSON files from the readings and read back.
 
     The devices of a household are listed by number of readings.
     """
@@ -155,8 +172,9 @@ def src8_legend(spark, d):
             ).alias("user_input"),
         )
     )
-    configs = ranked.select(F.from_json(doc, tables.CONFIG_SCHEMA).alias("c")).select("c.*")
-    return tables.device_legend(configs, 3)
+    path = f"{staging_dir(spark).rstrip('/')}/configs-{uuid.uuid4().hex}"
+    ranked.select(doc.alias("value")).write.text(path)
+    return tables.device_legend(tables.read_configs(spark, path, lines=True), 3)
 
 
 # --- filters -------------------------------------------------------------------------
@@ -411,30 +429,28 @@ def res1_hourly(spark, d):
 
 @query(
     "res1_daily",
-    "SELECT household_id, appliance, date_trunc('day', ts) AS ts, round(avg(watts), 6) AS watts"
-    " FROM readings GROUP BY household_id, appliance, date_trunc('day', ts)",
+    "SELECT m.household_id, m.appliance, m.ts, round(avg(r.watts), 6) AS watts FROM"
+    " (SELECT a.household_id, a.appliance, s.ts FROM (SELECT DISTINCT household_id, appliance FROM readings) a JOIN"
+    "  (SELECT household_id, unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)),"
+    "    INTERVAL 1 DAY))::TIMESTAMP AS ts FROM readings GROUP BY household_id) s USING (household_id)) m"
+    " LEFT JOIN readings r ON r.household_id = m.household_id AND r.appliance = m.appliance"
+    "  AND date_trunc('day', r.ts) = m.ts GROUP BY m.household_id, m.appliance, m.ts",
 )
 def res1_daily(spark, d):
-    daily = resample.resample_mean(
-        V.readings(spark, d), METER, ["watts"], "day", ["household_id"]
+    return rounded(
+        resample.resample_mean(V.readings(spark, d), METER, ["watts"], "day", ["household_id"])
     )
-    return rounded(daily.where(F.col("watts").isNotNull()))
 
 
 @query(
     "res2_day_counts",
     "SELECT d.household_id, d.day, count(r.ts) AS n_rows FROM"
     " (SELECT household_id, unnest(generate_series(CAST(min(ts) AS DATE), CAST(max(ts) AS DATE),"
-    "   INTERVAL 1 DAY))::DATE AS day FROM readings WHERE appliance = 'Dishwasher' AND watts > 1000"
-    "  GROUP BY household_id) d"
-    " LEFT JOIN (SELECT * FROM readings WHERE appliance = 'Dishwasher' AND watts > 1000) r"
-    " ON d.household_id = r.household_id AND d.day = CAST(r.ts AS DATE) GROUP BY ALL",
+    "   INTERVAL 1 DAY))::DATE AS day FROM readings GROUP BY household_id) d"
+    " LEFT JOIN readings r ON d.household_id = r.household_id AND d.day = CAST(r.ts AS DATE) GROUP BY ALL",
 )
 def res2_day_counts(spark, d):
-    strong = V.readings(spark, d).where(
-        (F.col("appliance") == "Dishwasher") & (F.col("watts") > 1000)
-    )
-    return resample.day_counts(strong, ["household_id"])
+    return resample.day_counts(V.readings(spark, d), ["household_id"])
 
 
 @query("fea1_activity", "SELECT household_id, ts, activity FROM activity")

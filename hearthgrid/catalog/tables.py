@@ -8,9 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hearthgrid.catalog import views as V
-from hearthgrid.catalog.decisions import KEY, PAIR, Prepared
-from hearthgrid.catalog.modelling import USAGE_COLUMNS, usage_attributions
-from hearthgrid.catalog.modelling import USAGE_ATTR_SQL, USAGE_FEATURES_SQL, WEATHER
+from hearthgrid.catalog.decisions import KEY, MSE_SQL, PAIR, Prepared, _auc_sql
+from hearthgrid.catalog.modelling import ACTIVITY_ATTR_SQL, USAGE_ATTR_SQL, USAGE_FEATURES_SQL
+from hearthgrid.catalog.modelling import USAGE_COLUMNS, WEATHER, XAI6_SQL, XAI7_SQL
+from hearthgrid.catalog.modelling import activity_attributions, unscaled, usage_attributions
 from hearthgrid.catalog.preparation import METER, hourly, load
 from hearthgrid.catalog.registry import NUDGE, query, rounded
 from hearthgrid.functions.exprs import agent_key
@@ -18,7 +19,7 @@ from hearthgrid.functions.times import hour_start
 from hearthgrid.operators import metrics, resample
 from hearthgrid.operators.prefix import weighted_quantiles
 from hearthgrid.operators.runs import DEVICE, HOURS
-from hearthgrid.plans import decide, prepare
+from hearthgrid.plans import decide, explained, prepare
 from hearthgrid.plans.dates import before_date
 from hearthgrid.session import stage, staging_dir
 from hearthgrid.sources import meter, tables
@@ -87,19 +88,23 @@ def snk2_weather_tables(spark, d):
 
 @query(
     "snk3_append_scores",
-    "SELECT 'rank' AS model, 'all' AS params, 'labels' AS metric, CAST(count(*) AS DOUBLE) AS value"
-    " FROM scores UNION ALL"
-    " SELECT 'rank', 'positive', 'labels', CAST(count(*) FILTER (WHERE label = 1) AS DOUBLE) FROM scores",
+    f"SELECT 'length' AS model, 'all' AS params, 'auc' AS metric, auc AS value FROM ({_auc_sql('scores', '', 'label', 'score')})"
+    " UNION ALL SELECT 'frequency', CAST(household_id AS VARCHAR), 'auc', auc FROM"
+    f" ({_auc_sql('surrogates', 'household_id', 'label', 'model')})",
 )
 def snk3_append_scores(spark, d):
+    """AUC rows of two models appended to one table one after the other."""
     path = _new_path(spark, "scores")
-    one = V.scores(spark, d).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 1).alias("pos")
-    ).first()
-    tables.append_scores(spark, [("rank", {"rows": "all"}, "labels", float(one["n"]))], path)
-    tables.append_scores(spark, [("rank", {"rows": "positive"}, "labels", float(one["pos"]))], path)
+    rows = lambda scores, model, params: scores.select(
+        F.lit(model).alias("model"), F.create_map(F.lit("rows"), params).alias("params"),
+        F.lit("auc").alias("metric"), F.col("auc").alias("value"),
+    )
+    one = metrics.auc(V.scores(spark, d), [], "label", "score")
+    tables.append_scores(rows(one, "length", F.lit("all")), path)
+    many = metrics.auc(Prepared(spark, d).surrogates(), ["household_id"], "label", "model")
+    tables.append_scores(rows(many, "frequency", F.col("household_id").cast("string")), path)
     read = tables.read_table(spark, path)
-    return read.select("model", F.col("params")["rows"].alias("params"), "metric", "value")
+    return rounded(read.select("model", F.col("params")["rows"].alias("params"), "metric", "value"))
 
 
 @query(
@@ -250,10 +255,7 @@ def agg2_price_quantiles(spark, d):
     counts = V.prices(spark, d).groupBy(F.hour("ts").alias("hour"), "price").agg(
         F.count(F.lit(1)).alias("n")
     )
-    out = weighted_quantiles(
-        counts, ["hour"], "price", "n", {"q1": 0.25, "median": 0.5, "q3": 0.75},
-        F.floor(F.col("price") / 10),
-    )
+    out = weighted_quantiles(counts, ["hour"], "price", "n", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     return rounded(out, nudge=NUDGE)
 
 
@@ -339,21 +341,64 @@ def jn9_aligned_predictions(spark, d):
     return rounded(Prepared(spark, d).surrogates(), 8)
 
 
+_USAGE_SCORES = (
+    "(SELECT u.household_id, u.device, u.usage, p.p FROM usage u JOIN p_usage p ON p.household_id = u.household_id"
+    " AND p.device = u.device AND p.day = u.day WHERE p.p IS NOT NULL)"
+)
+
+
 @query(
     "evl10_agent_scores",
-    "SELECT household_id, 'load_' || lower(replace(device, ' ', '_')) AS agent, 'runs' AS metric,"
-    " CAST(count(*) AS DOUBLE) AS value FROM day_starts GROUP BY ALL UNION ALL"
-    " SELECT household_id, 'activity', 'rows', CAST(count(*) AS DOUBLE) FROM surrogates GROUP BY household_id",
+    "SELECT household_id, 'load_' || lower(replace(device, ' ', '_')) AS agent, 'mse' AS metric, mse AS value"
+    f" FROM ({MSE_SQL}) UNION ALL"
+    f" SELECT household_id, 'activity', 'auc', auc FROM ({_auc_sql('surrogates', 'household_id', 'label', 'model')})"
+    " UNION ALL SELECT household_id, 'usage_' || lower(replace(device, ' ', '_')), 'auc', auc FROM"
+    f" ({_auc_sql(_USAGE_SCORES, 'household_id, device', 'usage', 'p')})",
 )
 def evl10_agent_scores(spark, d):
-    """Score rows of all agents in one long table."""
+    """AUC of activity and usage and error of the load profiles, of all agents in one long table."""
+    t = Prepared(spark, d)
+    agent = lambda kind: F.concat(F.lit(f"{kind}_"), agent_key(F.col("device"))).alias("agent")
+    load_rows = metrics.load_mse(t.runs(), t.profiles()).select(
+        "household_id", agent("load"), F.lit("mse").alias("metric"), F.round("mse", 4).alias("value")
+    )
+    activity_rows = metrics.auc(t.surrogates(), ["household_id"], "label", "model").select(
+        "household_id", F.lit("activity").alias("agent"), F.lit("auc").alias("metric"), F.col("auc").alias("value")
+    )
+    p = decide.usage_frequency(t.usage())
+    scored = t.usage().select(*KEY, "usage").join(p, KEY).where(F.col("p").isNotNull())
+    usage_rows = metrics.auc(scored, DEVICE, "usage", "p").select(
+        "household_id", agent("usage"), F.lit("auc").alias("metric"), F.col("auc").alias("value")
+    )
+    return rounded(load_rows.unionByName(activity_rows).unionByName(usage_rows))
+
+
+REC_EXPLAINED_SQL = (
+    "SELECT r.household_id, r.device, r.day, r.best_launch_hour, r.recommendation,"
+    " a.sentence AS activity_sentence, u.sentence AS usage_sentence"
+    f" FROM (SELECT * FROM recs WHERE {PAIR}) r LEFT JOIN ({XAI6_SQL}) a ON a.household_id = r.household_id"
+    "  AND a.ts = CAST(r.day AS TIMESTAMP) + to_hours(r.best_launch_hour)"
+    f" LEFT JOIN ({XAI7_SQL}) u ON u.household_id = r.household_id AND u.device = r.device AND u.day = r.day"
+)
+
+
+@query("rec_explained", REC_EXPLAINED_SQL)
+def rec_explained(spark, d):
+    """Recommendations with the reasons at their own hour, in words."""
     t = Prepared(spark, d)
-    by_device = metrics.load_mse(t.runs(), t.profiles())
-    load_rows = by_device.select(
-        "household_id", F.concat(F.lit("load_"), agent_key(F.col("device"))).alias("agent"),
-        F.lit("runs").alias("metric"), F.col("n_runs").cast("double").alias("value"),
+    return explained.with_sentences(
+        t.recommended(), unscaled(activity_attributions(spark, d)), unscaled(usage_attributions(spark, d))
     )
-    activity_rows = t.surrogates().groupBy("household_id").agg(
-        F.count(F.lit(1)).cast("double").alias("value")
-    ).select("household_id", F.lit("activity").alias("agent"), F.lit("rows").alias("metric"), "value")
-    return load_rows.unionByName(activity_rows)
+
+
+@query(
+    "xai5_recommended_hour",
+    "SELECT r.household_id, r.device, r.day, r.best_launch_hour, a.feature, round(a.attribution, 8) AS attribution,"
+    " CAST(row_number() OVER (PARTITION BY r.household_id, r.device, r.day ORDER BY a.attribution DESC NULLS LAST, a.feature)"
+    f" AS INT) AS rank FROM (SELECT * FROM recs WHERE {PAIR}) r JOIN ({ACTIVITY_ATTR_SQL}) a"
+    " ON a.household_id = r.household_id AND a.ts = CAST(r.day AS TIMESTAMP) + to_hours(r.best_launch_hour)",
+)
+def xai5_recommended_hour(spark, d):
+    """All features of the activity score at the recommended hour, strongest first."""
+    ranked = explained.at_recommended_hour(Prepared(spark, d).recommended(), activity_attributions(spark, d))
+    return rounded(ranked.select(*KEY, "best_launch_hour", "feature", "attribution", "rank"), 8)

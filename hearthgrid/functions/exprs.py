@@ -39,3 +39,9 @@ def agent_key(device: Column) -> Column:
 def saving_percent(price: Column, mean_price: Column) -> Column:
     """Share saved against the mean price of the day, in percent (CST-3)."""
     return F.round((1 - price / mean_price) * 100, 2)
+
+
+def within(position: Column, positions: int) -> Column:
+    """``position`` if it is below ``positions``, else an error when the row is read."""
+    message = F.concat(F.lit(f"only {positions} positions, found position "), position.cast("string"))
+    return F.when(position < positions, position).otherwise(F.raise_error(message).cast("int"))

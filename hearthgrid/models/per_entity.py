@@ -41,17 +41,46 @@ def predict_logistic(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(w[0] + x @ w[1:], -35, 35)))
 
 
-def predict_knn(train_x: np.ndarray, train_y: np.ndarray, x: np.ndarray, k: int = 10) -> np.ndarray:
-    """Share of ones among the k nearest training rows; ties go to the earlier row."""
-    k = min(k, len(train_x))
-    out = np.empty(len(x))
-    for i, row in enumerate(x):
-        dist = ((train_x - row) ** 2).sum(axis=1)
-        limit = np.partition(dist, k - 1)[k - 1]
-        near = dist < limit
-        ties = np.flatnonzero(dist == limit)[: k - int(near.sum())]
-        out[i] = (train_y[near].sum() + train_y[ties].sum()) / k
-    return out
+class NearestRows:
+    """Share of ones among the nearest earlier rows, found on the distinct feature cells; ties go to the earlier row.
+
+    Calendar features and flags take few values, so distances are computed once between cells,
+    and a fold only counts the training rows of each cell.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.y = y
+        self.cells, self.cell_of = np.unique(x, axis=0, return_inverse=True)
+        self.cell_of = self.cell_of.reshape(-1)
+        self.found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _ranked(self, cell: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distances of all cells from ``cell`` and their order."""
+        if cell not in self.found:
+            distance = ((self.cells - self.cells[cell]) ** 2).sum(axis=1)
+            self.found[cell] = distance, np.argsort(distance, kind="stable")
+        return self.found[cell]
+
+    def predict(self, known: np.ndarray, target: np.ndarray, n_neighbors: int = 10) -> np.ndarray:
+        """Shares for the rows at ``target`` from the rows at ``known`` (both sorted positions)."""
+        k = min(n_neighbors, len(known))
+        counts = np.bincount(self.cell_of[known], minlength=len(self.cells))
+        ones = np.bincount(self.cell_of[known], self.y[known], len(self.cells))
+        share: dict[int, float] = {}
+        for cell in set(self.cell_of[target].tolist()):
+            distance, order = self._ranked(cell)
+            reached = order[np.searchsorted(np.cumsum(counts[order]), k)]
+            near = distance < distance[reached]
+            edge = known[(distance == distance[reached])[self.cell_of[known]]][: k - int(counts[near].sum())]
+            share[cell] = (ones[near].sum() + self.y[edge].sum()) / k
+        return np.array([share[c] for c in self.cell_of[target].tolist()])
+
+
+def predict_knn(train_x: np.ndarray, train_y: np.ndarray, x: np.ndarray, n_neighbors: int = 10) -> np.ndarray:
+    """Share of ones among the nearest training rows."""
+    both = NearestRows(np.concatenate([train_x, x]), np.concatenate([train_y, np.zeros(len(x))]))
+    n = len(train_x)
+    return both.predict(np.arange(n), np.arange(n, n + len(x)), n_neighbors)
 
 
 def rank_auc(y: np.ndarray, p: np.ndarray) -> float | None:
@@ -73,7 +102,7 @@ def _walk(keys: list[str], order: str, columns: list[str], label: str, model_typ
         p = np.full(len(rows), np.nan)
         train_auc = np.full(len(rows), np.nan)
         reason = np.full(len(rows), None, dtype=object)
-        w = None
+        w, nearest = None, None
         for day in pd.unique(days):
             today = days == day
             known = usable & (days < day if leak_free else days <= day)
@@ -90,7 +119,11 @@ def _walk(keys: list[str], order: str, columns: list[str], label: str, model_typ
                 score = rank_auc(y[known], predict_logistic(w, x[known]))
                 train_auc[today] = np.nan if score is None else score
             else:
-                p[target] = predict_knn(x[known], y[known], x[target], **params)
+                if nearest is None:
+                    places = np.flatnonzero(usable)
+                    number = np.cumsum(usable) - 1
+                    nearest = NearestRows(x[places], y[places])
+                p[target] = nearest.predict(number[np.flatnonzero(known)], number[np.flatnonzero(target)], **params)
             reason[today & ~usable] = "missing features"
         out = rows[[*keys, order]].copy()
         out["label"], out["p"], out["train_auc"], out["reason"] = y, p, train_auc, reason

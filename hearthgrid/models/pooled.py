@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -16,11 +17,13 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import OneHotEncoder, QuantileDiscretizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthgrid.operators.metrics import auc
-from hearthgrid.session import ensure_checkpoint_dir
+from hearthgrid.models.splits import fold_start
+from hearthgrid.session import stage
 
 SCORE = "p"
 SEED = 0
@@ -76,62 +79,63 @@ def fit_boosting(train: DataFrame, columns: list[str], label: str, learning_rate
     return Scorer(Pipeline(stages=[_assembler(columns), gbt]).fit(train), columns)
 
 
+def _log_odds(p: float) -> float:
+    eps = 2.220446049250313e-16
+    p = min(max(p, eps), 1 - eps)
+    return (math.log(p) - math.log(1 - p)) / 2
+
+
 class AdaScorer(Scorer):
-    """Sum of stump log-odds, turned into a probability."""
+    """Sum of stump log-odds, turned into a probability.
 
-    def score(self, df: DataFrame) -> DataFrame:
-        out = _assembler(self.columns).transform(df).withColumn("_margin", F.lit(0.0))
-        for stump in self.model:
-            out = _add_margin(stump, out)
-        p = 1 / (1 + F.exp(-2 * F.col("_margin") / len(self.model)))
-        return out.select(*df.columns, p.alias(SCORE))
+    ``model`` is a list of ``(column, threshold, log-odds up to it, log-odds above)``; stumps on one column and
+    threshold are added up, so the score is one expression with as many cases as there are different splits.
+    """
 
+    def margin(self) -> Column:
+        sides: dict[tuple[str, float], list[float]] = {}
+        for column, threshold, low, high in self.model:
+            both = sides.setdefault((column, threshold), [0.0, 0.0])
+            both[0] += low
+            both[1] += high
+        # NaN is above any threshold
+        cases = [F.when(F.col(c) <= t, low).otherwise(high) for (c, t), (low, high) in sides.items()]
+        return reduce(Column.__add__, cases, F.lit(0.0))
 
-def _log_odds(probability: str) -> Column:
-    eps = 2.220446049250313e-16
-    clip = lambda c: F.greatest(F.lit(eps), F.least(F.lit(1 - eps), c))
-    p = vector_to_array(probability)
-    return (F.log(clip(p[1])) - F.log(clip(p[0]))) / 2
+    def score(self, df: DataFrame) -> DataFrame:
+        p = 1 / (1 + F.exp(-2 * self.margin() / len(self.model)))
+        return df.select(*df.columns, p.alias(SCORE))
 
 
-def _add_margin(stump, df: DataFrame) -> DataFrame:
-    scored = stump.transform(df)
-    return scored.withColumn("_margin", F.col("_margin") + _log_odds("probability")).drop(
-        "probability", "rawPrediction", "prediction"
-    )
+def _stump(tree, columns: list[str]) -> tuple[str, float, float, float]:
+    """Split and leaf log-odds of a fitted stump."""
+    split = re.search(r"feature (\d+) <= (\S+)\)", tree.toDebugString)
+    feature, threshold = (int(split[1]), float(split[2])) if split else (0, math.inf)
+    sides = []
+    for value in (threshold, math.inf):
+        at = [0.0] * len(columns)
+        at[feature] = value
+        sides.append(_log_odds(float(tree.predictProbability(Vectors.dense(at))[1])))
+    return columns[feature], threshold, *sides
 
 
 def fit_ada(train: DataFrame, columns: list[str], label: str, learning_rate: float = 0.1,
-            n_estimators: int = 100, checkpoint_every: int = 10) -> AdaScorer:
+            n_estimators: int = 100) -> AdaScorer:
     """Real-valued AdaBoost over stumps (MDL-4).
 
     Each round fits a weighted stump and multiplies the weight of a row by
     ``exp(-learning_rate * y * log_odds / 2)`` with y = +1 or -1, so a weight only
-    depends on the summed log-odds of its row; the weights are normalised by one
-    aggregate. The lineage is cut every few rounds.
+    depends on the summed log-odds of its row. It is computed from the stumps so far, and the
+    written rows never change.
     """
-    ensure_checkpoint_dir(train.sparkSession)
-    n = train.count()
-    rows = (
-        _assembler(columns).transform(train.select(*columns, label))
-        .select("features", label)
-        .withColumn("_margin", F.lit(0.0))
-    )
+    rows = stage(_assembler(columns).transform(train.select(*columns, label)), "ada")
     sign = F.when(F.col(label) == 1, 1.0).otherwise(-1.0)
-    weight = F.exp(-learning_rate * sign * F.col("_margin"))
-    rows = rows.checkpoint()
-    stumps = []
-    for i in range(n_estimators):
-        total = rows.agg(F.sum(weight)).first()[0]
-        weighted = rows.withColumn("_w", weight * F.lit(n / total))
-        stump = DecisionTreeClassifier(
-            labelCol=label, weightCol="_w", maxDepth=1, seed=SEED
-        ).fit(weighted)
-        stumps.append(stump)
-        rows = _add_margin(stump, rows)
-        if (i + 1) % checkpoint_every == 0:
-            rows = rows.checkpoint()
-    return AdaScorer(stumps, columns)
+    scorer = AdaScorer([], columns)
+    tree = DecisionTreeClassifier(labelCol=label, weightCol="_w", maxDepth=1, seed=SEED)
+    for _ in range(n_estimators):
+        weighted = rows.select("features", label, F.exp(-learning_rate * sign * scorer.margin()).alias("_w"))
+        scorer.model.append(_stump(tree.fit(weighted), columns))
+    return scorer
 
 
 def fit_additive(train: DataFrame, columns: list[str], label: str, bins: int = 16,
@@ -207,6 +211,13 @@ def additive_contributions(scorer: Scorer, df: DataFrame, ids: list[str]) -> Dat
     return binned.select(*ids, F.explode(F.array(*parts)).alias("_f")).select(*ids, "_f.*")
 
 
+def folds(features: DataFrame, day: str, refit_every: str = "month") -> list[tuple[str, str]]:
+    """First and last day of every refit period in the data; one row per period is collected."""
+    start = fold_start(F.col(day), refit_every).alias("first")
+    spans = features.groupBy(start).agg(F.max(day).alias("last")).orderBy("first").collect()
+    return [(str(r["first"]), str(r["last"])) for r in spans]
+
+
 def walk_forward(
     features: DataFrame,
     folds: list[tuple[str, str]],
@@ -252,11 +263,11 @@ def cold_start(
         if train.select(label).distinct().count() < 2:
             continue
         scored = fit(model_type, train, columns, label, **params).score(usable)
-        parts.append(
-            auc(scored, keys, label, SCORE).withColumnRenamed("auc", "score")
-            .withColumn("day", F.lit(d).cast("date"))
-        )
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(scored.select(*keys, label, SCORE, F.lit(d).cast("date").alias("day")))
+    if not parts:
+        raise ValueError("no day has training data of both classes")
+    every = stage(reduce(DataFrame.unionByName, parts), "scores")
+    return auc(every, [*keys, "day"], label, SCORE).withColumnRenamed("auc", "score")
 
 
 # Parameter grid per model.

@@ -10,9 +10,6 @@ from hearthgrid.functions.exprs import minmax, winsorise
 from hearthgrid.operators.prefix import weighted_quantiles
 from hearthgrid.session import attach, stage
 
-# Distinct watt values sorted together when quantiles are computed.
-WATT_CHUNK = 32.0
-
 
 def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rows per key and distinct value; combines on the map side, so hot keys shrink first."""
@@ -28,13 +25,10 @@ def outlier_bounds(
     keys: list[str],
     value: str = "watts",
     factor: float = IQR_FACTOR,
-    chunk_width: float = WATT_CHUNK,
 ) -> DataFrame:
     """Quartiles over the non-zero values and the bounds ``q1 - f*iqr``, ``q3 + f*iqr``."""
     counts = value_counts(df.where(F.col(value) != 0), keys, value)
-    quartiles = weighted_quantiles(
-        counts, keys, value, "n", {"q1": 0.25, "q3": 0.75}, F.floor(F.col(value) / chunk_width)
-    )
+    quartiles = weighted_quantiles(counts, keys, value, "n", {"q1": 0.25, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     return quartiles.select(
         *keys,
@@ -50,11 +44,9 @@ def with_bounds(
     keys: list[str],
     value: str = "watts",
     factor: float = IQR_FACTOR,
-    spread: Column | None = None,
 ) -> DataFrame:
     bounds = stage(outlier_bounds(df, keys, value, factor), "bounds")
-    spread = spread if spread is not None else F.col("ts")
-    return attach(df, bounds.select(*keys, "lower", "upper"), keys, spread, "left")
+    return attach(df, bounds.select(*keys, "lower", "upper"), keys, "left")
 
 
 def truncate_outliers(
@@ -87,7 +79,7 @@ def scale_minmax(df: DataFrame, keys: list[str], value: str = "watts") -> DataFr
         df.groupBy(*keys).agg(F.min(value).alias("_min"), F.max(value).alias("_max")), "limits"
     )
     return (
-        attach(df, limits, keys, F.col("ts"), "left")
+        attach(df, limits, keys, "left")
         .withColumn("scaled", minmax(F.col(value), F.col("_min"), F.col("_max")))
         .drop("_min", "_max")
     )
@@ -139,7 +131,7 @@ def forward_fill(
     )
 
 
-def profile(df: DataFrame, keys: list[str], value: str, chunk_width: float = WATT_CHUNK) -> DataFrame:
+def profile(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Descriptive statistics per key (CLN-7): counts, moments, extremes, exact quartiles."""
     moments = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -155,7 +147,6 @@ def profile(df: DataFrame, keys: list[str], value: str, chunk_width: float = WAT
         value,
         "n",
         {"p25": 0.25, "p50": 0.5, "p75": 0.75},
-        F.floor(F.col(value) / chunk_width),
     ).drop("n")
     return moments.join(quartiles, keys, "left")
 
@@ -168,7 +159,7 @@ def histogram(df: DataFrame, keys: list[str], value: str, bins: int = 50) -> Dat
     v, lo, hi = F.col(value), F.col("_min"), F.col("_max")
     bin_no = F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * bins), F.lit(bins - 1))).otherwise(0)
     return (
-        attach(df.where(v.isNotNull()), limits, keys, F.col("ts"))
+        attach(df.where(v.isNotNull()), limits, keys)
         .groupBy(*keys, bin_no.cast("int").alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )

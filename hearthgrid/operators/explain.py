@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 from hearthgrid.session import attach, spread_out, stage
 
 Scorer = Callable[[DataFrame], DataFrame]
-MAX_BACKGROUND = 100
-EXACT_FEATURES = 8
+# Rows drawn as the background unless another number is given.
+BACKGROUND_ROWS = 100
 
 
 def _literal_array(rows: list[dict], schema: str) -> Column:
@@ -36,14 +36,12 @@ def _literal_array(rows: list[dict], schema: str) -> Column:
 
 
 def sample_background(
-    train: DataFrame, columns: list[str], n: int = MAX_BACKGROUND, seed: int = 0
+    train: DataFrame, columns: list[str], n: int = BACKGROUND_ROWS, seed: int = 0
 ) -> list[dict]:
     """At most ``n`` rows with equal weight; a sampling operator by definition.
 
     Rows are ordered by a hash of their values, so the choice does not depend on the partitions.
     """
-    if n > MAX_BACKGROUND:
-        raise ValueError(f"at most {MAX_BACKGROUND} background rows")
     known = train.select(*[F.col(c).cast("double") for c in columns]).na.drop()
     rows = known.orderBy(F.xxhash64(F.lit(seed), *columns), *columns).limit(n).collect()
     return [{"w": 1.0 / len(rows), **{c: r[c] for c in columns}} for r in rows]
@@ -104,22 +102,22 @@ def shapley(
     columns: list[str],
     background: list[dict],
     scorer: Scorer,
+    method: str = "exact",
     permutations: int = 32,
     seed: int = 0,
 ) -> DataFrame:
     """Shapley values of the probability: ``ids, feature, value, attribution, base, prediction`` (XAI-2).
 
-    Up to 8 features all coalitions are used, above that random feature orders. The
-    attributions of an instance add up to prediction - base in both cases. Each instance
+    ``method='exact'`` uses all ``2**m`` coalitions of the m features, ``method='permutation'`` random
+    feature orders and their reverses, ``permutations`` in all. The attributions of an
+    instance add up to prediction - base in both cases. Each instance
     is repeated per coalition and background row inside its task; one aggregate per
     instance sums ``coefficient * weight * p``.
     """
     m = len(columns)
-    if len(background) > MAX_BACKGROUND:
-        raise ValueError(f"at most {MAX_BACKGROUND} background rows")
-    coalitions = (
-        _exact_coalitions(m) if m <= EXACT_FEATURES else _sampled_coalitions(m, permutations, seed)
-    )
+    if method not in ("exact", "permutation"):
+        raise ValueError(f"unknown method {method!r}, use 'exact' or 'permutation'")
+    coalitions = _exact_coalitions(m) if method == "exact" else _sampled_coalitions(m, permutations, seed)
     numbered = [{"w": b["w"], "v": [float(b[c]) for c in columns]} for b in background]
     value = lambda c: F.col(c).cast("double")
     mixed = (
@@ -168,7 +166,7 @@ def linear_attributions(
     side and joined back, so a group may hold any share of the rows.
     """
     means = rows.groupBy(*means_by).agg(*[F.avg(c).alias(f"_m_{c}") for c in weights])
-    joined = attach(rows, stage(means, "means"), means_by, F.xxhash64(*ids))
+    joined = attach(rows, stage(means, "means"), means_by)
     parts = F.array(
         *[
             F.struct(
@@ -220,14 +218,11 @@ def _ridge(m: int, alpha: float):
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def solve(gram: pd.Series, moment: pd.Series) -> pd.Series:
-        out = []
-        penalty = np.diag([0.0] + [alpha] * m)
-        for g, b in zip(gram, moment):
-            upper = np.zeros((m + 1, m + 1))
-            upper[np.triu_indices(m + 1)] = g
-            full = upper + np.triu(upper, 1).T
-            out.append(np.linalg.solve(full + penalty, np.asarray(b)).tolist())
-        return pd.Series(out)
+        i, j = np.triu_indices(m + 1)
+        full = np.zeros((len(gram), m + 1, m + 1))
+        full[:, i, j] = full[:, j, i] = np.stack(gram.to_list())
+        full += np.diag([0.0] + [alpha] * m)
+        return pd.Series(list(np.linalg.solve(full, np.stack(moment.to_list())[:, :, None])[:, :, 0]))
 
     return solve
 
@@ -238,7 +233,7 @@ def lime(
     columns: list[str],
     scales: dict[str, tuple[float, float]],
     scorer: Scorer,
-    samples: int = 500,
+    samples: int = 5000,
     kernel_width: float | None = None,
     alpha: float = 1.0,
     seed: int = 0,
@@ -304,7 +299,7 @@ def feature_scales(train: DataFrame, columns: list[str]) -> dict[str, tuple[floa
     return {c: (one[f"m_{c}"], one[f"s_{c}"]) for c in columns}
 
 
-def top_weights(surrogate: DataFrame, ids: list[str], k: int = 10) -> DataFrame:
-    """The k strongest surrogate weights of each instance (XAI-12)."""
+def ranked_weights(surrogate: DataFrame, ids: list[str]) -> DataFrame:
+    """Surrogate weights of each instance, strongest first, with their rank (XAI-12)."""
     w = Window.partitionBy(*ids).orderBy(F.desc(F.abs("weight")), "feature")
-    return surrogate.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return surrogate.withColumn("rank", F.row_number().over(w))

@@ -5,19 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthgrid.functions.exprs import within
 from hearthgrid.operators.prefix import running_totals
 from hearthgrid.operators.runs import DEVICE, HOURS
 
-# Distinct scores sorted together: probabilities are cut into this many slices.
-SCORE_SLICES = 1024
-
 
 def auc(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
     """Area under the ROC curve with half credit for ties (MET-1); one class only gives NULL.
 
     Rows are first reduced to positives and negatives per distinct score. Running
-    totals over score slices replace a global sort, so one key may hold all rows.
-    Scores must lie in [0, 1] for an even split; other values only make slices uneven.
+    totals over ranges of scores replace a global sort, so one key may hold all rows.
     """
     groups = keys or ["_all"]
     rows = df if keys else df.withColumn("_all", F.lit(0))
@@ -25,9 +22,7 @@ def auc(df: DataFrame, keys: list[str], label: str, score: str) -> DataFrame:
     counts = known.groupBy(*groups, score).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")
     )
-    ranked = running_totals(
-        counts, groups, score, ["pos", "neg"], F.floor(F.col(score) * SCORE_SLICES)
-    )
+    ranked = running_totals(counts, groups, score, ["pos", "neg"])
     beaten = F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / 2))
     pairs = F.first("pos_total") * F.first("neg_total")
     out = ranked.groupBy(*groups).agg(
@@ -159,11 +154,12 @@ def framework_days(days: DataFrame, by: list[str]) -> DataFrame:
 def score_table(scores: DataFrame, metric: str, positions: int) -> DataFrame:
     """Household by device position table of one score (MET-8, AGG-8).
 
-    ``scores`` has ``household_id, device, <metric>``; positions follow the device name.
+    ``scores`` has ``household_id, device, <metric>``; positions follow the device name. A
+    household with more devices than ``positions`` is an error.
     """
     w = Window.partitionBy("household_id").orderBy("device")
     wide = (
-        scores.withColumn("_pos", F.row_number().over(w) - 1)
+        scores.withColumn("_pos", within(F.row_number().over(w) - 1, positions))
         .groupBy("household_id")
         .pivot("_pos", list(range(positions)))
         .agg(F.first(metric))

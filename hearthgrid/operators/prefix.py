@@ -2,9 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthgrid.session import stage
+
+# Ranges of values that are sorted apart from each other.
+CHUNKS = 1024
+
+
+def into_chunks(rows: DataFrame, keys: list[str], order: str, chunks: int = CHUNKS) -> DataFrame:
+    """Rows with ``_chunk``, the range that ``order`` falls into, dealt by key and range.
+
+    The ranges are cut at approximate quantiles of the values themselves, so each holds about
+    ``1 / chunks`` of all rows, however the values are spread. One exchange serves the
+    windows inside the chunks and the totals of the chunks.
+    """
+    rows = stage(rows, "values")
+    shares = [i / chunks for i in range(1, chunks)]
+    value = F.col(order).cast("double")
+    cuts = rows.agg(F.percentile_approx(value, shares, 10 * chunks).alias("cuts")).first().cuts or []
+    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    if not cuts:
+        return rows.withColumn("_chunk", F.lit(0)).repartition(*keys, "_chunk")
+    numbered = Bucketizer(splits=splits, inputCol="_order", outputCol="_range").transform(
+        rows.withColumn("_order", value)
+    )
+    return (
+        numbered.withColumn("_chunk", F.col("_range").cast("int"))
+        .drop("_order", "_range")
+        .repartition(*keys, "_chunk")
+    )
+
 
 def _chunk_totals(chunked: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
     """Totals per key and chunk with ``_b_<c>`` (earlier chunks) and ``<c>_total`` (whole key).
@@ -47,22 +77,21 @@ def _totals_inside(
 
 
 def running_totals(
-    df: DataFrame, keys: list[str], order: str, sums: list[str], chunk: Column
+    df: DataFrame, keys: list[str], order: str, sums: list[str], chunks: int = CHUNKS
 ) -> DataFrame:
     """Add ``<c>_before`` and ``<c>_total`` for each column of ``sums``.
 
     ``<c>_before`` is the total over all rows of the key with a smaller ``order`` value
-    (which must be unique per key), ``<c>_total`` the total of the key. ``chunk`` must
-    grow with ``order``. Rows are sorted inside one chunk only; the totals of earlier
-    chunks come from a second, much smaller table, so no task ever sees a whole key.
+    (which must be unique per key, and a number), ``<c>_total`` the total of the key. Rows are
+    sorted inside one chunk only; the totals of earlier chunks come from a second, much
+    smaller table, so no task ever sees a whole key.
     """
-    # one exchange serves the window inside the chunks and the totals of the chunks
-    chunked = df.withColumn("_chunk", chunk).repartition(*keys, "_chunk")
+    chunked = into_chunks(df, keys, order, chunks)
     return _totals_inside(chunked, _chunk_totals(chunked, keys, sums), keys, order, sums)
 
 
 def weighted_quantiles(
-    counts: DataFrame, keys: list[str], value: str, n: str, probs: dict[str, float], chunk: Column
+    counts: DataFrame, keys: list[str], value: str, n: str, probs: dict[str, float], chunks: int = CHUNKS
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles from a value/count table (AGG-2).
 
@@ -70,7 +99,7 @@ def weighted_quantiles(
     hold the wanted ranks; only those are sorted. The value at rank r is the one whose
     count interval covers r.
     """
-    chunked = counts.withColumn("_chunk", chunk).repartition(*keys, "_chunk")
+    chunked = into_chunks(counts, keys, value, chunks)
     totals = _chunk_totals(chunked, keys, [n])
     total = F.col(f"{n}_total")
     ranks = {

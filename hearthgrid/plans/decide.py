@@ -79,9 +79,7 @@ def day_inputs(
     rows = profiles.select(*KEY, "n_runs", profile_vector().alias("profile"))
     rows = rows.join(p_usage.select(*KEY, F.col("p").alias("p_usage")), KEY, "left")
     rows = rows.join(hour_probabilities(p_activity), ["household_id", "day"], "left")
-    rows = attach(
-        rows, stage(price_vectors(prices), "prices"), ["day"], F.col("household_id"), "left"
-    )
+    rows = attach(rows, stage(price_vectors(prices), "prices"), ["day"], "left")
     unknown_hour = F.col("p_activity").isNull() | F.exists("p_activity", lambda p: p.isNull())
     reason = (
         F.when(F.col("prices").isNull(), "missing prices")

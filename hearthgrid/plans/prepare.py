@@ -32,7 +32,7 @@ def hourly_readings(readings: DataFrame, factor: float = 1.5, fill: str = "null"
     to 0 in hours without a reading.
     """
     clean = readings.withColumn("watts", null_if_nan(F.col("watts")))
-    bounded = with_bounds(clean, METER, "watts", factor, spread=hour_start(F.col("ts")))
+    bounded = with_bounds(clean, METER, "watts", factor)
     cut = bounded.select(
         *METER,
         hour_start(F.col("ts")).alias("ts"),
@@ -57,7 +57,7 @@ def join_weather(df: DataFrame, weather: DataFrame, on: str = "ts") -> DataFrame
     Weather has one row per hour or day of the calendar. It is staged, so its size is
     known before it is broadcast.
     """
-    return attach(df, stage(weather, "weather"), [on], F.col("household_id"), "left")
+    return attach(df, stage(weather, "weather"), [on], "left")
 
 
 def weather_rows_kept(df: DataFrame, weather: DataFrame, on: str = "ts") -> DataFrame:
@@ -143,7 +143,7 @@ def with_household_settings(hourly: DataFrame, configs: DataFrame) -> DataFrame:
         F.col("user_input.active_appliances").alias("_active"),
         F.col("user_input.shiftable_devices").alias("_shiftable"),
     )
-    joined = attach(hourly, stage(settings, "settings"), ["household_id"], F.col("ts"))
+    joined = attach(hourly, stage(settings, "settings"), ["household_id"])
     return joined.select(
         *hourly.columns,
         "threshold",

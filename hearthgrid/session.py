@@ -5,12 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A dimension up to this many rows is broadcast; a larger one is joined by a salted shuffle.
-BROADCAST_ROWS = 4_000_000
-SALTS = 64
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "hearthgrid", master: str | None = None, **conf: str) -> SparkSession:
@@ -48,13 +43,6 @@ def staging_dir(spark: SparkSession) -> str:
     return path
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint()`` usable."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(staging_dir(spark))
-
-
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the staging area and read it back.
 
@@ -78,25 +66,11 @@ def spread_out(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-def attach(
-    fact: DataFrame,
-    dim: DataFrame,
-    on: list[str],
-    spread: Column,
-    how: str = "inner",
-    broadcast_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
+def attach(fact: DataFrame, dim: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join a staged dimension (unique on ``on``) to a fact table that may have hot keys.
 
-    ``dim`` must come from :func:`stage`, so counting it reads file footers only.
-    Up to ``broadcast_rows`` rows it is broadcast and the fact table is not shuffled.
-    Beyond that the join key gets a salt taken from ``spread`` (a fact column that
-    varies inside a hot key, e.g. the hour) and the dimension is repeated per salt, so
-    a hot key is shared out over ``salts`` tasks.
+    ``dim`` must come from :func:`stage`: the planner then knows its bytes and broadcasts it only below
+    ``spark.sql.autoBroadcastJoinThreshold``. Beyond that both sides are shuffled, and
+    adaptive execution splits the partitions of hot keys.
     """
-    if dim.count() <= broadcast_rows:
-        return fact.join(F.broadcast(dim), on, how)
-    salted = fact.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    repeated = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    return fact.join(dim, on, how)

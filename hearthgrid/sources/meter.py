@@ -52,7 +52,7 @@ def parse_appliance_labels(texts: DataFrame, column: str) -> DataFrame:
     """
     house = r"(?s)^\s*(\d+)\s*\n(.*)$"
     blocks = texts.select(
-        F.explode(F.slice(F.split(F.col(column), r"(?:^|\n)House (?=\d)"), 2, 1_000_000)).alias("b")
+        F.explode(F.filter(F.split(F.col(column), r"(?:^|\n)House (?=\d)"), lambda b, i: i > 0)).alias("b")
     )
     listed = blocks.select(
         F.regexp_extract("b", house, 1).alias("id"),
@@ -83,13 +83,13 @@ def slot_number(slot):
 
 
 def label_slots(long: DataFrame, labels: DataFrame) -> DataFrame:
-    """Replace slot names by the appliance labels of the household.
+    """Replace slot names by the appliance labels of the household; a slot without a label keeps its name.
 
-    ``labels`` has ten rows per house. It is staged, so it is counted before it is broadcast.
+    ``labels`` has ten rows per house.
     """
-    numbered = long.withColumn("slot", slot_number(F.col("slot")))
-    return attach(numbered, stage(labels, "labels"), ["household_id", "slot"], F.col("ts")).select(
-        "household_id", "appliance", "ts", "watts"
+    numbered = long.withColumnRenamed("slot", "_name").withColumn("slot", slot_number(F.col("_name")))
+    return attach(numbered, stage(labels, "labels"), ["household_id", "slot"], "left").select(
+        "household_id", F.coalesce("appliance", "_name").alias("appliance"), "ts", "watts"
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthgrid.config import WEATHER_COLUMNS
-from hearthgrid.functions.exprs import null_if_nan
+from hearthgrid.functions.exprs import null_if_nan, within
 
 # Column names of the price files and of the configuration files.
 PRICE_INTERVAL = "MTU (UTC)"
@@ -67,17 +67,20 @@ def read_weather(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
     )
 
 
-def read_configs(spark: SparkSession, paths) -> DataFrame:
-    """All configuration files of a folder, one row each (SRC-7)."""
-    return spark.read.schema(CONFIG_SCHEMA).option("multiLine", True).json(paths)
+def read_configs(spark: SparkSession, paths, lines: bool = False) -> DataFrame:
+    """All configuration documents of a folder, one row each (SRC-7): one per file, or one per line."""
+    return spark.read.schema(CONFIG_SCHEMA).option("multiLine", not lines).json(paths)
 
 
 def device_legend(configs: DataFrame, positions: int) -> DataFrame:
-    """Household by device position table of the shiftable devices (SRC-8)."""
+    """Household by device position table of the shiftable devices (SRC-8).
+
+    A household with more devices than ``positions`` is an error.
+    """
     listed = configs.select(
         F.col("data.household").alias("household"),
         F.posexplode("user_input.shiftable_devices").alias("pos", "device"),
-    )
+    ).withColumn("pos", within(F.col("pos"), positions))
     wide = listed.groupBy("household").pivot("pos", list(range(positions))).agg(F.max("device"))
     return wide.select("household", *[F.col(f"`{i}`").alias(f"device_{i}") for i in range(positions)])
 
@@ -108,8 +111,16 @@ def write_unscaled_weather(readings_weather: DataFrame, path: str) -> None:
         )
 
 
-def append_scores(spark: SparkSession, rows: list[tuple[str, dict, str, float]], path: str) -> None:
-    """Append ``model, params, metric, value`` rows of a parameter search (SNK-3)."""
+SCORE_COLUMNS = ["model", "params", "metric", "value"]
+
+
+def score_rows(spark: SparkSession, rows: list[tuple[str, dict, str, float]]) -> DataFrame:
+    """Results of a parameter search as ``model, params, metric, value``."""
     schema = "model string, params map<string,string>, metric string, value double"
     data = [(m, {k: str(v) for k, v in p.items()}, s, x) for m, p, s, x in rows]
-    spark.createDataFrame(data, schema).write.mode("append").parquet(path)
+    return spark.createDataFrame(data, schema)
+
+
+def append_scores(scores: DataFrame, path: str) -> None:
+    """Append ``model, params, metric, value`` rows to a table of scores (SNK-3)."""
+    scores.select(*SCORE_COLUMNS).write.mode("append").parquet(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hearthgrid.operators import clean, resample
 from hearthgrid.operators.impute import knn_impute
-from hearthgrid.operators.prefix import running_totals, weighted_quantiles
+from hearthgrid.operators.prefix import into_chunks, running_totals, weighted_quantiles
 from hearthgrid.session import attach, stage
 
 KEYS = ["household_id", "appliance"]
@@ -58,16 +58,16 @@ def test_quantiles_are_exact_for_any_chunking(spark):
     values = rng.integers(0, 200, 500).astype(float)
     df = spark.createDataFrame([(1, float(v)) for v in values], "k int, v double")
     counts = clean.value_counts(df, ["k"], "v")
-    for width in (1.0, 37.0, 1000.0):
+    for chunks in (1, 6, 300):
         row = weighted_quantiles(
-            counts, ["k"], "v", "n", {"a": 0.1, "b": 0.5, "c": 0.99}, F.floor(F.col("v") / width)
+            counts, ["k"], "v", "n", {"a": 0.1, "b": 0.5, "c": 0.99}, chunks
         ).first()
         assert [row.a, row.b, row.c] == pytest.approx(np.quantile(values, [0.1, 0.5, 0.99]))
 
 
 def test_running_totals_over_chunks(spark):
     df = spark.createDataFrame([(k, i, i * 2) for k in (1, None) for i in range(20)], "k int, o int, n int")
-    out = running_totals(df, ["k"], "o", ["n"], F.floor(F.col("o") / 6))
+    out = running_totals(df, ["k"], "o", ["n"], 4)
     assert out.count() == 40
     for r in out.collect():
         assert r.n_before == sum(2 * i for i in range(r.o))
@@ -116,13 +116,32 @@ def test_day_counts_include_empty_days(spark):
     assert counts == {1: 1, 2: 0, 3: 0, 4: 1}
 
 
-def test_attach_gives_the_same_rows_broadcast_or_salted(spark):
+def test_attach_broadcasts_by_bytes(spark):
     fact = readings(spark, range(100)).unionByName(readings(spark, range(50), household=2))
     dim = stage(spark.createDataFrame([(1, "a"), (2, "b")], "household_id int, x string"))
     key = lambda df: sorted((r.household_id, r.ts, r.x) for r in df.collect())
-    direct = attach(fact, dim, ["household_id"], F.col("ts"))
-    salted = attach(fact, dim, ["household_id"], F.col("ts"), broadcast_rows=1, salts=8)
-    assert key(direct) == key(salted) and len(key(salted)) == 150
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    small = attach(fact, dim, ["household_id"])
+    assert "BroadcastHashJoin" in plan(small)
+    rows, limit = key(small), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16b")
+    try:
+        large = attach(fact, dim, ["household_id"])
+        assert "SortMergeJoin" in plan(large) and key(large) == rows and len(rows) == 150
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_crowded_values_are_cut_evenly(spark):
+    """All values in [0, 1): the ranges follow the values, and the result stays exact."""
+    rng = np.random.default_rng(5)
+    values = rng.random(20_000) ** 4
+    df = spark.createDataFrame([(1, float(v)) for v in values], "k int, v double")
+    counts = clean.value_counts(df, ["k"], "v")
+    sizes = [r["count"] for r in into_chunks(counts, ["k"], "v", 64).groupBy("_chunk").count().collect()]
+    assert len(sizes) == 64 and max(sizes) < 2 * len(values) / 64
+    row = weighted_quantiles(counts, ["k"], "v", "n", {"q": 0.3}, 64).first()
+    assert row.q == pytest.approx(np.quantile(values, 0.3), abs=1e-15)
 
 
 def impute_reference(rows, k):

@@ -29,7 +29,7 @@ def separable(spark):
         ("logit", {}),
         ("random forest", {"n_estimators": 10, "max_depth": 4}),
         ("xgboost", {"n_estimators": 5, "max_depth": 3}),
-        ("ada", {"n_estimators": 12, "learning_rate": 1.0, "checkpoint_every": 5}),
+        ("ada", {"n_estimators": 12, "learning_rate": 1.0}),
         ("ebm", {"bins": 8}),
     ],
 )
@@ -65,7 +65,7 @@ def test_walk_forward_uses_the_past_only(spark, leak_free):
     rows = [(1, at(h), float(h % 2), h % 2) for h in range(24 * 4)]
     rows[70] = (1, at(70), None, 0)
     df = spark.createDataFrame(rows, "household_id int, ts timestamp_ntz, x double, y int")
-    out = per_entity.walk_forward(df, ["household_id"], "ts", ["x"], "y", "knn", leak_free, k=1)
+    out = per_entity.walk_forward(df, ["household_id"], "ts", ["x"], "y", "knn", leak_free, n_neighbors=1)
     got = out.orderBy("ts").collect()
     first_day = [r for r in got if r.ts < at(24)]
     if leak_free:
@@ -140,11 +140,11 @@ def test_shapley_of_a_linear_score_is_the_closed_form(instances):
     assert got[2, "c"] == pytest.approx(0)
 
 
-@pytest.mark.parametrize("exact", [True, False])
-def test_shapley_adds_up_and_is_symmetric(instances, exact, monkeypatch):
-    if not exact:
-        monkeypatch.setattr(explain, "EXACT_FEATURES", 1)
-    rows = explain.shapley(instances, ["i"], ["a", "b", "c"], BACKGROUND, product, permutations=6).collect()
+@pytest.mark.parametrize("method", ["exact", "permutation"])
+def test_shapley_adds_up_and_is_symmetric(instances, method):
+    rows = explain.shapley(
+        instances, ["i"], ["a", "b", "c"], BACKGROUND, product, method, permutations=6
+    ).collect()
     for i in (1, 2):
         mine = [r for r in rows if r.i == i]
         assert sum(r.attribution for r in mine) == pytest.approx(mine[0].prediction - mine[0].base)
@@ -160,8 +160,7 @@ def test_backgrounds_are_weighted_and_limited(separable):
     assert rows == explain.sample_background(separable.repartition(7), COLS, 15)
     centres = explain.kmeans_background(separable, COLS, 4)
     assert len(centres) == 4 and sum(r["w"] for r in centres) == pytest.approx(1)
-    with pytest.raises(ValueError):
-        explain.sample_background(separable, COLS, 101)
+    assert len(explain.sample_background(separable, COLS, 150)) == min(150, separable.na.drop(subset=COLS).count())
 
 
 def test_lime_recovers_a_linear_score(instances):
@@ -175,7 +174,7 @@ def test_lime_recovers_a_linear_score(instances):
     assert {(r.i, r.feature): r.weight for r in again.collect()} == pytest.approx(
         {k: r.weight for k, r in got.items()}
     )
-    top = explain.top_weights(out, ["i"], 1).collect()
+    top = explain.ranked_weights(out, ["i"]).where("rank = 1").collect()
     assert {r.i: r.feature for r in top} == {1: "a", 2: "a"}
 
 
@@ -199,3 +198,16 @@ def test_additive_contributions_sum_to_the_log_odds(separable):
     assert worst < 1e-9
     shapes = pooled.shape_table(model)
     assert shapes.groupBy("feature").count().count() == 2
+
+
+@pytest.mark.parametrize("method", ["exact", "permutation"])
+def test_shapley_of_nine_features_and_many_background_rows(spark, method):
+    columns = [f"f{j}" for j in range(9)]
+    one = spark.createDataFrame([(1, *map(float, range(1, 10)))], "i int, " + ", ".join(f"{c} double" for c in columns))
+    background = [{"w": 1 / 120, **{c: float((k * (j + 1)) % 5) for j, c in enumerate(columns)}} for k in range(120)]
+    score = lambda df: df.withColumn("p", sum((F.col(c) * (j + 1) for j, c in enumerate(columns)), F.lit(0.0)))
+    got = phi(explain.shapley(one, ["i"], columns, background, score, method, permutations=4))
+    for j, c in enumerate(columns):
+        assert got[1, c] == pytest.approx((j + 1) * (j + 1 - sum(b[c] for b in background) / 120))
+    with pytest.raises(ValueError):
+        explain.shapley(one, ["i"], columns, background, score, "auto")

@@ -2,6 +2,7 @@ import json
 
 import pytest
 from conftest import at
+from pyspark.sql import functions as F
 
 from hearthgrid.operators import sentences
 from hearthgrid.plans.dates import date_bounds, timespan
@@ -62,12 +63,14 @@ def test_configs_give_the_device_legend(spark, tmp_path):
     rows = tables.device_legend(configs, 2).orderBy("household").collect()
     assert [tuple(r) for r in rows] == [(3, "Tumble Dryer", "Dishwasher"), (10, "Washing Machine", None)]
     assert configs.where("data.household = 3").first().data.start_dates == {"load": "2013-09-26"}
+    with pytest.raises(Exception, match="only 1 positions"):
+        tables.device_legend(configs, 1).collect()
 
 
 def test_score_rows_are_appended(spark, tmp_path):
     path = str(tmp_path / "scores")
     for v in (0.1, 0.2):
-        tables.append_scores(spark, [("logit", {"max_iter": 10}, "auc", v)], path)
+        tables.append_scores(tables.score_rows(spark, [("logit", {"max_iter": 10}, "auc", v)]), path)
     rows = tables.read_table(spark, path).orderBy("value").collect()
     assert [(r.model, r.params, r.value) for r in rows] == [("logit", {"max_iter": "10"}, v) for v in (0.1, 0.2)]
 
@@ -128,3 +131,10 @@ def test_usage_sentence(spark):
         "We believe you are likely to use the device in the near future since you were not active during the "
         "last 2 days and have used the device in the last two days."
     )
+
+
+def test_a_slot_without_a_label_keeps_its_name(spark):
+    long = spark.createDataFrame([(1, "Aggregate", 1.0), (1, "Appliance1", 2.0), (2, "Appliance1", 3.0)], "household_id int, slot string, watts double")
+    labels = spark.createDataFrame([(1, 1, "Kettle")], "household_id int, slot int, appliance string")
+    got = meter.label_slots(long.withColumn("ts", F.lit(None).cast("timestamp_ntz")), labels).collect()
+    assert sorted((r.household_id, r.appliance, r.watts) for r in got) == [(1, "Aggregate", 1.0), (1, "Kettle", 2.0), (2, "Appliance1", 3.0)]
