@@ -233,6 +233,7 @@ def mdl12_model_grid(spark, d):
     train, test = train_test(spark, d)
     grids = {
         "logit": {"max_iter": [10, 100]},
+        "knn": pooled.PARAMETER_GRID["knn"],
         "xgboost": {"learning_rate": [0.1, 0.3], "max_depth": [2], "n_estimators": [5]},
     }
     rows = pooled.grid_search(train, test, ACTIVITY_COLUMNS, "activity", grids)

@@ -66,7 +66,7 @@ def src1_meter_csv(spark, d):
 )
 def snk1_partitioned_table(spark, d):
     path = _new_path(spark, "load")
-    tables.write_table(load(spark, d), path, ("household_id",))
+    tables.write_table(load(spark, d), path, "household_id")
     return rounded(tables.read_table(spark, path))
 
 

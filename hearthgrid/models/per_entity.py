@@ -166,6 +166,30 @@ def walk_forward(
     ).withColumns({"p": F.nanvl("p", F.lit(None)), "train_auc": F.nanvl("train_auc", F.lit(None))})
 
 
+def score_split(
+    train: DataFrame, test: DataFrame, keys: list[str], ids: list[str], columns: list[str], label: str, **params
+) -> DataFrame:
+    """Nearest-neighbour probabilities of the test rows from their own entity's training rows: ``keys, ids, label, p``."""
+
+    def run(known: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        # a side without rows comes without columns
+        if not len(rows):
+            return pd.DataFrame([], columns=[*keys, *ids, label, "p"])
+        if len(known):
+            known = known.dropna(subset=[*columns, label]).sort_values(ids, kind="stable")
+        rows = rows.dropna(subset=columns)
+        p = np.full(len(rows), np.nan)
+        if len(known) and len(rows):
+            p = predict_knn(
+                known[columns].to_numpy(float), known[label].to_numpy(float), rows[columns].to_numpy(float), **params
+            )
+        return rows[[*keys, *ids, label]].assign(p=p)
+
+    schema = T.StructType([test.schema[c] for c in [*keys, *ids, label]] + [T.StructField("p", T.DoubleType())])
+    slim = lambda df: spread_out(df.select(*keys, *ids, label, *columns), keys).groupBy(*keys)
+    return slim(train).cogroup(slim(test)).applyInPandas(run, schema).withColumn("p", F.nanvl("p", F.lit(None)))
+
+
 def mean_train_auc(predictions: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Mean of the training AUC over the daily refits."""
     per_day = predictions.groupBy(*keys, F.to_date(order).alias("day")).agg(

@@ -6,6 +6,7 @@ import itertools
 import math
 import re
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthgrid.operators.metrics import auc
+from hearthgrid.models import per_entity
 from hearthgrid.models.splits import fold_start
 from hearthgrid.session import stage
 
@@ -291,13 +293,23 @@ def parameter_sets(model_type: str, grid: dict[str, list] | None = None) -> list
 
 def grid_search(
     train: DataFrame, test: DataFrame, columns: list[str], label: str,
-    grids: dict[str, dict[str, list]],
+    grids: dict[str, dict[str, list]], keys: tuple[str, ...] = ("household_id",), ids: tuple[str, ...] = ("ts",),
+    at_once: int = 4,
 ) -> list[tuple[str, dict, str, float]]:
-    """Test AUC of every parameter set (MDL-12), as rows for the score table."""
-    out = []
-    for model_type, grid in grids.items():
-        for params in parameter_sets(model_type, grid):
+    """Test AUC of every parameter set (MDL-12), as rows for the score table.
+
+    ``at_once`` parameter sets run side by side. Nearest neighbours are searched inside the entity of ``keys``, whose rows ``ids``
+    tell apart; all other models are pooled.
+    """
+
+    def one(model_type: str, params: dict) -> tuple[str, dict, str, float]:
+        if model_type == "knn":
+            scored = per_entity.score_split(train, test, list(keys), list(ids), columns, label, **params)
+        else:
             scored = fit(model_type, train, columns, label, **params).score(test)
-            value = auc(scored, [], label, SCORE).first()["auc"]
-            out.append((model_type, params, "auc", math.nan if value is None else float(value)))
-    return out
+        value = auc(scored, [], label, SCORE).first()["auc"]
+        return model_type, params, "auc", math.nan if value is None else float(value)
+
+    sets = [(m, p) for m, grid in grids.items() for p in parameter_sets(m, grid)]
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(lambda job: one(*job), sets))

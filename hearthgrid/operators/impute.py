@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 
 from hearthgrid.config import IMPUTE_NEIGHBOURS
 
-# Rows per tile side: one task compares at most TILE x TILE rows.
-TILE = 4096
+# Rows per tile side: one task compares at most TILE x TILE rows, BLOCK receivers at a time.
+TILE, BLOCK = 4096, 256
 
 
 def _nearest(cols: list[str], k: int):
@@ -22,18 +22,32 @@ def _nearest(cols: list[str], k: int):
         if len(receivers) and len(donors):
             donors = donors.sort_values("_id", kind="stable")
             b = donors[cols].to_numpy(dtype=float)
-            ids = donors["_id"].to_numpy()
-            for at, a in zip(receivers["_id"].to_numpy(), receivers[cols].to_numpy(dtype=float)):
-                diff = b - a
-                shared = (~np.isnan(diff)).sum(axis=1)
-                with np.errstate(divide="ignore"):
-                    scale = np.where(shared > 0, len(cols) / np.maximum(shared, 1), np.nan)
-                dist = np.sqrt(scale * np.nansum(diff * diff, axis=1))
-                for j in np.flatnonzero(np.isnan(a)):
-                    usable = np.flatnonzero(~np.isnan(b[:, j]) & ~np.isnan(dist))
-                    best = usable[np.argsort(dist[usable], kind="stable")[:k]]
-                    out.extend((at, cols[j], ids[i], dist[i], b[i, j]) for i in best)
-        return pd.DataFrame(out, columns=["_id", "_column", "_donor", "_dist", "_value"])
+            ids, every = donors["_id"].to_numpy(), receivers[cols].to_numpy(dtype=float)
+            names = receivers["_id"].to_numpy()
+            for start in range(0, len(every), BLOCK):
+                a, own = every[start : start + BLOCK], names[start : start + BLOCK]
+                total, shared = np.zeros((len(a), len(b))), np.zeros((len(a), len(b)))
+                for j in range(len(cols)):
+                    diff = a[:, None, j] - b[None, :, j]
+                    both = ~np.isnan(diff)
+                    shared += both
+                    total += np.where(both, diff * diff, 0.0)
+                dist = np.sqrt(total * len(cols) / np.maximum(shared, 1))
+                dist[shared == 0] = np.inf
+                for j in range(len(cols)):
+                    rows = np.flatnonzero(np.isnan(a[:, j]))
+                    usable = np.where(np.isnan(b[None, :, j]), np.inf, dist[rows])
+                    best = np.argsort(usable, axis=1, kind="stable")[:, :k]
+                    near = np.take_along_axis(usable, best, 1)
+                    r, c = np.nonzero(np.isfinite(near))
+                    out.append(
+                        pd.DataFrame(
+                            {"_id": own[rows[r]], "_column": cols[j], "_donor": ids[best[r, c]],
+                             "_dist": near[r, c], "_value": b[best[r, c], j]}
+                        )
+                    )
+        names = ["_id", "_column", "_donor", "_dist", "_value"]
+        return pd.concat(out)[names] if out else pd.DataFrame([], columns=names)
 
     return tile
 
@@ -49,7 +63,8 @@ def knn_impute(
 
     Rows with a gap and possible donors are cut into tiles. A task compares one tile pair and
     keeps k candidates per missing cell, so no table of pairs is built; the
-    candidates of all tiles are then merged. Exact for any number of rows.
+    candidates of all tiles are then merged. Exact for any number of rows. The distances computed
+    are rows with a gap times possible donors: meant for tables of days or households, not raw readings.
     """
     columns = list(columns)
     rows = df.select(F.col(id_col).alias("_id"), *columns)

@@ -15,11 +15,9 @@ from hearthgrid.operators import features, metrics, runs
 from hearthgrid.plans import decide, prepare
 from hearthgrid.sources.tables import read_table, write_table
 
-PARTITION = ("household_id",)
-
 
 class Workflow:
-    """``root`` is the folder of the tables; households are its partitions."""
+    """``root`` is the folder of the tables; households are dealt to hash buckets."""
 
     def __init__(self, spark: SparkSession, root: str, config: EngineConfig, model: str = "logit"):
         self.spark, self.root, self.config, self.model = spark, root.rstrip("/"), config, model
@@ -27,8 +25,8 @@ class Workflow:
     def table(self, name: str) -> DataFrame:
         return read_table(self.spark, f"{self.root}/{name}")
 
-    def _write(self, name: str, df: DataFrame, partition: tuple[str, ...] = PARTITION) -> DataFrame:
-        write_table(df, f"{self.root}/{name}", partition)
+    def _write(self, name: str, df: DataFrame, key: str | None = "household_id") -> DataFrame:
+        write_table(df, f"{self.root}/{name}", key)
         return self.table(name)
 
     def prepare(
@@ -37,7 +35,7 @@ class Workflow:
         """Hourly readings, flags, feature frames, loads and runs."""
         c = self.config
         hourly = self._write("hourly", prepare.hourly_readings(readings, c.factor, c.fill))
-        self._write("prices", prices, ())
+        self._write("prices", prices, None)
         self._write(
             "activity",
             features.activity_flag(hourly, c.activity_threshold, list(c.active_appliances)),

@@ -85,18 +85,26 @@ def device_legend(configs: DataFrame, positions: int) -> DataFrame:
     return wide.select("household", *[F.col(f"`{i}`").alias(f"device_{i}") for i in range(positions)])
 
 
+BUCKET = "_bucket"
+
+
 def write_table(
-    df: DataFrame, path: str, partition_by: tuple[str, ...] = (), mode: str = "overwrite"
+    df: DataFrame, path: str, key: str | None = None, buckets: int = 64, mode: str = "overwrite"
 ) -> None:
-    """Persist a prepared table, output or result as parquet (SNK-1)."""
-    writer = df.write.mode(mode)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    """Persist a prepared table, output or result as parquet (SNK-1).
+
+    With ``key``, rows go to one folder per hash bucket of the key, and each folder is written by one task: the number
+    of folders and files does not grow with the number of keys.
+    """
+    if key is None:
+        df.write.mode(mode).parquet(path)
+        return
+    numbered = df.withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+    numbered.repartition(buckets, BUCKET).write.mode(mode).partitionBy(BUCKET).parquet(path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop(BUCKET)
 
 
 def write_unscaled_weather(readings_weather: DataFrame, path: str) -> None:

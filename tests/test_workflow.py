@@ -30,4 +30,5 @@ def test_the_whole_workflow_over_stored_tables(spark, tmp_path):
     assert one.n_recommendations == table.where(F.col("recommendation").isNotNull()).count()
     scores = w.agent_scores().collect()
     assert {(r.agent, r.metric) for r in scores} == {("activity", "auc"), ("usage", "auc"), ("load", "mse")}
-    assert Path(tmp_path / "grid" / "household_id=0").exists()
+    folders = list(Path(tmp_path / "grid").glob("_bucket=*"))
+    assert folders and all(len(list(f.glob("*.parquet"))) == 1 for f in folders)
