@@ -204,6 +204,14 @@ def shard_links(rows: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def vantage_tree(points: DataFrame, n: int, shards: int):
+    """Tree of vantage points, laid out on a bounded sample of the ``n`` fingerprints."""
+    share = min(1.0, min(SAMPLE * shards + 1024, MAX_SAMPLE) / n)
+    drawn = points.where(F.pmod(F.xxhash64("print", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
+    sample = np.array(sorted(r.print for r in drawn.select("print").collect()), np.int64).view(np.uint64)
+    return lay_out(np.random.default_rng(7).permutation(sample), shards)[0]
+
+
 def link_prints(points: DataFrame) -> DataFrame:
     """``print, component_id, root`` of every different fingerprint (``print``, its least id ``rep``).
 
@@ -211,10 +219,7 @@ def link_prints(points: DataFrame) -> DataFrame:
     """
     n = points.count()
     shards = -(-n // SHARD)
-    share = min(1.0, min(SAMPLE * shards + 1024, MAX_SAMPLE) / max(n, 1))
-    drawn = points.where(F.pmod(F.xxhash64("print", F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    sample = np.array(sorted(r.print for r in drawn.select("print").collect()), np.int64).view(np.uint64)
-    tree, _ = lay_out(np.random.default_rng(7).permutation(sample), shards)
+    tree = vantage_tree(points, n, shards) if shards > 1 else 0
     rows = spread_out(dealt(points, tree), ["shard"])
     found = rows.groupBy("shard").applyInPandas(
         shard_links, "rep_a long, print_a long, rep_b long, print_b long"
