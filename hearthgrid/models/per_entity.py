@@ -186,7 +186,9 @@ def score_split(
         return rows[[*keys, *ids, label]].assign(p=p)
 
     schema = T.StructType([test.schema[c] for c in [*keys, *ids, label]] + [T.StructField("p", T.DoubleType())])
-    slim = lambda df: spread_out(df.select(*keys, *ids, label, *columns), keys).groupBy(*keys)
+    # both sides may come from one table: fresh names keep their columns apart
+    names = [*keys, *ids, label, *columns]
+    slim = lambda df: spread_out(df.select(*[F.expr(f"`{c}`").alias(c, metadata={}) for c in names]), keys).groupBy(*keys)
     return slim(train).cogroup(slim(test)).applyInPandas(run, schema).withColumn("p", F.nanvl("p", F.lit(None)))
 
 
