@@ -558,3 +558,44 @@ def xai11_shapes(spark, d):
     columns = ACTIVITY_COLUMNS + WEATHER
     model = pooled.fit("ebm", train.na.drop(subset=columns), columns, "activity")
     return pooled.shape_table(model)
+
+
+_OPTIMUM_SQL = " UNION ALL ".join(f"SELECT '{c}' AS feature, true AS is_zero" for c in ["intercept", *USAGE_WEIGHTS])
+
+
+@query("mdl1_optimum", _OPTIMUM_SQL)
+def mdl1_optimum(spark, d):
+    """The gradient of the penalised loss, summed up from the rows, vanishes at the fitted weights."""
+    train, _, model = _usage_model(spark, d)
+    fitted = model.model.stages[-1]
+    weights = dict(zip(USAGE_COLUMNS, map(float, fitted.coefficients)))
+    linear = sum((F.lit(w) * F.col(c) for c, w in weights.items()), F.lit(float(fitted.intercept)))
+    residual = 1 / (1 + F.exp(-linear)) - F.col("usage")
+    # the loss is a mean, so the penalty weighs 1 / rows
+    slopes = {"intercept": F.avg(residual)}
+    slopes |= {c: F.avg(residual * F.col(c)) + F.lit(w) / F.count(F.lit(1)) for c, w in weights.items()}
+    scales = {"intercept": F.lit(1.0), **{c: F.greatest(F.lit(1.0), F.avg(F.abs(F.col(c)))) for c in weights}}
+    parts = [
+        F.struct(F.lit(c).alias("feature"), (F.abs(g) / scales[c] < 1e-3).alias("is_zero")) for c, g in slopes.items()
+    ]
+    return train.agg(F.array(*parts).alias("parts")).select(F.inline("parts"))
+
+
+@query(
+    "xai11_adds_up",
+    "SELECT household_id, ts, true AS adds_up FROM"
+    f" (SELECT * FROM {ACTIVITY_FEATURES_SQL} WHERE ts >= DATE '2024-01-22' AND "
+    + " AND ".join(f"{c} IS NOT NULL" for c in WEATHER) + ")",
+)
+def xai11_adds_up(spark, d):
+    """The additive model's probability follows from its intercept and the contributions of a row."""
+    train, test = train_test(spark, d, weather=True)
+    columns = ACTIVITY_COLUMNS + WEATHER
+    model = pooled.fit("ebm", train.na.drop(subset=columns), columns, "activity")
+    known = test.na.drop(subset=columns)
+    ids = ["household_id", "ts"]
+    total = pooled.additive_contributions(model, known, ids).groupBy(*ids).agg(F.sum("contribution").alias("sum"))
+    own = model.score(known).select(*ids, "p")
+    odds = F.col("sum") + F.lit(float(model.model.stages[-1].intercept))
+    gap = F.abs(1 / (1 + F.exp(-odds)) - F.col("p"))
+    return own.join(total, ids).select(*ids, (gap < 1e-9).alias("adds_up"))
