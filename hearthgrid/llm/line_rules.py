@@ -61,7 +61,7 @@ def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float =
     hold are spread over all tasks. A host has at most ``lines per document / max_share`` such lines.
     """
     held = host_lines(docs).groupBy("host", "line").agg(F.count_distinct("text_key").alias("n"))
-    sizes = docs.groupBy(F.coalesce("source", F.lit("")).alias("host")).agg(
+    sizes = docs.where(F.col("text").isNotNull()).groupBy(F.coalesce("source", F.lit("")).alias("host")).agg(
         F.count_distinct(F.xxhash64("text")).alias("n_docs")
     )
     often = held.where(F.col("n") > min_docs).join(sizes, "host").where(F.col("n") > max_share * F.col("n_docs"))
