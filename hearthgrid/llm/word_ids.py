@@ -12,8 +12,9 @@ import re
 
 import numpy as np
 
-#: Words held by one worker; the cache starts anew when it is full.
-CACHE_WORDS = 600_000
+#: Words that one worker holds in each of two generations. A full one becomes the older one, from which
+#: words that come up again move back, so frequent words stay.
+CACHE_WORDS = 300_000
 #: Texts longer than this are cut at white space, which no token crosses.
 CHUNK = 1 << 20
 
@@ -34,13 +35,18 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
-        self[word] = ids = self.whole(word)
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.whole(word)
+        self[word] = ids
         return ids
 
     def whole(self, text: str) -> bytes:
