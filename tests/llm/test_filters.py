@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from llm_documents import make_docs, odd_rows  # noqa: F401
 from pyspark.sql import functions as F
 
 from hearthgrid.llm import line_rules, quality, url_rules

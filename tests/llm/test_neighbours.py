@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from llm_documents import make_docs, odd_rows  # noqa: F401
 
 import __spark_entry__
 import corpus_pipeline

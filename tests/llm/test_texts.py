@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from llm_documents import make_docs, odd_rows  # noqa: F401
 from tokenizers import Tokenizer
 
 from hearthgrid.llm import language, license_scan, packing, piece_ids, secret_scan, word_ids
