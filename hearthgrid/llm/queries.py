@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthgrid.llm import language, license_scan, line_rules, packing, piece_ids, quality, secret_scan, simhash, url_rules, vector_graph
+from hearthgrid.llm import (
+    language, license_scan, line_rules, manifest, packing, piece_ids, quality, secret_scan, simhash, sketches, url_rules, vector_graph,
+)
 from hearthgrid.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +164,80 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence notices and texts found in every document."""
     return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
+MANIFEST_SQL = r"""
+WITH RECURSIVE rows AS (
+  SELECT row_number() OVER () AS rid, *, CASE WHEN text IS NULL THEN NULL ELSE
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS lowered,
+    list_reduce(list_prepend(4294967295::UBIGINT, [ascii(c)::UBIGINT FOR c IN string_split(doc_id::VARCHAR, '')]),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::UBIGINT FOR i IN range(8)]),
+        lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)) AS crc
+  FROM documents
+), fields AS (
+  SELECT rid, doc_id, source, text, coalesce(xor(crc, 4294967295::UBIGINT) % 5 = 0, false) AS tampered,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS body, coalesce(strlen(lowered) || ':' || lowered, '-') AS changed
+  FROM rows
+), hashed AS (
+  SELECT rid, doc_id, source, sha256(head || body) AS leaf,
+    CASE WHEN tampered THEN sha256(head || changed) ELSE sha256(head || body) END AS tried
+  FROM fields
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY source) AS n
+  FROM hashed
+), up AS (
+  SELECT source, 0 AS lvl, pos, n, leaf AS digest FROM leaves
+  UNION ALL
+  SELECT source, lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos))
+  FROM up WHERE n > 1 GROUP BY source, lvl, pos // 16, n
+), subroots AS (
+  SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS spos, count(*) OVER () AS m
+  FROM up WHERE n = 1
+), top AS (
+  SELECT 0 AS lvl, spos AS pos, m AS n, subroot AS digest FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, pos // 16, n
+), steps AS (
+  SELECT l.rid, u.lvl AS lvl, u.pos, u.digest, u.pos = l.pos >> (4 * u.lvl) AS own
+  FROM leaves l JOIN up u ON l.source IS NOT DISTINCT FROM u.source AND u.n > 1 AND u.pos >> 4 = l.pos >> (4 * u.lvl + 4)
+  UNION ALL
+  SELECT l.rid, 1000 + t.lvl, t.pos, t.digest, t.pos = s.spos >> (4 * t.lvl)
+  FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source
+  JOIN top t ON t.n > 1 AND t.pos >> 4 = s.spos >> (4 * t.lvl + 4)
+), proofs AS (
+  SELECT rid, sha256(string_agg(digest, '' ORDER BY lvl, pos)) AS proof_sha256 FROM steps WHERE NOT own GROUP BY rid
+), runs AS (
+  SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY lvl) AS step,
+    coalesce(string_agg(digest, '' ORDER BY pos) FILTER (WHERE pos < mine), '') AS before,
+    coalesce(string_agg(digest, '' ORDER BY pos) FILTER (WHERE pos > mine), '') AS after
+  FROM (SELECT *, max(pos) FILTER (WHERE own) OVER (PARTITION BY rid, lvl) AS mine FROM steps) GROUP BY rid, lvl
+), folded AS (
+  SELECT rid, 0 AS step, tried AS digest FROM leaves
+  UNION ALL
+  SELECT f.rid, f.step + 1, sha256(r.before || f.digest || r.after) FROM folded f JOIN runs r ON f.rid = r.rid AND r.step = f.step + 1
+), ends AS (
+  SELECT rid, arg_max(digest, step) AS folded_root FROM folded GROUP BY rid
+)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM leaves l JOIN subroots s ON l.source IS NOT DISTINCT FROM s.source
+CROSS JOIN (SELECT digest AS root FROM top WHERE n = 1) JOIN ends USING (rid) LEFT JOIN proofs USING (rid)
+"""
+
+
+@query("op12_manifest", MANIFEST_SQL)
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, inclusion proof and verdict of every document."""
+    return manifest.manifest_of(read(spark, sf_dir, "documents"))
+
+
+@query("op13_fingerprints")
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of every document and of its edited text, and their likeness."""
+    found = sketches.compare_with_next(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketches.digits(F.col("sketch")).alias("fingerprint"),
+        sketches.digits(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
