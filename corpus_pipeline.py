@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthgrid.llm import line_rules, near_copies, packing, quality, secret_scan
+from hearthgrid.llm import line_rules, packing, quality, secret_scan, simhash
 from hearthgrid.llm.common import read
 from hearthgrid.session import staging_dir
 
@@ -24,8 +24,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component of near copies (5-word shingles, Jaccard similarity 0.8)."""
-    return near_copies.drop_near_copies(docs)
+    """Keep one document of each component of near copies (SimHash of 3-word shingles, at most 3 bits apart)."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
