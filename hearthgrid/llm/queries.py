@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthgrid.llm import (
-    language, license_scan, line_rules, manifest, packing, piece_ids, quality, secret_scan, simhash, sketches, url_rules, vector_graph,
+    collocations, language, license_scan, line_rules, manifest, packing, piece_ids, quality, secret_scan, simhash, sketches, url_rules, vector_graph,
 )
 from hearthgrid.llm.common import read
 
@@ -87,7 +87,7 @@ WITH docs AS (
   SELECT host, count(DISTINCT text) AS n_docs FROM docs GROUP BY host
 ), frequent AS (
   SELECT host, normal FROM (SELECT host, normal, count(DISTINCT text) AS n FROM words GROUP BY ALL)
-  JOIN hosts USING (host) WHERE n > 20 AND n > 0.05 * n_docs
+  JOIN hosts USING (host) WHERE n > 20 AND n > least(0.05 * n_docs, 1000)
 ), gone AS (
   SELECT rid, sum(n) AS removed_words FROM words JOIN frequent USING (host, normal) GROUP BY rid
 ), measured AS (
@@ -241,3 +241,47 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketches.digits(F.col("sketch")).alias("fingerprint"),
         sketches.digits(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next",
     )
+
+
+PHRASE_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs)
+), places AS (
+  SELECT lang, w, len(w) AS m, unnest(generate_series(1, len(w))) AS i FROM pieces WHERE len(w) > 0
+), grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM places, (VALUES (1), (2), (3), (4)) AS v(k) WHERE i + k - 1 <= m
+), counts AS (
+  SELECT lang, k AS words, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY ALL
+), sizes AS (
+  SELECT lang, sum(f) AS n FROM counts WHERE words = 1 GROUP BY lang
+), cands AS (
+  SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE words > 1 AND f >= 30
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, c.k, 2000000 * c.a // (x.f + y.f) AS score
+  FROM (SELECT *, unnest(generate_series(1, words - 1)) AS k FROM cands) c
+  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, c.k) = 1
+), inner_counts AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, w, a, words, unnest(generate_series(1, words)) AS i FROM cands), (VALUES (2), (3)) AS v(k)
+  WHERE k < words AND i + k - 1 <= words GROUP BY ALL
+), kept AS (
+  SELECT cuts.* FROM cuts LEFT JOIN inner_counts USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM placed JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op11_collocations", PHRASE_SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best collocations of every language."""
+    return collocations.collocations(read(spark, sf_dir, "documents"))
