@@ -184,7 +184,8 @@ def walk_of(most: int, sources: int) -> Column:
             out.append(F.when(left > 1, step))
         return out
 
-    return F.array(*steps("rank", F.col("_total"), height(most)), *steps("_source", F.lit(sources), height(sources)))
+    every = [*steps("rank", F.col("_total"), height(most)), *steps("_source", F.lit(sources), height(sources))]
+    return F.array(*every).cast("array<struct<digit:int,others:int>>")
 
 
 def fold(digest: Column, proof: Column, walk: Column) -> Column:
