@@ -18,7 +18,7 @@ from hearthgrid.session import stage
 SHINGLE = 5
 #: Hashes are kept below 2^64 / 2^BITS.
 BITS = 3
-FIRST_ID = -(1 << 63)  # stands for a NULL id, before all others
+FIRST_ID = "-9223372036854775809"  # stands for a NULL id, before all longs
 SPACES = " \t\n\x0b\f\r"
 
 
@@ -95,23 +95,28 @@ def digits(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
+def no_id() -> Column:
+    return F.lit(FIRST_ID).cast("decimal(20,0)")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``id, key, text``, never NULL: the id, a hash of id and text, and the text. Two documents differ in id or key."""
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("decimal(20,0)"), no_id()).alias("id"),
+        F.xxhash64(F.col("doc_id").isNull(), "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"),
+    )
+
+
 def successors(docs: DataFrame) -> DataFrame:
-    """``id, key, next_id, next_key, half``: the next document of every different document by id, the first one after the last.
+    """``own_id, own_key, id, key, half``: the next document (``id, key``) of every different document, the first one after the last.
 
-    ``id`` and ``key`` (a hash of the text) tell documents apart; of equal ids, the lesser key comes first.
+    Documents follow each other by id; of equal ids, the lesser key comes first.
     """
-    known = stage(keyed(docs).select("id", "key", F.char_length(F.coalesce("text", F.lit(""))).alias("n_chars")).distinct(), "ids")
+    known = stage(keyed(docs).select("id", "key", F.char_length("text").alias("n_chars")).distinct(), "ids")
     placed = stage(ranked(known.withColumn("all", F.lit(0)), "all", "id", "key", name="ids-ranked"), "ids-placed")
     half = F.floor(F.col("n_chars") / 2).cast("int").alias("half")
-    ahead = placed.select(F.pmod(F.col("rank") - 1, "total").alias("rank"), F.col("id").alias("next_id"), F.col("key").alias("next_key"))
-    return placed.select("id", "key", "rank", half).join(ahead, "rank").drop("rank")
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """Documents with ``id`` and ``key``, which are never NULL."""
-    return docs.select(
-        "doc_id", "text", F.coalesce("doc_id", F.lit(FIRST_ID)).alias("id"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("key")
-    )
+    own = placed.select(F.col("id").alias("own_id"), F.col("key").alias("own_key"), "rank", half)
+    return own.join(placed.select(F.pmod(F.col("rank") - 1, "total").alias("rank"), "id", "key"), "rank").drop("rank")
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
@@ -125,16 +130,18 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
     columns are ignored.
     """
     pairs = stage(successors(docs), "next")
-    rows = keyed(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "id", "key")
-    following = pairs.join(
-        rows.select(F.col("id").alias("next_id"), F.col("key").alias("next_key"), "text"), ["next_id", "next_key"]
-    ).select("id", "key", "half", F.expr("substring(text, 1, half)").alias("start"), sketch(F.col("text")).alias("next_sketch"))
+    # both joins take the same columns of all rows by the same keys, so the texts are shuffled once
+    rows = keyed(docs)
+    following = pairs.join(rows, ["id", "key"]).select(
+        F.col("own_id").alias("id"), F.col("own_key").alias("key"), "half", F.expr("substring(text, 1, half)").alias("start"),
+        sketch(F.col("text")).alias("next_sketch"),
+    )
     # repeats of the next document give one row
     following = following.dropDuplicates(["id", "key"])
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - half)"), F.col("start"))
     both = rows.join(following, ["id", "key"]).select(
-        "doc_id", F.char_length("text").cast("long").alias("n_chars"), edited.alias("edited"), sketch(F.col("text")).alias("sketch"),
-        sketch(edited).alias("edited_sketch"), "next_sketch",
+        F.when(F.col("id") > no_id(), F.col("id").cast("long")).alias("doc_id"), F.char_length("text").cast("long").alias("n_chars"),
+        edited.alias("edited"), sketch(F.col("text")).alias("sketch"), sketch(edited).alias("edited_sketch"), "next_sketch",
     )
     return both.select(
         "doc_id", "n_chars", "edited", "sketch", "edited_sketch",
