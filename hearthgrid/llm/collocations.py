@@ -30,9 +30,9 @@ TOP = 2000
 INSIDE = 80
 NO_LANG = "und"
 #: Words that a task holds before it passes on their counts or suffixes.
-HELD = 1_500_000
+HELD = 1_000_000
 #: Word positions that a shard is laid out for, and suffixes above which a shard is routed again.
-SHARD, LARGE = 1_000_000, 3_000_000
+SHARD, LARGE = 750_000, 1_000_000
 #: Frequent words are marked in a bit map of this fixed size.
 MAP_BITS = 24
 #: Ranges of fewer pointers are sorted at once instead of being parted further.
@@ -160,8 +160,8 @@ def suffixes(found: np.ndarray) -> np.ndarray:
 
 def combined(rows: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different rows in order, with the sum of their weights."""
-    wide = rows.astype(np.int64) + 1
-    back, front = wide[:, 2] << 32 | wide[:, 3], wide[:, 0] << 32 | wide[:, 1]
+    joined = lambda a, b: (rows[:, a].astype(np.int64) + 1) << 32 | (rows[:, b] + 1)
+    back, front = joined(2, 3), joined(0, 1)
     order = np.lexsort((back, front))
     back, front = back[order], front[order]
     first = np.flatnonzero(np.concatenate([[True], (back[1:] != back[:-1]) | (front[1:] != front[:-1])]))
@@ -178,25 +178,31 @@ def mixed(hashes: np.ndarray, rows: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """The same non-negative numbers in as few bytes as the largest needs."""
+    most = int(values.max())
+    return values.astype(next(f"<u{w}" for w in (1, 2, 4, 8) if most < 1 << 8 * w))
+
+
 def pack(hashes: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> bytes:
-    """Suffixes as bytes: the hashes of their words, and each word as a number."""
+    """Suffixes as bytes: the hashes of their words, and each word as a number (0: none), word by word, and the weights."""
     used, codes = np.unique(rows, return_inverse=True)
     codes = codes.reshape(rows.shape)
     if used[0] >= 0:
         codes = codes + 1
     else:
         used = used[1:]
-    kind = "<u2" if len(used) < 1 << 16 else "<u4"
-    head = struct.pack("<QQ", len(rows), len(used))
-    return head + hashes[used].astype("<i8").tobytes() + codes.T.astype(kind).tobytes() + weights.astype("<i8").tobytes()
+    codes, weights = narrow(codes), narrow(weights)
+    head = struct.pack("<QQBB", len(rows), len(used), codes.itemsize, weights.itemsize)
+    return head + hashes[used].astype("<i8").tobytes() + codes.T.tobytes() + weights.tobytes()
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, m = struct.unpack_from("<QQ", blob)
-    kind = np.dtype("<u2" if m < 1 << 16 else "<u4")
-    hashes = np.frombuffer(blob, "<i8", m, 16)
-    codes = np.frombuffer(blob, kind, n * DEPTH, 16 + 8 * m).reshape(DEPTH, n).T.astype(np.int32) - 1
-    return hashes, codes, np.frombuffer(blob, "<i8", n, 16 + 8 * m + kind.itemsize * n * DEPTH)
+    n, m, code, weight = struct.unpack_from("<QQBB", blob)
+    at = struct.calcsize("<QQBB")
+    hashes = np.frombuffer(blob, "<i8", m, at)
+    codes = np.frombuffer(blob, f"<u{code}", n * DEPTH, at + 8 * m).reshape(DEPTH, n).T.astype(np.int32) - 1
+    return hashes, codes, np.frombuffer(blob, f"<u{weight}", n, at + 8 * m + code * n * DEPTH).astype(np.int64)
 
 
 def dealt(shards: np.ndarray, hashes: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -220,7 +226,7 @@ def routed(docs: DataFrame, bits: np.ndarray, seed: int, shards: int) -> DataFra
             rows = suffixes(np.where(frequent[found], found, np.int32(-1)))
             if not len(rows):
                 continue
-            rows, weights = combined(rows, np.ones(len(rows), np.int64))
+            rows, weights = combined(rows, np.ones(len(rows), np.int32))
             shard = (mixed(hashes, rows, 2) % np.uint64(shards)).astype(np.int64)
             yield from _blob_batches((s, 0, n, blob) for s, n, blob in dealt(shard, hashes, rows, weights))
 
@@ -308,16 +314,17 @@ def finished(rows: np.ndarray, weights: np.ndarray, small: list, whole: int) ->
 
 def count_shard(key: tuple, table: pa.Table) -> pa.Table:
     """Counts of the phrases of one shard."""
-    parts = [unpack(b) for b in table["blob"].to_pylist()]
+    parts = [unpack(b.as_py()) for b in table["blob"]]
     part = int(key[1].as_py())
     whole = int(table["words"][0].as_py()) if part else 2
     hashes, number = np.unique(np.concatenate([h for h, _, _ in parts]), return_inverse=True)
-    start, rows = 0, []
+    weights = np.concatenate([w for _, _, w in parts])
+    rows, start, at = np.empty((len(weights), DEPTH), np.int32), 0, 0
     for h, codes, _ in parts:
         own = np.concatenate([number[start : start + len(h)], [-1]]).astype(np.int32)
-        rows.append(own[codes])
-        start += len(h)
-    rows, weights = np.concatenate(rows), np.concatenate([w for _, _, w in parts])
+        rows[at : at + len(codes)] = own[codes]
+        start, at = start + len(h), at + len(codes)
+    del parts
     found = list(partitions(rows, weights, whole))
     at = np.concatenate([p for p, _, _ in found]) if found else np.zeros(0, np.int64)
     words = np.repeat([w for _, _, w in found], [len(p) for p, _, _ in found]) if found else np.zeros(0, np.int64)
