@@ -17,6 +17,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +34,9 @@ NO_LANG = "und"
 #: Words that a task holds before it passes on their counts or suffixes.
 HELD = 1_000_000
 #: Word positions that a shard is laid out for, and suffixes above which a shard is routed again.
-SHARD, LARGE = 750_000, 1_000_000
+SHARD, LARGE = 1_000_000, 1_000_000
+#: So many of the most frequent words have a number that tasks know, which is shorter than a hash.
+NUMBERED = 1 << 20
 #: Frequent words are marked in a bit map of this fixed size.
 MAP_BITS = 24
 #: Ranges of fewer pointers are sorted at once instead of being parted further.
@@ -144,6 +148,12 @@ def frequent_map(words: DataFrame) -> np.ndarray:
     return out
 
 
+def common_words(words: DataFrame) -> np.ndarray:
+    """Hashes of the ``NUMBERED`` most frequent words, in order; a word's number is its place."""
+    frequent = words.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "hash").limit(NUMBERED)
+    return np.sort(frequent.select("hash").toArrow()["hash"].to_numpy())
+
+
 def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     place = (hashes.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
     return (bits[place >> 6] >> (place & 63)) & 1 == 1
@@ -178,57 +188,76 @@ def mixed(hashes: np.ndarray, rows: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
+#: Number of suffixes, common words and other words, and the bytes of a gap, a place and a weight.
+HEAD = "<QQQBBB"
+
+
 def narrow(values: np.ndarray) -> np.ndarray:
     """The same non-negative numbers in as few bytes as the largest needs."""
-    most = int(values.max())
+    most = int(values.max()) if values.size else 0
     return values.astype(next(f"<u{w}" for w in (1, 2, 4, 8) if most < 1 << 8 * w))
 
 
-def pack(hashes: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> bytes:
-    """Suffixes as bytes: the hashes of their words, and each word as a number (0: none), word by word, and the weights."""
-    used, codes = np.unique(rows, return_inverse=True)
-    codes = codes.reshape(rows.shape)
-    if used[0] >= 0:
-        codes = codes + 1
-    else:
-        used = used[1:]
-    codes, weights = narrow(codes), narrow(weights)
-    head = struct.pack("<QQBB", len(rows), len(used), codes.itemsize, weights.itemsize)
-    return head + hashes[used].astype("<i8").tobytes() + codes.T.tobytes() + weights.tobytes()
-
-
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, m, code, weight = struct.unpack_from("<QQBB", blob)
-    at = struct.calcsize("<QQBB")
-    hashes = np.frombuffer(blob, "<i8", m, at)
-    codes = np.frombuffer(blob, f"<u{code}", n * DEPTH, at + 8 * m).reshape(DEPTH, n).T.astype(np.int32) - 1
-    return hashes, codes, np.frombuffer(blob, f"<u{weight}", n, at + 8 * m + code * n * DEPTH).astype(np.int64)
-
+def pack(hashes: np.ndarray, rows: np.ndarray, weights: np.ndarray, common: np.ndarray) -> bytes:
+    """Suffixes as bytes: the words they use, the place (0: none) of each word among these, word by word, and the weights.
 
-def dealt(shards: np.ndarray, hashes: np.ndarray, rows: np.ndarray, weights: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    The words are gaps between the numbers of common words, then the hashes of others.
+    """
+    used, codes = np.unique(rows, return_inverse=True)
+    own = hashes[used[used >= 0]]
+    number = np.minimum(np.searchsorted(common, own), max(len(common) - 1, 0))
+    known = common[number] == own if len(common) else np.zeros(len(own), bool)
+    order = np.lexsort((number, ~known))
+    place = np.empty(len(own), np.int64)
+    place[order] = np.arange(1, len(own) + 1)
+    codes = narrow(np.concatenate([np.zeros(len(used) - len(own), np.int64), place])[codes].reshape(rows.shape))
+    gaps, weights = narrow(np.diff(number[known][np.argsort(number[known])], prepend=0)), narrow(weights)
+    others = own[order[int(known.sum()) :]]
+    head = struct.pack(HEAD, len(rows), len(gaps), len(others), gaps.itemsize, codes.itemsize, weights.itemsize)
+    body = (gaps.tobytes(), others.astype("<i8").tobytes(), codes.T.tobytes(), weights.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(body))
+
+
+def unpack(blob: bytes, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of words, suffixes as places among them (-1: none) and weights."""
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, known, rare, gap, code, weight = struct.unpack_from(HEAD, raw)
+    at, out = struct.calcsize(HEAD), []
+    for kind, count in ((f"<u{gap}", known), ("<i8", rare), (f"<u{code}", n * DEPTH), (f"<u{weight}", n)):
+        out.append(np.frombuffer(raw, kind, count, at))
+        at += out[-1].nbytes
+    gaps, others, codes, weights = out
+    hashes = np.concatenate([common[np.cumsum(gaps, dtype=np.int64)], others]) if known else others
+    return hashes, codes.reshape(DEPTH, n).T.astype(np.int32) - 1, weights.astype(np.int64)
+
+
+def dealt(shards: np.ndarray, hashes: np.ndarray, rows: np.ndarray, weights: np.ndarray, common: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """Shard, number of suffixes and packed suffixes, for each shard that has some."""
     order = np.argsort(shards, kind="stable")
     cuts = np.flatnonzero(np.diff(shards[order])) + 1
     for at in np.split(order, cuts):
         if len(at):
-            yield int(shards[at[0]]), len(at), pack(hashes, rows[at], weights[at])
+            yield int(shards[at[0]]), len(at), pack(hashes, rows[at], weights[at], common)
 
 
-def routed(docs: DataFrame, bits: np.ndarray, seed: int, shards: int) -> DataFrame:
-    """Suffixes of all texts, dealt to shards by their two leading words: ``shard, part, rows, blob``."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def routed(docs: DataFrame, shared: Broadcast, seed: int, shards: int) -> DataFrame:
+    """Suffixes of all texts, dealt to shards by their two leading words: ``shard, part, rows, blob``.
+
+    ``shared`` are the map of frequent words and the common words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, common = shared.value
         for lang, numbers, found in held(_slices(batches)):
             hashes = numbers.hashes(lang, seed)
             # the last entry stands for breaks
-            frequent = np.concatenate([marked(shared.value, hashes), [False]])
+            frequent = np.concatenate([marked(bits, hashes), [False]])
             rows = suffixes(np.where(frequent[found], found, np.int32(-1)))
             if not len(rows):
                 continue
             rows, weights = combined(rows, np.ones(len(rows), np.int32))
             shard = (mixed(hashes, rows, 2) % np.uint64(shards)).astype(np.int64)
-            yield from _blob_batches((s, 0, n, blob) for s, n, blob in dealt(shard, hashes, rows, weights))
+            yield from _blob_batches((s, 0, n, blob) for s, n, blob in dealt(shard, hashes, rows, weights, common))
 
     return spoken(docs).mapInArrow(run, "shard long, part long, rows long, blob binary")
 
@@ -244,15 +273,15 @@ def _blob_batches(rows: Iterator[tuple], size: int = 64) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*lot), BLOBS, strict=True)], schema=BLOBS)
 
 
-def rerouted(blobs: DataFrame, words: int) -> DataFrame:
+def rerouted(blobs: DataFrame, shared: Broadcast, words: int) -> DataFrame:
     """Blobs with a number of ``parts`` to split them into, by the hash of the leading ``words`` of each suffix."""
 
     def split(shards: list, parts: list, counts: list, blobs: list) -> Iterator[tuple]:
         for shard, old, n, blob in zip(shards, parts, counts, blobs, strict=True):
-            hashes, rows, weights = unpack(blob)
+            hashes, rows, weights = unpack(blob, shared.value[1])
             # other bits than those that chose the shard
             part = ((mixed(hashes, rows, words) >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
-            for p, size, packed in dealt(part, hashes, rows, weights):
+            for p, size, packed in dealt(part, hashes, rows, weights, shared.value[1]):
                 yield shard, old * 1_000_003 + p + 1, size, packed  # parts of a part stay apart
 
     return map_rows(blobs.select("shard", "part", "parts", "blob"), split, BLOBS, rows=64)
@@ -312,9 +341,9 @@ def finished(rows: np.ndarray, weights: np.ndarray, small: list, whole: int) ->
             yield at[first[keep]], sizes[keep], words
 
 
-def count_shard(key: tuple, table: pa.Table) -> pa.Table:
+def count_shard(key: tuple, table: pa.Table, common: np.ndarray) -> pa.Table:
     """Counts of the phrases of one shard."""
-    parts = [unpack(b.as_py()) for b in table["blob"]]
+    parts = [unpack(b.as_py(), common) for b in table["blob"]]
     part = int(key[1].as_py())
     whole = int(table["words"][0].as_py()) if part else 2
     hashes, number = np.unique(np.concatenate([h for h, _, _ in parts]), return_inverse=True)
@@ -339,7 +368,8 @@ def count_shard(key: tuple, table: pa.Table) -> pa.Table:
 def count_phrases(docs: DataFrame, words: DataFrame, seed: int) -> DataFrame:
     """``h1 .. h4, a`` of every phrase of two to four words with ``LEAST`` occurrences."""
     total = words.agg(F.sum("n")).first()[0] or 0
-    blobs = stage(routed(docs, frequent_map(words), seed, 1 + total // SHARD), "suffixes")
+    shared = docs.sparkSession.sparkContext.broadcast((frequent_map(words), common_words(words)))
+    blobs = stage(routed(docs, shared, seed, 1 + total // SHARD), "suffixes")
     parts: list[DataFrame] = []
     keys = ["shard", "part"]
     # too large shards are routed by three words, then by four: those suffixes differ, so any part is small
@@ -349,14 +379,16 @@ def count_phrases(docs: DataFrame, words: DataFrame, seed: int) -> DataFrame:
         if sizes.isEmpty():
             break
         parts.append(blobs.join(sizes, keys, "left_anti").withColumn("words", F.lit(depth)))
-        blobs = stage(rerouted(blobs.join(sizes, keys), depth + 1), f"suffixes-{depth + 1}")
+        blobs = stage(rerouted(blobs.join(sizes, keys), shared, depth + 1), f"suffixes-{depth + 1}")
     else:
         depth = DEPTH
     parts.append(blobs.withColumn("words", F.lit(depth)))
     every = parts[0]
     for more in parts[1:]:
         every = every.unionByName(more)
-    counted = every.select("shard", "part", "words", "blob").groupBy("shard", "part").applyInArrow(count_shard, PHRASES)
+    counted = every.select("shard", "part", "words", "blob").groupBy("shard", "part").applyInArrow(
+        lambda key, table: count_shard(key, table, shared.value[1]), PHRASES
+    )
     sums = counted.groupBy("h1", "h2", "h3", "h4").agg(F.sum("a").alias("a")).where(F.col("a") >= LEAST)
     return stage(sums, "phrases")
 
