@@ -29,11 +29,21 @@ BATCH = 512
 PER_OCTAVE = 4
 
 INDEX = "dim int, size int, shard int, vectors array<array<double>>, members array<array<long>>, links array<array<int>>"
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query_id long, variant int, vec_id long, score double"
+
+
+def scaled(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows times a power of two that brings their largest component below 1, and the exponents taken out."""
+    exponents = np.frexp(np.abs(vectors).max(axis=1))[1]
+    # two steps, as the factor itself may be out of range
+    half = exponents // 2
+    return np.ldexp(np.ldexp(vectors, -half[:, None]), (half - exponents)[:, None]), exponents
 
 
 def lifted(vectors: np.ndarray) -> np.ndarray:
-    """Vectors with one more component that gives all the same length."""
+    """Vectors with one more component that gives all the same length, on a common scale."""
+    exponent = int(np.frexp(np.abs(vectors).max())[1])
+    vectors = np.ldexp(np.ldexp(vectors, -(exponent // 2)), exponent // 2 - exponent)
     norms = (vectors * vectors).sum(axis=1)
     return np.column_stack([vectors, np.sqrt(np.maximum(norms.max() - norms, 0))]).astype(np.float32)
 
@@ -172,21 +182,24 @@ def search_block(rows: pa.Table, k: int, beam: int) -> pa.Table:
         members = rows["members"][r].as_py()
         links = np.array(rows["links"][r].as_py(), np.int64)
         queries = rows["queries"][r].values
-        ids = queries.field("vec_id").to_pylist()
-        wanted = _matrix(queries.field("embedding"), dim)
+        ids, turns = queries.field("vec_id").to_pylist(), queries.field("variant").to_pylist()
+        wanted, wanted_at = scaled(_matrix(queries.field("embedding"), dim))
         points = lifted(vectors)
+        vectors, vectors_at = scaled(vectors)
         asked = np.column_stack([wanted, np.zeros(len(wanted))]).astype(np.float32)
         met, _ = beam_search(points, links, 0, asked, max(beam, k + 1))
         for i, query_id in enumerate(ids):
             near = met[i][met[i] >= 0]
-            score = vectors[near] @ wanted[i]
+            # the product of the given vectors, also where a sum on the way would leave the range of a double
+            with np.errstate(over="ignore", under="ignore"):
+                score = np.ldexp(vectors[near] @ wanted[i], vectors_at[near] + wanted_at[i])
             # a vector with all its rows' ids: enough of the best vectors hold k other rows
             best = np.argsort(-score, kind="stable")[: k + 1]
             hits = [(-float(score[j]), v) for j in best for v in members[near[j]] if v != query_id]
-            out += [(query_id, v, -s) for s, v in sorted(hits)[:k]]
-    columns = zip(*out, strict=True) if out else ([], [], [])
-    types = (pa.int64(), pa.int64(), pa.float64())
-    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["query_id", "vec_id", "score"])
+            out += [(query_id, turns[i], v, -s) for s, v in sorted(hits)[:k]]
+    columns = zip(*out, strict=True) if out else ([], [], [], [])
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["query_id", "variant", "vec_id", "score"])
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -207,12 +220,14 @@ def _looked_up(table: dict, key: Column) -> Column:
 def nearest(
     vectors: DataFrame, every: int = 20, k: int = 20, shard: int = SHARD, block: int = BLOCK, beam: int = BEAM
 ) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` rows with the largest inner product found for each query.
+    """``query_id, rank, vec_id, score, variant``: the ``k`` rows with the largest inner product found for each query.
 
     Queries are the rows of ``vectors`` (``vec_id, embedding``) whose id is divisible by ``every``; candidates are all
     other rows of the same length of vector. Scores are inner products of the given vectors in double precision; ties go to the smaller
     id. Rows with a NULL id or a vector that is NULL, empty, zero or holds a NULL or non-finite component take no
-    part. Repeated rows (same id and vector) count once. An empty table gives an empty result; other columns are ignored.
+    part; of finite ones any magnitude does (products beyond the range of a double are equal: zero or infinite). Repeated rows (same id and vector) count once. Different vectors with one id are
+    different rows: as queries each has a ranking of its own, told apart by ``variant`` (from 1, in the order of the vectors; 1 where
+    there is one), without the rows of its own id. An empty table gives an empty result; other columns are ignored.
 
     Rows with equal vectors are one point of the graph with the ``k + 1`` least of their ids, which is exact for the ``k`` best
     others and keeps a vector that a third of all rows share small. The only counts that reach the
@@ -228,14 +243,18 @@ def nearest(
         .agg(F.sort_array(F.collect_list("vec_id")).alias("members")),
         "points",
     )
-    queries = rows.where(F.col("vec_id") % every == 0)
-    # length range of a vector; a unit vector is in the middle of one
-    size = F.floor(F.log2(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v)) * (PER_OCTAVE / 2) + 0.5)
+    variant = F.row_number().over(Window.partitionBy("vec_id").orderBy("embedding"))
+    queries = rows.where(F.col("vec_id") % every == 0).withColumn("variant", variant)
+    # length range of a vector; a unit vector is in the middle of one. Squares are taken of shares of the largest component
+    largest = F.array_max(F.transform("embedding", F.abs))
+    squares = F.aggregate("embedding", F.lit(0.0), lambda a, v: a + (v / F.col("largest")) * (v / F.col("largest")))
+    points = points.withColumn("largest", largest)
+    size = F.floor((F.log2(squares) + 2 * F.log2("largest")) * (PER_OCTAVE / 2) + 0.5)
     points = points.withColumn("size", size.cast("int"))
     counts = points.groupBy("dim", "size").agg(F.count("*").alias("n")).collect()
     blocks = {r.dim: -(-r.n // block) for r in queries.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     if not blocks:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, variant int")
     shards = {f"{r.dim} {r['size']}": -(-r.n // shard) for r in counts}
     n_shards = _looked_up(shards, F.concat_ws(" ", "dim", "size"))
     n_blocks = _looked_up(blocks, F.col("dim"))
@@ -246,9 +265,9 @@ def nearest(
     keys = ["dim", "size", "shard"]
     index = stage(spread_out(dealt, keys).groupBy(*keys).applyInArrow(build_shard, INDEX), "graph")
     asked = (
-        queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), n_blocks).cast("int"))
+        queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "variant"), n_blocks).cast("int"))
         .groupBy("dim", "block")
-        .agg(F.collect_list(F.struct("vec_id", "embedding")).alias("queries"))
+        .agg(F.collect_list(F.struct("vec_id", "variant", "embedding")).alias("queries"))
     )
     # every block meets every shard of its vectors' number of components
     ranges = F.create_map(*[
@@ -264,9 +283,9 @@ def nearest(
     keys = [*keys, "block"]
     meetings = spread_out(held, keys).join(met, keys)
     found = meetings.groupBy(*keys).applyInArrow(lambda t: search_block(t, k, beam), FOUND)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "variant").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
+        .select("query_id", "rank", "vec_id", "score", "variant")
     )
