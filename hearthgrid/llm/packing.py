@@ -7,10 +7,13 @@ with room; a piece that fits nowhere whole is cut. So a group pads its last sequ
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,18 +35,26 @@ RESULT = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 
 
 def tokenized(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """Pieces of at most ``length`` tokens of every document, its ids ended by ``end_id``."""
+    """Pieces of at most ``length`` tokens of every document, its ids ended by ``end_id``.
+
+    ``spread`` is a hash of id and content. From the second equal piece of a task on it also takes the task and the number of the
+    repeat, so that equal rows are dealt to as many groups as others.
+    """
+    met: Counter[int] = Counter()  # of one task, as each gets a function of its own
 
     def rows(ids, texts):
-        words = loaded(vocabulary)
+        words, task = loaded(vocabulary), TaskContext.get().partitionId()
         end = np.array([end_id], words.dtype).tobytes()
         width = words.dtype.itemsize
         for doc_id, text in zip(ids, texts, strict=True):
             tokens = words.encode(text or "") + end
             for at in range(0, len(tokens), length * width):
                 part = tokens[at : at + length * width]
-                spread = xxhash.xxh64_intdigest(part, (doc_id or 0) & (1 << 64) - 1) >> 1
-                yield doc_id, at // width, len(tokens) // width, part, spread
+                spread = xxhash.xxh64_intdigest(part, (doc_id or 0) & (1 << 64) - 1)
+                met[spread] += 1
+                if met[spread] > 1:
+                    spread = xxhash.xxh64_intdigest(f"{task} {met[spread]}", spread)
+                yield doc_id, at // width, len(tokens) // width, part, spread >> 1
 
     return map_rows(docs.select("doc_id", "text"), rows, PIECES)
 
