@@ -1,7 +1,8 @@
 """Licence scan: MinHash bands retrieve templates for text windows, exact shingle containment verifies them.
 
 Templates are put in classes by their number of 5-word shingles. For each class a text is covered by overlapping windows, so
-laid that any place of a template of the class lies whole in one of them. From a window's size follows the least Jaccard
+laid that any place of a template of the class lies whole in one of them, also with foreign words inside: up to ``INSERTED``
+and a quarter of the class's largest size. From a window's size follows the least Jaccard
 similarity that a match can have, and from that the number of MinHash bands (of one row) that
 miss it with a probability of at most ``MISS``. Windows that share a band with a template are
 verified against its shingles themselves.
@@ -11,7 +12,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Mapping
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +27,10 @@ from hearthgrid.llm.common import map_rows
 SHINGLE = 5
 CONTAINMENT = 0.8
 MISS = 1e-4
-CACHE_WORDS = 500_000
+#: Words that one worker holds, and the longest of them.
+CACHE_WORDS, CACHE_LETTERS = 500_000, 64
+#: Foreign words that a match may hold between its first and its last place, besides a quarter of its size class.
+INSERTED = 24
 CHUNK = 1 << 16  # words that are hashed at once
 WORD = re.compile(r"[^\W_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -74,9 +80,11 @@ class WordHashes(dict):
     """Word -> hash of its lower case, filled as words come up."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word.lower().encode())
+        h = xxhash.xxh64_intdigest(word.lower().encode())
+        if len(word) <= CACHE_LETTERS:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -132,9 +140,12 @@ class Templates:
         for i, n in enumerate(places):
             by_class.setdefault(1 << (n - 1).bit_length(), []).append(i)
         plans = []
+        #: Places that a match of each template may take.
+        self.longest = [(most := 1 << (n - 1).bit_length()) + INSERTED + most // 4 for n in places]
         for most, members in sorted(by_class.items()):
             step = max(1, most // 2)
-            blocks = -(-(most + step - 1) // step)
+            # the whole match lies in one window wherever it starts
+            blocks = -(-(most + INSERTED + most // 4 + step - 1) // step)
             least = 1.0
             for i in members:
                 shared = math.ceil(containment * len(self.shingles[i]) - 1e-9)
@@ -190,8 +201,30 @@ class Templates:
                     found.add((int(c.owners[q]), int(window) * c.step, min(len(hashes), (int(window) + c.blocks) * c.step)))
         return found
 
+    def matches(self, t: int, words: list[str]) -> Iterator[tuple[float, int, int, int]]:
+        """Minus the containment, the length, start and end (in words) of every shortest stretch of ``words`` that holds enough of a template.
+
+        A stretch is no longer than a match may be; its first shingle does not stand in it again.
+        """
+        wanted, most = self.shingles[t], self.longest[t]
+        need = math.ceil(self.containment * len(wanted) - 1e-9)
+        places = [(i, s) for i, s in enumerate(zip(*(words[k:] for k in range(SHINGLE)), strict=False)) if s in wanted]
+        held: Counter[tuple[str, ...]] = Counter()
+        left = 0
+        for i, shingle in places:
+            held[shingle] += 1
+            while i - places[left][0] >= most or held[places[left][1]] > 1:
+                first = places[left][1]
+                held[first] -= 1
+                if not held[first]:
+                    del held[first]
+                left += 1
+            if len(held) >= need:
+                start = places[left][0]
+                yield -len(held) / len(wanted), i - start, start, i + SHINGLE
+
     def find(self, text: str) -> list[tuple[str, int, int, float]]:
-        """Template, start, end and containment of every match; of overlapping matches of a template the best one."""
+        """Template, start, end and containment of every match; of overlapping ones of a template the fullest, then shortest, then first."""
         raw = WORD.findall(text)
         if len(raw) < SHINGLE:
             return []
@@ -199,22 +232,21 @@ class Templates:
         for at in range(0, len(raw), CHUNK):
             hashes = shingle_hashes(raw[at : at + CHUNK + self.reach])
             windows |= {(t, at + a, at + b) for t, a, b in self.retrieve(hashes)}
-        verified = []
+        verified: set[tuple[int, float, int, int, int]] = set()
         for t, first, end in windows:
             words = [w.lower() for w in raw[first : end + SHINGLE - 1]]
-            wanted = self.shingles[t]
-            places = [i for i, s in enumerate(zip(*(words[k:] for k in range(SHINGLE)), strict=False)) if s in wanted]
-            share = len({tuple(words[i : i + SHINGLE]) for i in places}) / len(wanted)
-            if share >= self.containment:
-                verified.append((t, -share, first + places[0], first + places[-1] + SHINGLE))
-        best: list[tuple[int, float, int, int]] = []
-        for m in sorted(set(verified)):
-            if not any(b[0] == m[0] and m[2] < b[3] and b[2] < m[3] for b in best):
-                best.append(m)
-        if not best:
+            verified |= {(t, *m[:2], first + m[2], first + m[3]) for m in self.matches(t, words)}
+        if not verified:
             return []
+        # matches that were taken do not overlap: only the neighbours in place can
+        taken: dict[int, list[tuple[int, int, float]]] = {}
+        for t, share, _, a, b in sorted(verified):
+            own = taken.setdefault(t, [])
+            at = bisect_left(own, (a,))
+            if (at == 0 or own[at - 1][1] <= a) and (at == len(own) or b <= own[at][0]):
+                own.insert(at, (a, b, -share))
         spans = [m.span() for m in WORD.finditer(text)]
-        return sorted((self.names[t], spans[a][0], spans[b - 1][1], -share) for t, share, a, b in best)
+        return sorted((self.names[t], spans[a][0], spans[b - 1][1], share) for t, own in taken.items() for a, b, share in own)
 
 
 def scan(docs: DataFrame, texts: Mapping[str, str] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
