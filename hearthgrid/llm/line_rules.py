@@ -1,7 +1,7 @@
 """Quality rules: document measures and the frequency of lines across the documents of a host.
 
 A line of a host is boilerplate if it stands in more than ``MIN_DOCS`` documents and in more than
-``MAX_SHARE`` of the host's documents. Boilerplate lines are removed, and a document of which little is left is
+``MAX_SHARE`` of the host's documents, or in more than ``MAX_DOCS`` documents. Boilerplate lines are removed, and a document of which little is left is
 rejected. Documents are told apart by their text, so exact copies of one text count once.
 """
 
@@ -19,6 +19,8 @@ from hearthgrid.session import stage
 
 MIN_DOCS = 20
 MAX_SHARE = 0.05
+#: So many documents are enough in a host of any size.
+MAX_DOCS = 1000
 #: A document is depleted if less than this share of its words is left.
 MIN_LEFT = 0.3
 MIN_WORDS = 50
@@ -58,13 +60,16 @@ def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float =
     """``host, lines``: the boilerplate of every host that has any.
 
     Counting different documents goes by (host, line, document) first, so the rows of a line that a third of all documents
-    hold are spread over all tasks. A host has at most ``lines per document / max_share`` such lines.
+    hold are spread over all tasks. A host has at most ``lines per document * documents / max(min_docs, min(max_share * documents,
+    MAX_DOCS))`` such lines.
     """
     held = host_lines(docs).groupBy("host", "line").agg(F.count_distinct("text_key").alias("n"))
     sizes = docs.where(F.col("text").isNotNull()).groupBy(F.coalesce("source", F.lit("")).alias("host")).agg(
         F.count_distinct(F.xxhash64("text")).alias("n_docs")
     )
-    often = held.where(F.col("n") > min_docs).join(sizes, "host").where(F.col("n") > max_share * F.col("n_docs"))
+    often = held.where(F.col("n") > min_docs).join(sizes, "host").where(
+        F.col("n") > F.least(max_share * F.col("n_docs"), F.lit(MAX_DOCS))
+    )
     return often.groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
