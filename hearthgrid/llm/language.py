@@ -171,6 +171,8 @@ def train(docs: DataFrame, per_language: int = MAX_PER_LANGUAGE) -> LanguageMode
     ]
     part = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30))
     drawn = known.where(part < F.element_at(F.create_map(*limits), F.col("lang")))
+    # repeated rows of a drawn id teach nothing more
+    drawn = drawn.select("doc_id", "lang", "text").dropDuplicates()
     table = map_rows(
         drawn.select("lang", "text"),
         lambda langs, texts: ((v, features(t).astype("f4")) for v, t in zip(langs, texts, strict=True)),

@@ -138,7 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Boo
     n = known.count()
     part = F.pmod(F.xxhash64("doc_id", F.lit("quality sample")), F.lit(1 << 30))
     drawn = known.where(part < int(min(1.0, max_train / max(n, 1)) * (1 << 30))).dropDuplicates()
-    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    # repeated rows of a drawn id teach nothing more
+    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").dropDuplicates()
     vectors = map_rows(
         texts.select("label", "text"),
         lambda ys, ts: ((y, statistics(t)) for y, t in zip(ys, ts, strict=True)),
