@@ -23,6 +23,8 @@ from hearthgrid.llm.common import map_rows
 SPACE = "▁"
 #: Units and token pairs that one worker holds; a full cache starts anew.
 CACHE_UNITS, CACHE_PAIRS = 800_000, 1_000_000
+#: Longer units are not kept, so the cache is bounded in bytes as well.
+CACHE_LETTERS = 64
 _LOADED: dict = {}
 
 
@@ -129,8 +131,6 @@ class PieceModel(dict):
         return out[::-1]
 
     def __missing__(self, unit: str) -> tuple[int, ...]:
-        if len(self) >= CACHE_UNITS:
-            self.clear()
         ids: list[int] = []
         for token in self.tokens(unit):
             i = self.ids.get(token)
@@ -138,7 +138,11 @@ class PieceModel(dict):
                 ids += [self.byte[b] for b in token.encode()]
             else:
                 ids.append(i)
-        self[unit] = found = tuple(ids)
+        found = tuple(ids)
+        if len(unit) <= CACHE_LETTERS:
+            if len(self) >= CACHE_UNITS:
+                self.clear()
+            self[unit] = found
         return found
 
     def encode(self, text: str) -> list[int]:

@@ -15,6 +15,8 @@ import numpy as np
 #: Words that one worker holds in each of two generations. A full one becomes the older one, from which
 #: words that come up again move back, so frequent words stay.
 CACHE_WORDS = 300_000
+#: Longer words are not kept, so the cache is bounded in bytes as well.
+CACHE_LETTERS = 64
 #: Texts longer than this are cut at white space, which no token crosses.
 CHUNK = 1 << 20
 
@@ -40,6 +42,8 @@ class WordIds(dict):
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4")
 
     def __missing__(self, word: str) -> bytes:
+        if len(word) > CACHE_LETTERS:
+            return self.whole(word)
         if len(self) >= CACHE_WORDS:
             self.older = dict(self)
             self.clear()
