@@ -1,4 +1,4 @@
-"""One model per household (and device), refitted every day (MDL-1, MDL-5, MDL-9).
+"""One model per household (and device), refitted every day (MDL-1..6, MDL-9).
 
 The rows of an entity are grid rows of its calendar (24 per day at most), so a group
 has a bounded size. Spark spreads the entities; inside a group numpy walks over the days.
@@ -14,20 +14,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hearthgrid.models import daily
 from hearthgrid.session import spread_out
 
 
+#: Parts that the days of one entity are dealt to at most.
+MOST_PARTS = 8
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None, c: float = 1.0,
-                 max_iter: int = 100, tol: float = 1e-8) -> np.ndarray:
-    """Newton steps for L2 logistic regression; the first weight is the free intercept."""
+                 max_iter: int = 100, tol: float = 1e-8, n: np.ndarray | float = 1.0) -> np.ndarray:
+    """Newton steps for L2 logistic regression; the first weight is the free intercept.
+
+    A line of ``x`` may stand for ``n`` rows with ``y`` ones.
+    """
     a = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(a.shape[1]) if w is None else w.copy()
     penalty = np.full(a.shape[1], 1.0 / c)
     penalty[0] = 0.0
     for _ in range(max_iter):
         p = 1.0 / (1.0 + np.exp(-np.clip(a @ w, -35, 35)))
-        gradient = a.T @ (p - y) + penalty * w
-        hessian = (a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty)
+        gradient = a.T @ (n * p - y) + penalty * w
+        hessian = (a * (n * p * (1 - p))[:, None]).T @ a + np.diag(penalty)
         hessian[0, 0] += 1e-10
         step = np.linalg.solve(hessian, gradient)
         size = np.max(np.abs(step))
@@ -92,7 +100,7 @@ def rank_auc(y: np.ndarray, p: np.ndarray) -> float | None:
 
 
 def _walk(keys: list[str], order: str, columns: list[str], label: str, model_type: str,
-          leak_free: bool, params: dict) -> Callable[[pd.DataFrame], pd.DataFrame]:
+          leak_free: bool, params: dict, parts: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable")
         x = rows[columns].to_numpy(dtype=float)
@@ -102,7 +110,13 @@ def _walk(keys: list[str], order: str, columns: list[str], label: str, model_typ
         p = np.full(len(rows), np.nan)
         train_auc = np.full(len(rows), np.nan)
         reason = np.full(len(rows), None, dtype=object)
-        w, nearest = None, None
+        w, nearest, own = None, None, np.ones(len(rows), bool)
+        if model_type in daily.MODELS:
+            part = int(rows["_part"].iloc[0])
+            p[usable], train_auc[usable] = daily.walk(x[usable], y[usable], days[usable], model_type, leak_free, params, parts, part)
+            reason[~usable] = "missing features"
+            reason[usable & np.isnan(p)] = daily.FEW_CLASSES
+            own, days = days % parts == part, days[:0]
         for day in pd.unique(days):
             today = days == day
             known = usable & (days < day if leak_free else days <= day)
@@ -111,7 +125,7 @@ def _walk(keys: list[str], order: str, columns: list[str], label: str, model_typ
                 reason[today] = "missing features"
                 continue
             if len(np.unique(y[known])) < 2:
-                reason[today] = "training data has fewer than two classes"
+                reason[today] = daily.FEW_CLASSES
                 continue
             if model_type == "logit":
                 w = fit_logistic(x[known], y[known], w, **params)
@@ -127,7 +141,7 @@ def _walk(keys: list[str], order: str, columns: list[str], label: str, model_typ
             reason[today & ~usable] = "missing features"
         out = rows[[*keys, order]].copy()
         out["label"], out["p"], out["train_auc"], out["reason"] = y, p, train_auc, reason
-        return out
+        return out[own]
 
     return run
 
@@ -145,10 +159,11 @@ def walk_forward(
     """Daily refits per entity: ``keys, order, label, p, train_auc, reason``.
 
     ``p`` comes from a model fitted on the rows of earlier days. Rows that could not be scored
-    have a ``reason``. ``model_type`` is 'logit' or 'knn'; tree models are pooled only.
+    have a ``reason``. ``model_type`` is 'logit', 'knn' or one of ``daily.MODELS``, whose days are fitted side by side on running sums
+    of feature cells.
     """
-    if model_type not in ("logit", "knn"):
-        raise ValueError(f"no per-entity backend for {model_type!r}, use 'logit' or 'knn'")
+    if model_type not in ("logit", "knn", *daily.MODELS):
+        raise ValueError(f"unknown model type {model_type!r}, use 'logit', 'knn' or one of {daily.MODELS}")
     fields = [features.schema[k] for k in [*keys, order]]
     schema = T.StructType(
         [T.StructField(f.name, f.dataType) for f in fields]
@@ -161,35 +176,67 @@ def walk_forward(
     )
     day = F.unix_date(F.to_date(order)).alias("_day")
     slim = features.select(*keys, order, day, label, *columns)
-    return spread_out(slim, keys).groupBy(*keys).applyInPandas(
-        _walk(keys, order, columns, label, model_type, leak_free, params), schema
+    parts = 1
+    if model_type in daily.MODELS:
+        # with fewer entities than tasks, the days of an entity are dealt to several tasks, each with all its rows
+        tasks = features.sparkSession.sparkContext.defaultParallelism
+        entities = features.select(*keys).distinct().count()
+        parts = min(MOST_PARTS, max(1, 2 * tasks // max(entities, 1)))
+    slim = slim.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return spread_out(slim, [*keys, "_part"]).groupBy(*keys, "_part").applyInPandas(
+        _walk(keys, order, columns, label, model_type, leak_free, params, parts), schema
     ).withColumns({"p": F.nanvl("p", F.lit(None)), "train_auc": F.nanvl("train_auc", F.lit(None))})
 
 
-def score_split(
-    train: DataFrame, test: DataFrame, keys: list[str], ids: list[str], columns: list[str], label: str, **params
+def _prefix_scores(x: np.ndarray, y: np.ndarray, day: np.ndarray, model_type: str, params: dict) -> list[tuple[int, float | None]]:
+    """AUC on all rows of the model of each day that has training rows of both classes."""
+    if not len(x):
+        return []
+    held = daily.Prefixes(x, y, day, binned=model_type in daily.MODELS)
+    total, positive = (np.bincount(held.cell_of, v, len(held.codes)) for v in (np.ones(len(y)), y))
+    nearest, w, out = NearestRows(x, y) if model_type == "knn" else None, None, []
+    for days, n, ones in held.sums(np.unique(day)):
+        fit = np.flatnonzero((ones.sum(axis=1) > 0) & (ones.sum(axis=1) < n.sum(axis=1)))
+        if model_type in daily.MODELS and len(fit):
+            found = daily.probabilities(model_type, held.codes, held.bins.sizes, n[fit], ones[fit], **params)
+            out += [(int(days[k]), daily.cell_auc(total, positive, p)) for k, p in zip(fit, found, strict=True)]
+            continue
+        for k in fit:
+            if nearest:
+                score = rank_auc(y, nearest.predict(np.flatnonzero(day < days[k]), np.arange(len(y)), **params))
+            else:
+                # the weights of the day before are the start
+                w = fit_logistic(held.codes, ones[k], w, n=n[k], **params)
+                score = daily.cell_auc(total, positive, predict_logistic(w, held.codes))
+            out.append((int(days[k]), score))
+    return out
+
+
+def cold_start(
+    features: DataFrame, keys: list[str], order: str, columns: list[str], label: str, model_type: str = "logit", **params
 ) -> DataFrame:
-    """Nearest-neighbour probabilities of the test rows from their own entity's training rows: ``keys, ids, label, p``."""
-
-    def run(known: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        # a side without rows comes without columns
-        if not len(rows):
-            return pd.DataFrame([], columns=[*keys, *ids, label, "p"])
-        if len(known):
-            known = known.dropna(subset=[*columns, label]).sort_values(ids, kind="stable")
-        rows = rows.dropna(subset=columns)
-        p = np.full(len(rows), np.nan)
-        if len(known) and len(rows):
-            p = predict_knn(
-                known[columns].to_numpy(float), known[label].to_numpy(float), rows[columns].to_numpy(float), **params
-            )
-        return rows[[*keys, *ids, label]].assign(p=p)
-
-    schema = T.StructType([test.schema[c] for c in [*keys, *ids, label]] + [T.StructField("p", T.DoubleType())])
-    # both sides may come from one table: fresh names keep their columns apart
-    names = [*keys, *ids, label, *columns]
-    slim = lambda df: spread_out(df.select(*[F.expr(f"`{c}`").alias(c, metadata={}) for c in names]), keys).groupBy(*keys)
-    return slim(train).cogroup(slim(test)).applyInPandas(run, schema).withColumn("p", F.nanvl("p", F.lit(None)))
+    """``keys, day, score``: AUC on an entity's whole period of a model trained on the rows before each day (MDL-11).
+
+    Training data grows by adding each day's counts to running sums. Days without training rows of both classes have
+    no score; a period of one class has NULL scores.
+    """
+    if model_type not in ("logit", "knn", *daily.MODELS):
+        raise ValueError(f"unknown model type {model_type!r}, use 'logit', 'knn' or one of {daily.MODELS}")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        first = rows[keys].iloc[:1]
+        rows = rows.dropna(subset=[*columns, label]).sort_values(order, kind="stable")
+        x, y = rows[columns].to_numpy(float), rows[label].to_numpy(float)
+        scores = _prefix_scores(x, y, rows["_day"].to_numpy(), model_type, params)
+        out = pd.DataFrame(scores, columns=["_day", "score"]).astype({"score": float})
+        return first.merge(out, how="cross")
+
+    schema = T.StructType(
+        [features.schema[k] for k in keys] + [T.StructField("_day", T.IntegerType()), T.StructField("score", T.DoubleType())]
+    )
+    slim = features.select(*keys, order, F.unix_date(F.to_date(order)).alias("_day"), label, *columns)
+    found = spread_out(slim, keys).groupBy(*keys).applyInPandas(run, schema)
+    return found.select(*keys, F.date_from_unix_date("_day").alias("day"), F.nanvl("score", F.lit(None)).alias("score"))
 
 
 def mean_train_auc(predictions: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -1,34 +1,25 @@
-"""Classifiers trained on all households together with pyspark.ml (MDL-1..4, MDL-6..12)."""
+"""Classifiers trained on all households together (MDL-1..4, MDL-6..11)."""
 
 from __future__ import annotations
 
-import itertools
-import math
-import re
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    LogisticRegression,
-    RandomForestClassifier,
-)
-from pyspark.ml.feature import OneHotEncoder, QuantileDiscretizer, VectorAssembler
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthgrid.operators.metrics import auc
-from hearthgrid.models import per_entity
+from hearthgrid.models import additive, cells
 from hearthgrid.models.splits import fold_start
+from hearthgrid.operators.metrics import auc
 from hearthgrid.session import stage
 
 SCORE = "p"
-SEED = 0
+FITS_AT_ONCE = 4
 
 
 class Scorer:
@@ -62,108 +53,12 @@ def fit_logit(train: DataFrame, columns: list[str], label: str, max_iter: int =
     return Scorer(Pipeline(stages=[_assembler(columns), lr]).fit(train), columns)
 
 
-def fit_forest(train: DataFrame, columns: list[str], label: str, max_depth: int = 10,
-               n_estimators: int = 500, max_features: str = "sqrt") -> Scorer:
-    """Random forest (MDL-2)."""
-    rf = RandomForestClassifier(
-        labelCol=label, maxDepth=max_depth, numTrees=n_estimators,
-        featureSubsetStrategy={"auto": "sqrt"}.get(max_features, max_features), seed=SEED,
-    )
-    return Scorer(Pipeline(stages=[_assembler(columns), rf]).fit(train), columns)
-
-
-def fit_boosting(train: DataFrame, columns: list[str], label: str, learning_rate: float = 0.1,
-                 max_depth: int = 6, n_estimators: int = 100) -> Scorer:
-    """Gradient-boosted trees (MDL-3). Leaf-weight penalties have no counterpart here."""
-    gbt = GBTClassifier(
-        labelCol=label, stepSize=learning_rate, maxDepth=max_depth, maxIter=n_estimators, seed=SEED
-    )
-    return Scorer(Pipeline(stages=[_assembler(columns), gbt]).fit(train), columns)
-
-
-def _log_odds(p: float) -> float:
-    eps = 2.220446049250313e-16
-    p = min(max(p, eps), 1 - eps)
-    return (math.log(p) - math.log(1 - p)) / 2
-
-
-class AdaScorer(Scorer):
-    """Sum of stump log-odds, turned into a probability.
-
-    ``model`` is a list of ``(column, threshold, log-odds up to it, log-odds above)``; stumps on one column and
-    threshold are added up, so the score is one expression with as many cases as there are different splits.
-    """
-
-    def margin(self) -> Column:
-        sides: dict[tuple[str, float], list[float]] = {}
-        for column, threshold, low, high in self.model:
-            both = sides.setdefault((column, threshold), [0.0, 0.0])
-            both[0] += low
-            both[1] += high
-        # NaN is above any threshold
-        cases = [F.when(F.col(c) <= t, low).otherwise(high) for (c, t), (low, high) in sides.items()]
-        return reduce(Column.__add__, cases, F.lit(0.0))
-
-    def score(self, df: DataFrame) -> DataFrame:
-        p = 1 / (1 + F.exp(-2 * self.margin() / len(self.model)))
-        return df.select(*df.columns, p.alias(SCORE))
-
-
-def _stump(tree, columns: list[str]) -> tuple[str, float, float, float]:
-    """Split and leaf log-odds of a fitted stump."""
-    split = re.search(r"feature (\d+) <= (\S+)\)", tree.toDebugString)
-    feature, threshold = (int(split[1]), float(split[2])) if split else (0, math.inf)
-    sides = []
-    for value in (threshold, math.inf):
-        at = [0.0] * len(columns)
-        at[feature] = value
-        sides.append(_log_odds(float(tree.predictProbability(Vectors.dense(at))[1])))
-    return columns[feature], threshold, *sides
-
-
-def fit_ada(train: DataFrame, columns: list[str], label: str, learning_rate: float = 0.1,
-            n_estimators: int = 100) -> AdaScorer:
-    """Real-valued AdaBoost over stumps (MDL-4).
-
-    Each round fits a weighted stump and multiplies the weight of a row by
-    ``exp(-learning_rate * y * log_odds / 2)`` with y = +1 or -1, so a weight only
-    depends on the summed log-odds of its row. It is computed from the stumps so far, and the
-    written rows never change.
-    """
-    rows = stage(_assembler(columns).transform(train.select(*columns, label)), "ada")
-    sign = F.when(F.col(label) == 1, 1.0).otherwise(-1.0)
-    scorer = AdaScorer([], columns)
-    tree = DecisionTreeClassifier(labelCol=label, weightCol="_w", maxDepth=1, seed=SEED)
-    for _ in range(n_estimators):
-        weighted = rows.select("features", label, F.exp(-learning_rate * sign * scorer.margin()).alias("_w"))
-        scorer.model.append(_stump(tree.fit(weighted), columns))
-    return scorer
-
-
-def fit_additive(train: DataFrame, columns: list[str], label: str, bins: int = 16,
-                 max_iter: int = 100) -> Scorer:
-    """Additive model: one step function per feature over quantile bins (MDL-6)."""
-    n = train.count()
-    binned = [f"_bin_{c}" for c in columns]
-    coded = [f"_code_{c}" for c in columns]
-    stages = [
-        QuantileDiscretizer(
-            inputCols=columns, outputCols=binned, numBuckets=bins, handleInvalid="keep"
-        ),
-        OneHotEncoder(inputCols=binned, outputCols=coded, dropLast=False, handleInvalid="keep"),
-        VectorAssembler(inputCols=coded, outputCol="features"),
-        LogisticRegression(labelCol=label, maxIter=max_iter, regParam=1.0 / max(n, 1),
-                           elasticNetParam=0.0, standardization=False),
-    ]
-    return Scorer(Pipeline(stages=stages).fit(train), columns)
-
-
 FITTERS: dict[str, Callable[..., Scorer]] = {
     "logit": fit_logit,
-    "random forest": fit_forest,
-    "xgboost": fit_boosting,
-    "ada": fit_ada,
-    "ebm": fit_additive,
+    "random forest": cells.fit_forest,
+    "xgboost": cells.fit_boosting,
+    "ada": cells.fit_ada,
+    "ebm": additive.fit_additive,
 }
 
 
@@ -174,43 +69,10 @@ def fit(model_type: str, train: DataFrame, columns: list[str], label: str, **par
     return FITTERS[model_type](train, columns, label, **params)
 
 
-def shape_table(scorer: Scorer) -> DataFrame:
-    """Bin weights of an additive model: ``feature, bin, lower, upper, weight`` (XAI-11)."""
-    model: PipelineModel = scorer.model
-    bucketizer, encoder, _, lr = model.stages
-    splits, sizes = bucketizer.getSplitsArray(), encoder.categorySizes
-    weights, rows, at = list(lr.coefficients.toArray()), [], 0
-    for name, cuts, size in zip(scorer.columns, splits, sizes):
-        for b in range(int(size)):
-            inside = b + 1 < len(cuts)
-            rows.append(
-                (name, b, float(cuts[b]) if inside else None,
-                 float(cuts[b + 1]) if inside else None, float(weights[at + b]))
-            )
-        at += int(size) + 1  # the encoder keeps one extra slot for unseen bins
-    return SparkSession.active().createDataFrame(
-        rows, "feature string, bin int, lower double, upper double, weight double"
-    )
-
-
-def additive_contributions(scorer: Scorer, df: DataFrame, ids: list[str]) -> DataFrame:
-    """Weight of each row's bins: ``ids, feature, value, contribution`` (XAI-11)."""
-    bucketizer, encoder, _, lr = scorer.model.stages
-    weights, at, parts = list(map(float, lr.coefficients.toArray())), 0, []
-    for c, size in zip(scorer.columns, encoder.categorySizes):
-        table = F.array(*[F.lit(w) for w in weights[at : at + int(size)]])
-        parts.append(
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.col(c).cast("double").alias("value"),
-                F.coalesce(F.get(table, F.col(f"_bin_{c}").cast("int")), F.lit(0.0)).alias(
-                    "contribution"
-                ),
-            )
-        )
-        at += int(size) + 1
-    binned = bucketizer.transform(df)
-    return binned.select(*ids, F.explode(F.array(*parts)).alias("_f")).select(*ids, "_f.*")
+def shape_table(model: additive.AdditiveModel) -> DataFrame:
+    """Values by bin of an additive model's terms: ``feature, bin, lower, upper, other_bin, weight`` (XAI-11)."""
+    schema = "feature string, bin int, lower double, upper double, other_bin int, weight double"
+    return SparkSession.active().createDataFrame(model.table(), schema)
 
 
 def folds(features: DataFrame, day: str, refit_every: str = "month") -> list[tuple[str, str]]:
@@ -232,84 +94,24 @@ def walk_forward(
     """Fit on the days before each fold and score the fold (MDL-9, MDL-10).
 
     ``folds`` are ``(first_day, last_day)`` pairs; their number is the number of refits,
-    independent of the data size. Returns the scored rows, the training AUC per fold
-    and the folds that could not be fitted with the reason.
+    independent of the data size; ``FITS_AT_ONCE`` run side by side and each writes its scores. Returns the scored rows (none if no fold could
+    be fitted), the training AUC per fold and the folds that could not be fitted with the reason.
     """
-    parts, train_auc, errors = [], [], []
-    for first, last in folds:
-        known = features.where(F.col(day) < F.lit(first).cast("date")).na.drop(subset=[*columns, label])
-        fold = features.where(
-            F.col(day).between(F.lit(first).cast("date"), F.lit(last).cast("date"))
-        ).na.drop(subset=columns)
-        classes = known.select(label).distinct().count()
-        if classes < 2:
-            errors.append((first, "training data has fewer than two classes"))
-            continue
+    at = lambda d: F.lit(d).cast("date")
+
+    def one(span: tuple[str, str]) -> tuple[DataFrame, float] | None:
+        first, last = span
+        known = features.where(F.col(day) < at(first)).na.drop(subset=[*columns, label])
+        fold = features.where(F.col(day).between(at(first), at(last))).na.drop(subset=columns)
+        if known.select(label).distinct().limit(2).count() < 2:
+            return None
         scorer = fit(model_type, known, columns, label, **params)
-        train_auc.append((first, auc(scorer.score(known), [], label, SCORE).first()["auc"]))
-        parts.append(scorer.score(fold).withColumn("fold", F.lit(first).cast("date")))
-    if not parts:
-        raise ValueError(f"no fold could be fitted: {errors}")
-    return reduce(DataFrame.unionByName, parts), train_auc, errors
-
-
-def cold_start(
-    features: DataFrame, days: list[str], day: str, columns: list[str], label: str,
-    model_type: str, keys: list[str], **params,
-) -> DataFrame:
-    """AUC on the whole period of models trained on growing prefixes (MDL-11)."""
-    usable = features.na.drop(subset=[*columns, label])
-    parts = []
-    for d in days:
-        train = usable.where(F.col(day) < F.lit(d).cast("date"))
-        if train.select(label).distinct().count() < 2:
-            continue
-        scored = fit(model_type, train, columns, label, **params).score(usable)
-        parts.append(scored.select(*keys, label, SCORE, F.lit(d).cast("date").alias("day")))
-    if not parts:
-        raise ValueError("no day has training data of both classes")
-    every = stage(reduce(DataFrame.unionByName, parts), "scores")
-    return auc(every, [*keys, "day"], label, SCORE).withColumnRenamed("auc", "score")
-
-
-# Parameter grid per model.
-PARAMETER_GRID: dict[str, dict[str, list]] = {
-    "logit": {"max_iter": [10, 100, 1000]},
-    "random forest": {
-        "max_depth": [10, 20],
-        "n_estimators": [100, 500, 1000],
-        "max_features": ["auto", "sqrt", "log2"],
-    },
-    "ada": {"learning_rate": [0.001, 0.01, 0.1, 1.0], "n_estimators": [50, 100, 500]},
-    "knn": {"n_neighbors": [1, 5, 10]},
-    "xgboost": {"learning_rate": [0.01, 0.1, 0.3, 1.0], "max_depth": [6, 12, 18]},
-}
-
-
-def parameter_sets(model_type: str, grid: dict[str, list] | None = None) -> list[dict]:
-    options = PARAMETER_GRID[model_type] if grid is None else grid
-    return [dict(zip(options, values)) for values in itertools.product(*options.values())]
-
-
-def grid_search(
-    train: DataFrame, test: DataFrame, columns: list[str], label: str,
-    grids: dict[str, dict[str, list]], keys: tuple[str, ...] = ("household_id",), ids: tuple[str, ...] = ("ts",),
-    at_once: int = 4,
-) -> list[tuple[str, dict, str, float]]:
-    """Test AUC of every parameter set (MDL-12), as rows for the score table.
-
-    ``at_once`` parameter sets run side by side. Nearest neighbours are searched inside the entity of ``keys``, whose rows ``ids``
-    tell apart; all other models are pooled.
-    """
-
-    def one(model_type: str, params: dict) -> tuple[str, dict, str, float]:
-        if model_type == "knn":
-            scored = per_entity.score_split(train, test, list(keys), list(ids), columns, label, **params)
-        else:
-            scored = fit(model_type, train, columns, label, **params).score(test)
-        value = auc(scored, [], label, SCORE).first()["auc"]
-        return model_type, params, "auc", math.nan if value is None else float(value)
-
-    sets = [(m, p) for m, grid in grids.items() for p in parameter_sets(m, grid)]
-    with ThreadPoolExecutor(at_once) as pool:
-        return list(pool.map(lambda job: one(*job), sets))
+        scored = stage(scorer.score(fold).withColumn("fold", at(first)), "fold")
+        return scored, auc(scorer.score(known), [], label, SCORE).first()["auc"]
+
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        found = list(pool.map(one, folds))
+    errors = [(span[0], "training data has fewer than two classes") for span, f in zip(folds, found, strict=True) if f is None]
+    train_auc = [(span[0], f[1]) for span, f in zip(folds, found, strict=True) if f is not None]
+    none = features.limit(0).withColumns({SCORE: F.lit(None).cast("double"), "fold": F.lit(None).cast("date")})
+    return reduce(DataFrame.unionByName, [f[0] for f in found if f is not None], none), train_auc, errors
