@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from hearthgrid.catalog import views as V
 from hearthgrid.catalog.decisions import Prepared
 from hearthgrid.catalog.registry import query, rounded
 from hearthgrid.config import WEATHER_COLUMNS, WEEKDAY_DUMMIES
-from hearthgrid.models import per_entity, pooled, splits
+from hearthgrid.models import attributions, cells, per_entity, pooled, search, splits
 from hearthgrid.operators import explain, metrics, sentences
 from hearthgrid.plans import decide, prepare
 from hearthgrid.session import stage
@@ -17,6 +19,7 @@ from hearthgrid.session import stage
 LAGS = ["activity_lag_24", "activity_lag_48", "activity_lag_72"]
 DAYS = [f"day_name_{d}" for d in WEEKDAY_DUMMIES]
 WEATHER = list(WEATHER_COLUMNS)
+USAGE_IDS = ["household_id", "device", "day"]
 ACTIVITY_COLUMNS = ["hour", *LAGS, *DAYS]
 USAGE_COLUMNS = ["usage_lag_1", "usage_lag_2", "active_last_2_days", *WEATHER]
 
@@ -39,13 +42,24 @@ def train_test(spark, d, weather: bool = False) -> tuple[DataFrame, DataFrame]:
     return rows.where(F.col("day") < "2024-01-22"), rows.where(F.col("day") >= "2024-01-22")
 
 
-def scored(spark, d, model_type: str, weather: bool = False, **params) -> DataFrame:
-    train, test = train_test(spark, d, weather)
+def daily(spark, d, model_type: str, weather: bool = False, **params) -> DataFrame:
+    """Scores of all days by a model of each household that is refitted every day."""
     columns = ACTIVITY_COLUMNS + (WEATHER if weather else [])
-    if weather:
-        train, test = train.na.drop(subset=columns), test.na.drop(subset=columns)
-    out = pooled.fit(model_type, train, columns, "activity", **params).score(test)
-    return out.select("household_id", "ts", "activity", "p")
+    return per_entity.walk_forward(
+        activity_frame(spark, d, weather), ["household_id"], "ts", columns, "activity", model_type, **params
+    )
+
+
+def scored(spark, d, model_type: str, weather: bool = False, **params) -> DataFrame:
+    out = daily(spark, d, model_type, weather, **params).where(F.col("p").isNotNull())
+    return out.select("household_id", "ts", F.col("label").cast("int").alias("activity"), "p")
+
+
+def test_and_train_auc(predictions: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """AUC over all scored days and mean AUC on the training data of the days."""
+    out = stage(predictions, "predictions")
+    test = metrics.auc(out, keys, "label", "p").withColumnRenamed("auc", "auc_test")
+    return test.join(per_entity.mean_train_auc(out, keys, order), keys)
 
 
 # --- splits --------------------------------------------------------------------------
@@ -138,6 +152,50 @@ def mdl3_gbt(spark, d):
     return scored(spark, d, "xgboost")
 
 
+SPLIT_LAMBDA, SPLIT_ALPHA = 0.5, 2.0
+_SPLIT_FEATURES = {
+    "hour": "hour", "activity_lag_24": "lag24", "activity_lag_48": "lag48", "activity_lag_72": "lag72",
+    **{f"day_name_{w}": f"CAST(dayname(ts) = '{w}' AS INT)" for w in WEEKDAY_DUMMIES},
+}
+_Q = f"power(greatest(abs({{g}}) - {SPLIT_ALPHA}, 0), 2) / ({{h}} + {SPLIT_LAMBDA})"
+_W = f"round(-sign({{g}}) * greatest(abs({{g}}) - {SPLIT_ALPHA}, 0) / ({{h}} + {SPLIT_LAMBDA}), 9)"
+
+
+@query(
+    "mdl3_split_gains",
+    # at a score of 1/2 a row has the derivatives 1/2 - y and 1/4
+    "SELECT feature, (v + above) / 2 AS threshold, round({gain}, 6) AS gain, {left} AS left_value, {right} AS right_value FROM"
+    " (SELECT feature, v, lead(v) OVER o AS above, sum(g) OVER o AS gl, sum(h) OVER o AS hl,"
+    " sum(g) OVER (PARTITION BY feature) AS g, sum(h) OVER (PARTITION BY feature) AS h FROM (".format(
+        gain=_Q.format(g="gl", h="hl") + " + " + _Q.format(g="(g - gl)", h="(h - hl)") + " - " + _Q.format(g="g", h="h"),
+        left=_W.format(g="gl", h="hl"), right=_W.format(g="(g - gl)", h="(h - hl)"),
+    )
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, CAST({x} AS DOUBLE) AS v, sum(0.5 - activity) AS g, count(*) / 4.0 AS h FROM activity_lags"
+        " WHERE lag72 IS NOT NULL GROUP BY ALL"
+        for c, x in _SPLIT_FEATURES.items()
+    )
+    + ") WINDOW o AS (PARTITION BY feature ORDER BY v)) WHERE above IS NOT NULL",
+)
+def mdl3_split_gains(spark, d):
+    """Gain and leaf values of every first split of penalised boosting, from the written cells."""
+    table = cells.CellTable.of(activity_frame(spark, d), ACTIVITY_COLUMNS, "activity")
+    gains = cells.first_splits(table, ACTIVITY_COLUMNS, SPLIT_LAMBDA, SPLIT_ALPHA)
+    return rounded(gains, 9, gain=6)
+
+
+@query("mdl3_first_tree")
+def mdl3_first_tree(spark, d):
+    """First split that one round of penalised boosting takes, with its leaf values."""
+    rows = activity_frame(spark, d)
+    model = cells.fit_boosting(
+        rows, ACTIVITY_COLUMNS, "activity", 1.0, 1, 1, reg_lambda=SPLIT_LAMBDA, reg_alpha=SPLIT_ALPHA
+    )
+    return spark.createDataFrame(
+        [r for r in model.splits()], "tree int, feature string, threshold double, left_value double, right_value double"
+    )
+
+
 @query("mdl4_ada")
 def mdl4_ada(spark, d):
     return scored(spark, d, "ada")
@@ -151,29 +209,50 @@ def mdl6_additive(spark, d):
 @query("mdl9_walk_forward")
 def mdl9_walk_forward(spark, d):
     """Test and training AUC per household with a logistic model refitted every day."""
-    out = stage(
-        per_entity.walk_forward(
-            activity_frame(spark, d), ["household_id"], "ts", ACTIVITY_COLUMNS, "activity"
-        ),
-        "predictions",
+    return test_and_train_auc(daily(spark, d, "logit"), ["household_id"], "ts")
+
+
+@query("mdl9_walk_forward_forest")
+def mdl9_walk_forward_forest(spark, d):
+    """The same with a random forest of 500 trees for every household and day."""
+    return test_and_train_auc(daily(spark, d, "random forest"), ["household_id"], "ts")
+
+
+@query("mdl9_walk_forward_boosting")
+def mdl9_walk_forward_boosting(spark, d):
+    """The same with 100 rounds of penalised boosting for every household and day."""
+    return test_and_train_auc(daily(spark, d, "xgboost"), ["household_id"], "ts")
+
+
+@query("mdl9_walk_forward_ada")
+def mdl9_walk_forward_ada(spark, d):
+    """The same with 100 boosted stumps for every household and day."""
+    return test_and_train_auc(daily(spark, d, "ada"), ["household_id"], "ts")
+
+
+@query("mdl9_walk_forward_additive")
+def mdl9_walk_forward_additive(spark, d):
+    """The same with shape functions and pair interactions for every household and day, with the weather."""
+    return test_and_train_auc(daily(spark, d, "ebm", weather=True), ["household_id"], "ts")
+
+
+def daily_usage(spark, d, model_type: str = "logit", **params) -> DataFrame:
+    """Scores of all days by a model of each household and device that is refitted every day, with the weather."""
+    return per_entity.walk_forward(
+        usage_frame(spark, d), USAGE_IDS[:2], "day", USAGE_COLUMNS, "usage", model_type, **params
     )
-    test = metrics.auc(out, ["household_id"], "label", "p").withColumnRenamed("auc", "auc_test")
-    return test.join(per_entity.mean_train_auc(out, ["household_id"], "ts"), "household_id")
 
 
 @query("mdl9_walk_forward_usage")
 def mdl9_walk_forward_usage(spark, d):
-    """The same for device usage, one model per household and device (EVL-10)."""
-    keys = ["household_id", "device"]
-    out = stage(
-        per_entity.walk_forward(
-            usage_frame(spark, d), keys, "day",
-            ["usage_lag_1", "usage_lag_2", "active_last_2_days"], "usage",
-        ),
-        "predictions",
-    )
-    test = metrics.auc(out, keys, "label", "p").withColumnRenamed("auc", "auc_test")
-    return test.join(per_entity.mean_train_auc(out, keys, "day"), keys)
+    """Device usage, one logistic model per household and device (EVL-10)."""
+    return test_and_train_auc(daily_usage(spark, d), USAGE_IDS[:2], "day")
+
+
+@query("mdl9_walk_forward_usage_boosting")
+def mdl9_walk_forward_usage_boosting(spark, d):
+    """Device usage by penalised boosting."""
+    return test_and_train_auc(daily_usage(spark, d, "xgboost"), USAGE_IDS[:2], "day")
 
 
 @query("mdl9_walk_forward_pooled")
@@ -189,14 +268,9 @@ def mdl9_walk_forward_pooled(spark, d):
 @query("mdl10_predictions")
 def mdl10_predictions(spark, d):
     """Daily predictions of both agents in one long table."""
-    activity = per_entity.walk_forward(
-        activity_frame(spark, d), ["household_id"], "ts", ACTIVITY_COLUMNS, "activity"
-    ).select(F.lit("activity").alias("agent"), "household_id",
+    activity = daily(spark, d, "logit").select(F.lit("activity").alias("agent"), "household_id",
              F.lit(None).cast("string").alias("device"), "ts", "label", "p")
-    usage = per_entity.walk_forward(
-        usage_frame(spark, d), ["household_id", "device"], "day",
-        ["usage_lag_1", "usage_lag_2", "active_last_2_days"], "usage",
-    ).select(F.lit("usage").alias("agent"), "household_id", "device",
+    usage = daily_usage(spark, d).select(F.lit("usage").alias("agent"), "household_id", "device",
              F.col("day").cast("timestamp_ntz").alias("ts"), "label", "p")
     return activity.unionByName(usage)
 
@@ -218,27 +292,30 @@ def rec2_model_recommend(spark, d):
     return decide.recommend(decide.with_costs(inputs), 0.25, 0.375).select(*decide.RECOMMENDATION)
 
 
+def cold_starts(spark, d, model_type: str = "logit", **params) -> DataFrame:
+    """AUC on the whole period of the models of each day: ``agent, household_id, device, day, score``."""
+    activity = per_entity.cold_start(
+        activity_frame(spark, d), ["household_id"], "ts", ACTIVITY_COLUMNS, "activity", model_type, **params
+    )
+    usage = per_entity.cold_start(
+        usage_frame(spark, d), USAGE_IDS[:2], "day", USAGE_COLUMNS, "usage", model_type, **params
+    )
+    none = F.lit(None).cast("string").alias("device")
+    return activity.select(F.lit("activity").alias("agent"), "household_id", none, "day", "score").unionByName(
+        usage.select(F.lit("usage").alias("agent"), "household_id", "device", "day", "score")
+    )
+
+
 @query("mdl11_cold_start")
 def mdl11_cold_start(spark, d):
-    """A model for each day of the period, fitted on all days before it."""
-    rows = stage(activity_frame(spark, d), "features")
-    days = [first for first, _ in pooled.folds(rows, "day", "day")]
-    return pooled.cold_start(
-        rows, days, "day", ACTIVITY_COLUMNS, "activity", "logit", ["household_id"]
-    )
+    """A model of each household (and device) for each day of the period, fitted on all days before it, of both agents."""
+    return cold_starts(spark, d)
 
 
 @query("mdl12_model_grid")
 def mdl12_model_grid(spark, d):
-    train, test = train_test(spark, d)
-    grids = {
-        "logit": {"max_iter": [10, 100]},
-        "knn": pooled.PARAMETER_GRID["knn"],
-        "xgboost": {"learning_rate": [0.1, 0.3], "max_depth": [2], "n_estimators": [5]},
-    }
-    rows = pooled.grid_search(train, test, ACTIVITY_COLUMNS, "activity", grids)
-    data = [(m, str(sorted(p.items())), s, float(v)) for m, p, s, v in rows]
-    return spark.createDataFrame(data, "model string, params string, metric string, value double")
+    """Test AUC of all 78 parameter sets for each household."""
+    return search.grid_scores(activity_frame(spark, d), ["household_id"], "ts", ACTIVITY_COLUMNS, "activity")
 
 
 # --- explanations --------------------------------------------------------------------
@@ -431,9 +508,6 @@ def _usage_model(spark, d):
     return train, test, pooled.fit("logit", train, USAGE_COLUMNS, "usage")
 
 
-USAGE_IDS = ["household_id", "device", "day"]
-
-
 @query("xai2_shapley")
 def xai2_shapley(spark, d):
     """Exact Shapley values of the usage model for every test day."""
@@ -542,14 +616,82 @@ def xai12_lime_weights(spark, d):
     return explain.ranked_weights(xai1_lime(spark, d), USAGE_IDS)
 
 
+def usage_folds(spark, d, model_type: str, **params):
+    """Rows of every week, the model that was fitted on all weeks before it, and a background of its training rows."""
+    rows = stage(usage_frame(spark, d).na.drop(subset=[*USAGE_COLUMNS, "usage"]), "features")
+    for first, last in pooled.folds(rows, "day", "week"):
+        train = rows.where(F.col("day") < first)
+        if train.select("usage").distinct().limit(2).count() == 2:
+            fitted = pooled.fit(model_type, train, USAGE_COLUMNS, "usage", **params)
+            background = explain.sample_background(train, USAGE_COLUMNS)
+            yield rows.where(F.col("day").between(first, last)), fitted, background
+
+
+def tree_explanations(spark, d, model_type: str) -> DataFrame:
+    """Shapley values of the probability for every device and day after the first week."""
+    parts = [
+        attributions.tree_shapley(rows, USAGE_IDS, fitted, background)
+        for rows, fitted, background in usage_folds(spark, d, model_type)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("xai3_tree_forest")
+def xai3_tree_forest(spark, d):
+    """Shapley values of the pooled usage forest, by the paths of its leaves."""
+    return tree_explanations(spark, d, "random forest")
+
+
+@query("xai3_tree_boosting")
+def xai3_tree_boosting(spark, d):
+    """Shapley values of the pooled boosted usage model, by the paths of its leaves."""
+    return tree_explanations(spark, d, "xgboost")
+
+
+# The first week starts on the Monday of the first day, and the model of a week needs days before it.
+_ADDS_UP_SQL = (
+    f"SELECT household_id, device, day, CAST({len(USAGE_WEIGHTS)} AS BIGINT) AS features, true AS adds_up"
+    f" FROM (SELECT * FROM {USAGE_FEATURES_SQL} WHERE {_KNOWN_SQL}) r"
+    " WHERE day >= date_trunc('week', (SELECT min(day) FROM (SELECT * FROM "
+    f"{USAGE_FEATURES_SQL} WHERE {_KNOWN_SQL}))) + INTERVAL 7 DAY"
+)
+
+
+def adds_up(spark, d, model_type: str, method: str, output: str) -> DataFrame:
+    """Whether attributions add up to the model's own score less the mean score of the background."""
+    parts = []
+    for rows, fitted, background in usage_folds(spark, d, model_type):
+        phi = attributions.tree_shapley(rows, USAGE_IDS, fitted, background, method, output)
+        total = phi.groupBy(*USAGE_IDS).agg(
+            F.count(F.lit(1)).alias("features"), F.sum("attribution").alias("sum"), F.first("base").alias("base")
+        )
+        own = fitted.score(rows).select(*USAGE_IDS, "p")
+        if output == "margin":
+            own = own.withColumn("p", F.log(F.col("p") / (1 - F.col("p"))))
+        parts.append(total.join(own, USAGE_IDS).select(
+            *USAGE_IDS, "features", (F.abs(F.col("sum") - (F.col("p") - F.col("base"))) < 1e-8).alias("adds_up")
+        ))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("xai3_forest_adds_up", _ADDS_UP_SQL)
+def xai3_forest_adds_up(spark, d):
+    """Shapley values of the forest's probability add up."""
+    return adds_up(spark, d, "random forest", "background", "probability")
+
+
+@query("xai3_boosting_adds_up", _ADDS_UP_SQL)
+def xai3_boosting_adds_up(spark, d):
+    """Shapley values of the boosted margin, by shares of covers, add up."""
+    return adds_up(spark, d, "xgboost", "cover", "margin")
+
+
 @query("xai11_additive")
 def xai11_additive(spark, d):
     train, test = train_test(spark, d, weather=True)
     columns = ACTIVITY_COLUMNS + WEATHER
     model = pooled.fit("ebm", train.na.drop(subset=columns), columns, "activity")
-    return pooled.additive_contributions(
-        model, test.na.drop(subset=columns), ["household_id", "ts"]
-    )
+    return model.contributions(test, ["household_id", "ts"])
 
 
 @query("xai11_shapes")
@@ -594,8 +736,8 @@ def xai11_adds_up(spark, d):
     model = pooled.fit("ebm", train.na.drop(subset=columns), columns, "activity")
     known = test.na.drop(subset=columns)
     ids = ["household_id", "ts"]
-    total = pooled.additive_contributions(model, known, ids).groupBy(*ids).agg(F.sum("contribution").alias("sum"))
+    total = model.contributions(known, ids).groupBy(*ids).agg(F.sum("contribution").alias("sum"))
     own = model.score(known).select(*ids, "p")
-    odds = F.col("sum") + F.lit(float(model.model.stages[-1].intercept))
+    odds = F.col("sum") + F.lit(model.shapes.intercept)
     gap = F.abs(1 / (1 + F.exp(-odds)) - F.col("p"))
     return own.join(total, ids).select(*ids, (gap < 1e-9).alias("adds_up"))

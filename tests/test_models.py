@@ -1,7 +1,6 @@
 import numpy as np
 import pytest
 from conftest import at
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from hearthgrid.models import per_entity, pooled, splits
@@ -44,7 +43,9 @@ def test_unknown_model_names_fail(separable):
     with pytest.raises(ValueError):
         pooled.fit("tree of life", separable, COLS, "y")
     with pytest.raises(ValueError):
-        per_entity.walk_forward(separable, ["household_id"], "ts", COLS, "y", "random forest")
+        per_entity.walk_forward(separable, ["household_id"], "ts", COLS, "y", "tree of life")
+    with pytest.raises(ValueError):
+        per_entity.cold_start(separable, ["household_id"], "ts", COLS, "y", "tree of life")
 
 
 def test_pooled_and_numpy_logistic_agree(separable):
@@ -186,18 +187,15 @@ def test_linear_attributions_use_group_means(spark):
 
 def test_additive_contributions_sum_to_the_log_odds(separable):
     model = pooled.fit("ebm", separable, COLS, "y", bins=6)
-    parts = pooled.additive_contributions(model, separable, ["household_id", "ts"])
+    parts = model.contributions(separable, ["household_id", "ts"])
     total = parts.groupBy("household_id", "ts").agg(F.sum("contribution").alias("s"))
-    raw = model.model.transform(separable).select(
-        "household_id", "ts", vector_to_array("rawPrediction")[1].alias("raw")
-    )
-    intercept = model.model.stages[-1].intercept
+    raw = model.score(separable).select("household_id", "ts", F.log(F.col("p") / (1 - F.col("p"))).alias("raw"))
     worst = total.join(raw, ["household_id", "ts"]).agg(
-        F.max(F.abs(F.col("s") + intercept - F.col("raw")))
+        F.max(F.abs(F.col("s") + model.shapes.intercept - F.col("raw")))
     ).first()[0]
     assert worst < 1e-9
     shapes = pooled.shape_table(model)
-    assert shapes.groupBy("feature").count().count() == 2
+    assert {r.feature for r in shapes.select("feature").distinct().collect()} == {"a", "b", "a x b"}
 
 
 @pytest.mark.parametrize("method", ["exact", "permutation"])
