@@ -115,8 +115,7 @@ def spl2_split_with_test_day(spark, d):
 # --- models --------------------------------------------------------------------------
 
 
-@query(
-    "mdl5_knn",
+KNN_SQL = (
     "SELECT household_id, ts, round(avg(label), 6) AS p FROM"
     " (SELECT a.household_id, a.ts, b.activity AS label FROM f a JOIN f b"
     "  ON a.household_id = b.household_id AND CAST(b.ts AS DATE) < CAST(a.ts AS DATE)"
@@ -126,8 +125,11 @@ def spl2_split_with_test_day(spark, d):
     "   + CASE WHEN a.wd = b.wd THEN 0 WHEN a.wd = 4 OR b.wd = 4 THEN 1 ELSE 2 END, b.ts) <= 10)"
     " GROUP BY household_id, ts".replace(
         " f a", " (SELECT * FROM activity_lags WHERE lag72 IS NOT NULL) a"
-    ).replace(" f b", " (SELECT * FROM activity_lags WHERE lag72 IS NOT NULL) b"),
+    ).replace(" f b", " (SELECT * FROM activity_lags WHERE lag72 IS NOT NULL) b")
 )
+
+
+@query("mdl5_knn", KNN_SQL)
 def mdl5_knn(spark, d):
     rows = activity_frame(spark, d)
     out = per_entity.walk_forward(
@@ -332,6 +334,8 @@ USAGE_WEIGHTS = {
     "temp": -0.03, "dwpt": 0.02, "rhum": 0.01, "wdir": -0.001, "wspd": 0.1,
 }
 
+_KNOWN_SQL = " AND ".join(f"{c} IS NOT NULL" for c in USAGE_WEIGHTS)
+
 _FILL = (
     "first_value(w.{c} IGNORE NULLS) OVER (PARTITION BY {k} ORDER BY {o}"
     " ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS {c}"
@@ -385,6 +389,53 @@ def usage_attributions(spark, d) -> DataFrame:
     )
 
 
+def explained_models(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Written predictions of both agents with the reasons of each model, refitted every day, with the weather."""
+    activity = per_entity.walk_forward(
+        activity_frame(spark, d, weather=True), ["household_id"], "ts", [*ACTIVITY_COLUMNS, *WEATHER], "activity", explain=True
+    )
+    usage = per_entity.walk_forward(usage_frame(spark, d), USAGE_IDS[:2], "day", USAGE_COLUMNS, "usage", explain=True)
+    return stage(activity, "activity-predictions"), stage(usage, "usage-predictions")
+
+
+# The training data of a day has rows of both classes and all features.
+_EXPLAINED_SQL = (
+    "SELECT {ids}, true AS adds_up FROM (SELECT f.*, CAST(f.{at} AS DATE) AS d, l.{label} AS y FROM {source} f JOIN {truth} l USING ({ids})"
+    " WHERE {known}) JOIN (SELECT {keys}, greatest(min(d) FILTER (WHERE y = 1), min(d) FILTER (WHERE y = 0)) AS both_known FROM"
+    " (SELECT f.*, CAST(f.{at} AS DATE) AS d, l.{label} AS y FROM {source} f JOIN {truth} l USING ({ids}) WHERE {known})"
+    " GROUP BY {keys} HAVING count(DISTINCT y) = 2) USING ({keys}) WHERE d > both_known"
+)
+_WEATHER_KNOWN = " AND ".join(f"{c} IS NOT NULL" for c in WEATHER)
+
+
+def _gap(predictions: DataFrame, ids: list[str]) -> DataFrame:
+    """Whether the attributions of each scored row add up to the log odds of its probability."""
+    total = F.aggregate("phi", F.col("base"), lambda a, v: a + v)
+    odds = F.log(F.col("p") / (1 - F.col("p")))
+    known = predictions.where(F.col("p").isNotNull())
+    return known.select(*ids, (F.abs(total - odds) < 1e-6 * (1 + F.abs(odds))).alias("adds_up"))
+
+
+@query(
+    "xai4_activity_model",
+    _EXPLAINED_SQL.format(ids="household_id, ts", keys="household_id", at="ts", label="activity", truth="activity",
+                          source=ACTIVITY_FEATURES_SQL, known=_WEATHER_KNOWN),
+)
+def xai4_activity_model(spark, d):
+    """The reasons of the activity model of each day add up to its own log odds."""
+    return _gap(explained_models(spark, d)[0], ["household_id", "ts"])
+
+
+@query(
+    "xai4_usage_model",
+    _EXPLAINED_SQL.format(ids="household_id, device, day", keys="household_id, device", at="day", label="usage", truth="usage",
+                          source=USAGE_FEATURES_SQL, known=_KNOWN_SQL),
+)
+def xai4_usage_model(spark, d):
+    """The reasons of the usage model of each day add up to its own log odds."""
+    return _gap(explained_models(spark, d)[1], USAGE_IDS)
+
+
 def unscaled(attributions: DataFrame) -> DataFrame:
     return attributions.withColumn(
         "unscaled", F.when(F.col("feature").isin(*WEATHER), F.col("value"))
@@ -517,7 +568,6 @@ def xai2_shapley(spark, d):
 
 
 _LINEAR_SQL = " + ".join(f"{w} * {c}" for c, w in USAGE_WEIGHTS.items())
-_KNOWN_SQL = " AND ".join(f"{c} IS NOT NULL" for c in USAGE_WEIGHTS)
 _TRAIN_SQL = f"(SELECT * FROM {USAGE_FEATURES_SQL} WHERE {_KNOWN_SQL} AND day < DATE '2024-01-22')"
 _TEST_SQL = f"(SELECT * FROM {USAGE_FEATURES_SQL} WHERE {_KNOWN_SQL} AND day >= DATE '2024-01-22')"
 

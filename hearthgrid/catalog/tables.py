@@ -8,14 +8,16 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hearthgrid.catalog import views as V
-from hearthgrid.catalog.decisions import KEY, MSE_SQL, PAIR, Prepared, _auc_sql
+from hearthgrid.catalog.decisions import KEY, MSE_SQL, PAIR, TOLERANCES, Prepared, _auc_sql
 from hearthgrid.catalog.modelling import ACTIVITY_ATTR_SQL, USAGE_ATTR_SQL, USAGE_FEATURES_SQL
 from hearthgrid.catalog.modelling import USAGE_COLUMNS, WEATHER, XAI6_SQL, XAI7_SQL
-from hearthgrid.catalog.modelling import activity_attributions, unscaled, usage_attributions
+from hearthgrid.catalog.modelling import ACTIVITY_COLUMNS, KNN_SQL, activity_attributions, cold_starts, daily, daily_usage
+from hearthgrid.catalog.modelling import explained_models, unscaled, usage_attributions, usage_frame
 from hearthgrid.catalog.preparation import METER, hourly, load
 from hearthgrid.catalog.registry import NUDGE, query, rounded
 from hearthgrid.functions.exprs import agent_key
 from hearthgrid.functions.times import hour_start
+from hearthgrid.models import per_entity
 from hearthgrid.operators import metrics, resample
 from hearthgrid.operators.prefix import weighted_quantiles
 from hearthgrid.operators.runs import DEVICE, HOURS
@@ -373,6 +375,103 @@ def evl10_agent_scores(spark, d):
     return rounded(load_rows.unionByName(activity_rows).unionByName(usage_rows))
 
 
+def agent_scores(t: Prepared, activity, usage):
+    """Scores of all agents in long form, from predictions with ``label`` and ``p``."""
+    agent = lambda kind: F.concat(F.lit(f"{kind}_"), agent_key(F.col("device"))).alias("agent")
+    load_rows = metrics.load_mse(t.runs(), t.profiles()).select(
+        "household_id", agent("load"), F.lit("mse").alias("metric"), F.round("mse", 4).alias("value")
+    )
+    activity_rows = metrics.auc(activity, ["household_id"], "label", "p").select(
+        "household_id", F.lit("activity").alias("agent"), F.lit("auc").alias("metric"), F.col("auc").alias("value")
+    )
+    usage_rows = metrics.auc(usage, DEVICE, "label", "p").select(
+        "household_id", agent("usage"), F.lit("auc").alias("metric"), F.col("auc").alias("value")
+    )
+    return rounded(load_rows.unionByName(activity_rows).unionByName(usage_rows))
+
+
+@query("evl10_agent_scores_trained")
+def evl10_agent_scores_trained(spark, d):
+    """Scores of the agents' own models, refitted every day."""
+    return agent_scores(
+        Prepared(spark, d), stage(daily(spark, d, "logit"), "activity"), stage(daily_usage(spark, d), "usage")
+    )
+
+
+_KNN_SCORED = f"(SELECT p.household_id, a.activity AS label, p.p FROM ({KNN_SQL}) p JOIN activity a USING (household_id, ts))"
+# Days since the last use and flags of the last two days: neighbours of a day among the days before it, the earlier of equals first.
+_USAGE_ROWS = f"(SELECT f.*, u.usage FROM {USAGE_FEATURES_SQL} f JOIN usage u USING (household_id, device, day))"
+_USAGE_KNN = (
+    "(SELECT household_id, device, day, any_value(own) AS label, avg(usage) AS p FROM"
+    " (SELECT a.household_id, a.device, a.day, a.usage AS own, b.usage FROM"
+    f" {_USAGE_ROWS} a JOIN {_USAGE_ROWS} b ON a.household_id = b.household_id AND a.device = b.device AND b.day < a.day"
+    "  QUALIFY row_number() OVER (PARTITION BY a.household_id, a.device, a.day ORDER BY abs(a.usage_lag_1 - b.usage_lag_1)"
+    "   + abs(a.usage_lag_2 - b.usage_lag_2) + abs(a.active_last_2_days - b.active_last_2_days), b.day) <= 10"
+    "   AND min(b.usage) OVER (PARTITION BY a.household_id, a.device, a.day)"
+    "    < max(b.usage) OVER (PARTITION BY a.household_id, a.device, a.day)) GROUP BY ALL)"
+)
+
+
+@query(
+    "evl10_agent_scores_neighbours",
+    "SELECT household_id, 'load_' || lower(replace(device, ' ', '_')) AS agent, 'mse' AS metric, mse AS value"
+    f" FROM ({MSE_SQL}) UNION ALL"
+    f" SELECT household_id, 'activity', 'auc', auc FROM ({_auc_sql(_KNN_SCORED, 'household_id', 'label', 'round(p, 6)')})"
+    " UNION ALL SELECT household_id, 'usage_' || lower(replace(device, ' ', '_')), 'auc', auc FROM"
+    f" ({_auc_sql(_USAGE_KNN, 'household_id, device', 'label', 'round(p, 6)')})",
+)
+def evl10_agent_scores_neighbours(spark, d):
+    """Scores of nearest-neighbour agents of each household, from predictions of every day."""
+    known = lambda df: df.where(F.col("p").isNotNull()).withColumn("p", F.round("p", 6))
+    flags = ["usage_lag_1", "usage_lag_2", "active_last_2_days"]
+    usage = per_entity.walk_forward(usage_frame(spark, d), DEVICE, "day", flags, "usage", "knn", n_neighbors=10)
+    return agent_scores(
+        Prepared(spark, d), stage(known(daily(spark, d, "knn", n_neighbors=10)), "activity"), stage(known(usage), "usage")
+    )
+
+
+@query("evl9_framework_trained")
+def evl9_framework_trained(spark, d):
+    """Days until every agent's scores stay within tolerance: models of each day on the whole period, and load profiles."""
+    trained = cold_starts(spark, d)
+    named = F.when(F.col("device").isNull(), F.col("agent")).otherwise(F.concat("agent", F.lit("_"), agent_key(F.col("device"))))
+    load_scores = Prepared(spark, d).distances().select(
+        "household_id", F.concat(F.lit("load_"), agent_key(F.col("device"))).alias("agent"), "day", F.col("distance").alias("score")
+    )
+    scores = stage(trained.select("household_id", named.alias("agent"), "day", "score").unionByName(load_scores), "scores")
+    days = metrics.cold_start_days(scores, ["household_id", "agent"], TOLERANCES, F.col("agent").startswith("load_"))
+    return metrics.framework_days(days, ["household_id"])
+
+
+def model_recommendations(spark, d):
+    """Recommendations of the daily refitted models, and the written predictions that they come from."""
+    t = Prepared(spark, d)
+    activity, usage = explained_models(spark, d)
+    hours = activity.select("household_id", F.to_date("ts").alias("day"), F.hour("ts").alias("hour"), "p")
+    inputs = decide.day_inputs(t.profiles(), t.prices(), hours, usage.select(*KEY, "p"))
+    return decide.recommend(decide.with_costs(inputs), 0.25, 0.375), activity, usage
+
+
+@query("rec_model_explained")
+def rec_model_explained(spark, d):
+    """Recommendations with the reasons of the very models that made them, at the recommended hour, in words."""
+    recommended, activity, usage = model_recommendations(spark, d)
+    reasons = lambda df, ids, columns: unscaled(per_entity.own_attributions(df, ids, columns))
+    return explained.with_sentences(
+        stage(recommended, "recommended"), reasons(activity, ["household_id", "ts"], [*ACTIVITY_COLUMNS, *WEATHER]),
+        reasons(usage, KEY, USAGE_COLUMNS),
+    )
+
+
+@query("xai5_model_hour")
+def xai5_model_hour(spark, d):
+    """What each feature adds to the log odds of activity at the recommended hour, strongest first, by the recommending model."""
+    recommended, activity, _ = model_recommendations(spark, d)
+    reasons = per_entity.own_attributions(activity, ["household_id", "ts"], [*ACTIVITY_COLUMNS, *WEATHER])
+    ranked = explained.at_recommended_hour(stage(recommended, "recommended"), reasons)
+    return ranked.select(*KEY, "best_launch_hour", "feature", "value", "attribution", "rank")
+
+
 REC_EXPLAINED_SQL = (
     "SELECT r.household_id, r.device, r.day, r.best_launch_hour, r.recommendation,"
     " a.sentence AS activity_sentence, u.sentence AS usage_sentence"

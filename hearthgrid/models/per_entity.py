@@ -100,7 +100,7 @@ def rank_auc(y: np.ndarray, p: np.ndarray) -> float | None:
 
 
 def _walk(keys: list[str], order: str, columns: list[str], label: str, model_type: str,
-          leak_free: bool, params: dict, parts: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+          leak_free: bool, params: dict, parts: int, explain: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable")
         x = rows[columns].to_numpy(dtype=float)
@@ -109,6 +109,7 @@ def _walk(keys: list[str], order: str, columns: list[str], label: str, model_typ
         usable = ~np.isnan(x).any(axis=1) & ~np.isnan(y)
         p = np.full(len(rows), np.nan)
         train_auc = np.full(len(rows), np.nan)
+        phi, base = np.full(x.shape if explain else (0, 0), np.nan), np.full(len(rows), np.nan)
         reason = np.full(len(rows), None, dtype=object)
         w, nearest, own = None, None, np.ones(len(rows), bool)
         if model_type in daily.MODELS:
@@ -130,6 +131,9 @@ def _walk(keys: list[str], order: str, columns: list[str], label: str, model_typ
             if model_type == "logit":
                 w = fit_logistic(x[known], y[known], w, **params)
                 p[target] = predict_logistic(w, x[target])
+                if explain:
+                    mean = x[known].mean(axis=0)
+                    phi[target], base[target] = w[1:] * (x[target] - mean), w[0] + w[1:] @ mean
                 score = rank_auc(y[known], predict_logistic(w, x[known]))
                 train_auc[today] = np.nan if score is None else score
             else:
@@ -141,6 +145,8 @@ def _walk(keys: list[str], order: str, columns: list[str], label: str, model_typ
             reason[today & ~usable] = "missing features"
         out = rows[[*keys, order]].copy()
         out["label"], out["p"], out["train_auc"], out["reason"] = y, p, train_auc, reason
+        if explain:
+            out["base"], out["values"], out["phi"] = base, list(x), list(phi)
         return out[own]
 
     return run
@@ -154,14 +160,18 @@ def walk_forward(
     label: str,
     model_type: str = "logit",
     leak_free: bool = True,
+    explain: bool = False,
     **params,
 ) -> DataFrame:
     """Daily refits per entity: ``keys, order, label, p, train_auc, reason``.
 
     ``p`` comes from a model fitted on the rows of earlier days. Rows that could not be scored
     have a ``reason``. ``model_type`` is 'logit', 'knn' or one of ``daily.MODELS``, whose days are fitted side by side on running sums
-    of feature cells.
+    of feature cells. With ``explain`` (logit only) a row also has ``base, values, phi``: the day's log odds of the mean training row, and
+    what each of the ``columns`` adds to them.
     """
+    if explain and model_type != "logit":
+        raise ValueError("only the logistic model explains itself")
     if model_type not in ("logit", "knn", *daily.MODELS):
         raise ValueError(f"unknown model type {model_type!r}, use 'logit', 'knn' or one of {daily.MODELS}")
     fields = [features.schema[k] for k in [*keys, order]]
@@ -173,6 +183,8 @@ def walk_forward(
             T.StructField("train_auc", T.DoubleType()),
             T.StructField("reason", T.StringType()),
         ]
+        + [T.StructField("base", T.DoubleType())] * explain
+        + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("values", "phi") if explain]
     )
     day = F.unix_date(F.to_date(order)).alias("_day")
     slim = features.select(*keys, order, day, label, *columns)
@@ -184,10 +196,16 @@ def walk_forward(
         parts = min(MOST_PARTS, max(1, 2 * tasks // max(entities, 1)))
     slim = slim.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return spread_out(slim, [*keys, "_part"]).groupBy(*keys, "_part").applyInPandas(
-        _walk(keys, order, columns, label, model_type, leak_free, params, parts), schema
+        _walk(keys, order, columns, label, model_type, leak_free, params, parts, explain), schema
     ).withColumns({"p": F.nanvl("p", F.lit(None)), "train_auc": F.nanvl("train_auc", F.lit(None))})
 
 
+def own_attributions(predictions: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
+    """``ids, feature, value, attribution`` of the scored rows of an explaining :func:`walk_forward`, in log odds (XAI-4, XAI-5)."""
+    parts = F.arrays_zip(F.array(*map(F.lit, columns)).alias("feature"), F.col("values").alias("value"), F.col("phi").alias("attribution"))
+    return predictions.where(F.col("p").isNotNull()).select(*ids, F.inline(parts))
+
+
 def _prefix_scores(x: np.ndarray, y: np.ndarray, day: np.ndarray, model_type: str, params: dict) -> list[tuple[int, float | None]]:
     """AUC on all rows of the model of each day that has training rows of both classes."""
     if not len(x):
