@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthgrid.llm.common import LOWER, UPPER, map_rows
+from hearthgrid.llm.ranks import ranked
 from hearthgrid.session import stage
 
 DEPTH = 4
@@ -445,12 +446,10 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     texts = named.groupBy("key").agg(
         F.first("lang").alias("lang"), F.sort_array(F.collect_list(F.struct("at", "word"))).alias("words")
     )
-    phrases = scored.join(texts, "key").withColumn("phrase", F.concat_ws(" ", "words.word"))
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    # ranks within slices first, so that the last task of a language sees a bounded number of rows
-    sliced = phrases.withColumn("slice", F.pmod(F.xxhash64("phrase"), F.lit(32)))
-    of_slice = Window.partitionBy("lang", "slice").orderBy(*order)
-    first = sliced.withColumn("rank", F.row_number().over(of_slice)).where(F.col("rank") <= top).drop("rank", "slice")
-    ranks = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
+    phrases = scored.join(texts, "key").select(
+        "lang", F.concat_ws(" ", "words.word").alias("phrase"), "a", "l", "r", "score", (-F.col("score")).alias("_score"), (-F.col("a")).alias("_a")
+    )
+    # ranks come from a sort in ranges, so no task holds a language
+    ranks = ranked(stage(phrases, "named"), "lang", "_score", "_a", "phrase", name="best").where(F.col("rank") < top)
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    return ranks.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    return ranks.join(totals, "lang").select("lang", (F.col("rank") + 1).alias("rank"), "phrase", "a", "l", "r", "n", "score")
