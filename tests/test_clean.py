@@ -164,7 +164,7 @@ def impute_reference(rows, k):
     return out
 
 
-def test_knn_impute_matches_definition_in_one_or_many_tiles(spark):
+def test_knn_impute_matches_definition_in_one_or_many_buckets(spark):
     rng = np.random.default_rng(5)
     rows = rng.integers(0, 6, (40, 3)).astype(float)
     rows[rng.random((40, 3)) < 0.2] = np.nan
@@ -172,11 +172,40 @@ def test_knn_impute_matches_definition_in_one_or_many_tiles(spark):
     data = [(at(i), *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(rows)]
     df = spark.createDataFrame(data, "ts timestamp_ntz, a double, b double, c double")
     want = impute_reference(rows, 3)
-    for tile in (100, 9):
-        out = knn_impute(df, "ts", ["a", "b", "c"], k=3, tile=tile).orderBy("ts").collect()
+    for bucket in (100, 9, 2):
+        out = knn_impute(df, "ts", ["a", "b", "c"], k=3, bucket=bucket).orderBy("ts").collect()
         assert np.array([[r.a, r.b, r.c] for r in out]) == pytest.approx(want)
 
 
+def test_knn_impute_compares_few_pairs(spark):
+    """At ten times the rows the distances grow far less than gaps times donors."""
+    counts = {}
+    for n in (400, 4000):
+        rng = np.random.default_rng(n)
+        rows = np.column_stack([rng.uniform(0, 360, n), rng.normal(10, 8, n), rng.uniform(0, 20, n), rng.normal(0, 3, n)])
+        for j in range(1, 4):
+            rows[rng.random(n) < 0.1, j] = np.nan
+        df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(rows)], "i long, a double, b double, c double, d double")
+        counter = spark.sparkContext.accumulator(0)
+        out = knn_impute(df, "i", ["a", "b", "c", "d"], counter=counter).orderBy("i").collect()
+        gaps = np.isnan(rows).any(axis=1).sum()
+        counts[n] = counter.value / (gaps * n)
+        if n == 400:
+            assert np.array([[r.a, r.b, r.c, r.d] for r in out]) == pytest.approx(impute_reference(rows, 7))
+    print("share of all pairs compared:", counts)
+    assert counts[4000] < 0.25 and counts[4000] < counts[400] / 2
+
+
+def test_knn_impute_odd_tables(spark):
+    schema = "i long, a double, b double"
+    assert knn_impute(spark.createDataFrame([], schema), "i", ["a", "b"]).count() == 0
+    out = knn_impute(spark.createDataFrame([(1, None, None), (2, None, 3.0)], schema), "i", ["a", "b"]).orderBy("i").collect()
+    assert [(r.a, r.b) for r in out] == [(None, 3.0), (None, 3.0)]
+    equal = spark.createDataFrame([(i, 1.0, None if i % 3 == 0 else float(i)) for i in range(90)], schema)
+    got = knn_impute(equal, "i", ["a", "b"], k=2, bucket=8).where("i = 30").first()
+    assert got.b == 1.5  # at distance zero all that are kept decide: ids 1 and 2
+
+
 def test_drop_all_null_columns(spark):
     df = spark.createDataFrame([(1, None, 2.0), (2, None, None)], "a int, b double, c double")
     assert clean.drop_all_null_columns(df).columns == ["a", "c"]
