@@ -13,7 +13,7 @@ from hearthgrid.catalog.registry import query, rounded
 from hearthgrid.config import WEATHER_COLUMNS, WEEKDAY_DUMMIES
 from hearthgrid.models import attributions, cells, per_entity, pooled, search, splits
 from hearthgrid.operators import explain, metrics, sentences
-from hearthgrid.plans import decide, prepare
+from hearthgrid.plans import decide, prepare, timing
 from hearthgrid.session import stage
 
 LAGS = ["activity_lag_24", "activity_lag_48", "activity_lag_72"]
@@ -637,6 +637,36 @@ def xai1_lime_linear(spark, d):
     return rounded(out.select(*USAGE_IDS, "feature", "weight", "local_pred"), 5)
 
 
+@query(
+    "xai2_shapley_kernel_linear",
+    " UNION ALL ".join(
+        f"SELECT t.household_id, t.device, t.day, '{c}' AS feature, round(CAST({w} AS DOUBLE) * (t.{c} - m.{c}), 7)"
+        f" AS attribution FROM {_TEST_SQL} t CROSS JOIN (SELECT avg({c}) AS {c} FROM {_TRAIN_SQL}) m"
+        for c, w in USAGE_WEIGHTS.items()
+    ),
+)
+def xai2_shapley_kernel_linear(spark, d):
+    """The regression on drawn coalitions finds the closed form of a linear score, whichever coalitions are drawn."""
+    train, test = _usage_rows(spark, d)
+    groups = train.groupBy("device").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in USAGE_COLUMNS]).collect()
+    n = sum(r.n for r in groups)
+    background = [{"w": r.n / n, **{c: r[c] for c in USAGE_COLUMNS}} for r in groups]
+    phi = explain.shapley(test, USAGE_IDS, USAGE_COLUMNS, background, linear_score, "kernel", permutations=24)
+    return rounded(phi.select(*USAGE_IDS, "feature", "attribution"), 7)
+
+
+@query("xai2_shapley_activity")
+def xai2_shapley_activity(spark, d):
+    """Shapley values of the 15 columns of the pooled activity model at the evening peak of every scored day, to a stated standard error."""
+    columns = [*ACTIVITY_COLUMNS, *WEATHER]
+    train, test = (df.na.drop(subset=columns) for df in train_test(spark, d, weather=True))
+    model = pooled.fit("logit", train, columns, "activity")
+    background = explain.sample_background(train, columns, 20)
+    return explain.shapley_within(
+        test.where("hour = 18"), ["household_id", "ts"], columns, background, model.score, error=0.005
+    )
+
+
 @query("xai5_importance")
 def xai5_importance(spark, d):
     train, test, model = _usage_model(spark, d)
@@ -736,6 +766,12 @@ def xai3_boosting_adds_up(spark, d):
     return adds_up(spark, d, "xgboost", "cover", "margin")
 
 
+@query("met7_seconds_per_day")
+def met7_seconds_per_day(spark, d):
+    """Task seconds per explained day of the boosted usage model."""
+    return timing.seconds_per_day(spark, "usage", "tree paths", lambda: xai3_tree_boosting(spark, d))
+
+
 @query("xai11_additive")
 def xai11_additive(spark, d):
     train, test = train_test(spark, d, weather=True)

@@ -38,6 +38,12 @@ def hourly(spark: SparkSession, sf_dir: str, fill: str = "zero") -> DataFrame:
     return _HOURLY[key]
 
 
+def forget(spark: SparkSession) -> None:
+    """Let the next query write its hourly table anew."""
+    for key in [k for k in _HOURLY if k[0] == spark.sparkContext.applicationId]:
+        del _HOURLY[key]
+
+
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.activity_flag(
         hourly(spark, sf_dir), V.CONFIG.activity_threshold, APPLIANCES

@@ -96,6 +96,38 @@ def _sampled_coalitions(m: int, permutations: int, seed: int) -> list[dict]:
     return [{"mask": k, "coef": list(map(float, v))} for k, v in sorted(coef.items())]
 
 
+def _kernel_coalitions(m: int, pairs: int, seed: int) -> list[dict]:
+    """The same from a weighted regression on drawn coalitions.
+
+    Sizes are drawn by the Shapley kernel, each coalition together with its complement. The regression is bound to add up to the
+    difference between all features and none; its solution is linear in the scores of the coalitions, so each has one coefficient.
+    """
+    if m < 2:
+        return _exact_coalitions(m)
+    rng = np.random.default_rng(seed)
+    sizes = np.arange(1, m)
+    share = 1.0 / (sizes * (m - sizes))
+    drawn = []
+    while True:
+        for size in rng.choice(sizes, pairs, p=share / share.sum()):
+            mask = sum(1 << int(j) for j in rng.choice(m, size, replace=False))
+            drawn += [mask, (1 << m) - 1 - mask]
+        masks, counts = np.unique(drawn, return_counts=True)
+        z = (masks[:, None] >> np.arange(m) & 1).astype(float)
+        gram = (z * counts[:, None]).T @ z
+        if np.linalg.matrix_rank(gram) == m:
+            break
+    inverse = np.linalg.inv(gram)
+    ones = inverse.sum(axis=1)
+    # without the bound, then moved along the bound's direction
+    free = inverse @ (z * counts[:, None]).T
+    toll = ones / ones.sum()
+    coef = free - np.outer(toll, free.sum(axis=0))
+    none, every = -coef.sum(axis=1) - toll, toll
+    rows = [{"mask": 0, "coef": none.tolist()}, {"mask": (1 << m) - 1, "coef": every.tolist()}]
+    return rows + [{"mask": int(k), "coef": c.tolist()} for k, c in zip(masks, coef.T, strict=True)]
+
+
 def shapley(
     instances: DataFrame,
     ids: list[str],
@@ -109,15 +141,16 @@ def shapley(
     """Shapley values of the probability: ``ids, feature, value, attribution, base, prediction`` (XAI-2).
 
     ``method='exact'`` uses all ``2**m`` coalitions of the m features, ``method='permutation'`` random
-    feature orders and their reverses, ``permutations`` in all. The attributions of an
-    instance add up to prediction - base in both cases. Each instance
+    feature orders and their reverses, ``permutations`` in all, ``method='kernel'`` a weighted regression on as many pairs of drawn coalitions. The
+    attributions of an instance add up to prediction - base in all cases. Each instance
     is repeated per coalition and background row inside its task; one aggregate per
     instance sums ``coefficient * weight * p``.
     """
     m = len(columns)
-    if method not in ("exact", "permutation"):
-        raise ValueError(f"unknown method {method!r}, use 'exact' or 'permutation'")
-    coalitions = _exact_coalitions(m) if method == "exact" else _sampled_coalitions(m, permutations, seed)
+    drawn = {"permutation": _sampled_coalitions, "kernel": _kernel_coalitions}
+    if method != "exact" and method not in drawn:
+        raise ValueError(f"unknown method {method!r}, use 'exact', 'permutation' or 'kernel'")
+    coalitions = _exact_coalitions(m) if method == "exact" else drawn[method](m, permutations, seed)
     numbered = [{"w": b["w"], "v": [float(b[c]) for c in columns]} for b in background]
     value = lambda c: F.col(c).cast("double")
     mixed = (
@@ -157,6 +190,32 @@ def shapley(
     )
 
 
+def shapley_within(
+    instances: DataFrame, ids: list[str], columns: list[str], background: list[dict], scorer: Scorer, error: float, pairs: int = 64,
+    most_rounds: int = 16, seed: int = 0,
+) -> DataFrame:
+    """Shapley values by regressions on drawn coalitions, with their standard error: :func:`shapley` and ``error`` (XAI-2).
+
+    A round is a regression on ``pairs`` new pairs of coalitions and is written; values are means over the rounds. Rounds end when no standard
+    error of a mean is above ``error``, after two at least and ``most_rounds`` at most.
+    """
+    keys = [*ids, "feature"]
+    rounds: list[DataFrame] = []
+    while True:
+        rounds.append(stage(shapley(instances, ids, columns, background, scorer, "kernel", pairs, seed + len(rounds)), "round"))
+        if len(rounds) < 2:
+            continue
+        every = rounds[0]
+        for more in rounds[1:]:
+            every = every.unionByName(more)
+        out = every.groupBy(*keys).agg(
+            *[F.first(c).alias(c) for c in ("value", "base", "prediction")], F.avg("attribution").alias("attribution"),
+            (F.stddev_samp("attribution") / math.sqrt(len(rounds))).alias("error"),
+        )
+        if len(rounds) == most_rounds or (out.agg(F.max("error")).first()[0] or 0.0) <= error:
+            return out.select(*keys, "value", "attribution", "base", "prediction", "error")
+
+
 def linear_attributions(
     rows: DataFrame, ids: list[str], means_by: list[str], weights: dict[str, float]
 ) -> DataFrame:

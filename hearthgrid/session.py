@@ -55,6 +55,11 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a staged table, as the planner knows them."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def spread_out(df: DataFrame, keys: list[str]) -> DataFrame:
     """Hash rows on ``keys`` into the configured number of shuffle partitions.
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthgrid.config import WEATHER_COLUMNS
 from hearthgrid.functions.exprs import null_if_nan, within
+from hearthgrid.session import stage, staged_bytes
 
 # Column names of the price files and of the configuration files.
 PRICE_INTERVAL = "MTU (UTC)"
@@ -86,21 +89,36 @@ def device_legend(configs: DataFrame, positions: int) -> DataFrame:
 
 
 BUCKET = "_bucket"
+#: Bytes of Parquet that a file is laid out for.
+FILE_BYTES = 128 << 20
 
 
 def write_table(
-    df: DataFrame, path: str, key: str | None = None, buckets: int = 64, mode: str = "overwrite"
+    df: DataFrame, path: str, key: str | None = None, buckets: int = 64, mode: str = "overwrite", file_bytes: int = FILE_BYTES
 ) -> None:
     """Persist a prepared table, output or result as parquet (SNK-1).
 
-    With ``key``, rows go to one folder per hash bucket of the key, and each folder is written by one task: the number
-    of folders and files does not grow with the number of keys.
+    With ``key``, rows go to one folder per hash bucket of the key: the number of folders does not grow with the number of keys. The table is
+    written to the staging area first, which measures it: as many tasks write as it has ``file_bytes``, and a bucket
+    above that is split into as many files. Overwriting replaces the buckets that ``df`` has rows in and leaves the others; with an empty ``df``
+    it replaces nothing.
     """
     if key is None:
         df.write.mode(mode).parquet(path)
         return
-    numbered = df.withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    numbered.repartition(buckets, BUCKET).write.mode(mode).partitionBy(BUCKET).parquet(path)
+    numbered = stage(df.withColumn(BUCKET, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")), "table")
+    size = staged_bytes(numbered)
+    rows = {r[BUCKET]: r["n"] for r in numbered.groupBy(BUCKET).agg(F.count("*").alias("n")).collect()}
+    if not rows:
+        return
+    share = size / sum(rows.values())
+    files = {b: max(1, math.ceil(n * share / file_bytes)) for b, n in rows.items()}
+    # rows of a split bucket are dealt by all their values, so that a task that runs again deals them alike
+    parts = F.element_at(F.create_map(*[F.lit(v) for p in sorted(files.items()) for v in p]), F.col(BUCKET))
+    dealt = numbered.withColumn("_file", F.pmod(F.xxhash64(*numbered.columns), parts))
+    tasks = max(math.ceil(size / file_bytes), max(files.values()))
+    out = dealt.repartition(tasks, BUCKET, "_file").drop("_file")
+    out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

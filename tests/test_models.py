@@ -209,3 +209,34 @@ def test_shapley_of_nine_features_and_many_background_rows(spark, method):
         assert got[1, c] == pytest.approx((j + 1) * (j + 1 - sum(b[c] for b in background) / 120))
     with pytest.raises(ValueError):
         explain.shapley(one, ["i"], columns, background, score, "auto")
+
+
+def test_kernel_shapley_is_exact_for_sums_and_near_for_products(spark, instances):
+    got = phi(explain.shapley(instances, ["i"], ["a", "b", "c"], BACKGROUND, linear, "kernel", permutations=6))
+    want = phi(explain.shapley(instances, ["i"], ["a", "b", "c"], BACKGROUND, linear))
+    assert got == pytest.approx(want)
+    columns = [f"f{j}" for j in range(15)]
+    rng = np.random.default_rng(2)
+    rows = [(i, *map(float, rng.normal(size=15))) for i in range(3)]
+    df = spark.createDataFrame(rows, "i int, " + ", ".join(f"{c} double" for c in columns))
+    background = [{"w": 0.5, **{c: v for c in columns}} for v in (0.0, 0.5)]
+    score = lambda d: d.withColumn("p", F.col("f0") * F.col("f1") + F.col("f2") * F.col("f3") + sum(F.col(c) for c in columns))
+    out = explain.shapley_within(df, ["i"], columns, background, score, error=0.02, pairs=100, most_rounds=8)
+    got = {(r.i, r.feature): (r.attribution, r.error) for r in out.collect()}
+    worst = [r.base + sum(got[r.i, c][0] for c in columns) - r.prediction for r in out.select("i", "base", "prediction").distinct().collect()]
+    assert np.allclose(worst, 0, atol=1e-9)
+    # one pair of features at a time: the exact value of a product is known
+    for i, *x in rows:
+        for a, b in ((0, 1), (2, 3)):
+            for j, k in ((a, b), (b, a)):
+                exact = np.mean([(x[j] - z) * (x[k] + z) / 2 for z in (0.0, 0.5)]) + np.mean([x[j] - z for z in (0.0, 0.5)])
+                value, error = got[i, f"f{j}"]
+                assert error <= 0.02 and abs(value - exact) < 5 * 0.02
+
+
+def test_seconds_per_day(spark, separable):
+    from hearthgrid.plans.timing import seconds_per_day
+
+    rows = separable.withColumn("day", F.to_date("ts"))
+    out = seconds_per_day(spark, "activity", "none", lambda: rows.groupBy("day", "household_id").agg(F.avg("a").alias("a"))).collect()
+    assert len(out) == rows.select("day").distinct().count() and all(r.seconds > 0 for r in out)

@@ -138,3 +138,25 @@ def test_a_slot_without_a_label_keeps_its_name(spark):
     labels = spark.createDataFrame([(1, 1, "Kettle")], "household_id int, slot int, appliance string")
     got = meter.label_slots(long.withColumn("ts", F.lit(None).cast("timestamp_ntz")), labels).collect()
     assert sorted((r.household_id, r.appliance, r.watts) for r in got) == [(1, "Aggregate", 1.0), (1, "Kettle", 2.0), (2, "Appliance1", 3.0)]
+
+
+def test_tables_are_written_by_size_and_bucket(spark, tmp_path):
+    import glob
+
+    path = str(tmp_path / "t")
+    files = lambda: glob.glob(f"{path}/_bucket=*/*.parquet")
+    rows = spark.range(20_000).select((F.col("id") % 5).cast("int").alias("household_id"), "id", F.rand(1).alias("x"))
+    tables.write_table(rows, path, "household_id", buckets=4)
+    folders = {f.split("/")[-2] for f in files()}
+    assert len(files()) == len(folders) <= 4
+    tables.write_table(rows, path, "household_id", buckets=4, file_bytes=20_000)
+    assert len(files()) > 8 and tables.read_table(spark, path).count() == 20_000
+    # a second write of one household's bucket leaves the others
+    other = rows.where("household_id = 3").withColumn("x", F.lit(-1.0))
+    tables.write_table(other, path, "household_id", buckets=4)
+    got = tables.read_table(spark, path)
+    own = {r.b for r in rows.select("household_id", F.pmod(F.xxhash64("household_id"), F.lit(4)).alias("b")).where("household_id = 3").distinct().collect()}
+    left = rows.where(~F.pmod(F.xxhash64("household_id"), F.lit(4)).isin(*own)).count()
+    assert got.where("x = -1").count() == 4000 and got.where("x >= 0").count() == left
+    tables.write_table(rows.limit(0), path, "household_id", buckets=4)
+    assert tables.read_table(spark, path).count() == 4000 + left
