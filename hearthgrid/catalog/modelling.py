@@ -112,6 +112,20 @@ def spl2_split_with_test_day(spark, d):
     )
 
 
+_FILL = (
+    "first_value(w.{c} IGNORE NULLS) OVER (PARTITION BY {k} ORDER BY {o}"
+    " ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS {c}"
+)
+ACTIVITY_FEATURES_SQL = (
+    "(SELECT l.household_id, l.ts, l.hour, lag24 AS activity_lag_24, lag48 AS activity_lag_48,"
+    " lag72 AS activity_lag_72, "
+    + ", ".join(f"CAST(dayname(l.ts) = '{w}' AS INT) AS day_name_{w}" for w in WEEKDAY_DUMMIES)
+    + ", " + ", ".join(_FILL.format(c=c, k="l.household_id", o="l.ts") for c in WEATHER)
+    + " FROM activity_lags l LEFT JOIN weather w ON l.ts = w.ts QUALIFY lag72 IS NOT NULL)"
+)
+_WEATHER_KNOWN = " AND ".join(f"{c} IS NOT NULL" for c in WEATHER)
+
+
 # --- models --------------------------------------------------------------------------
 
 
@@ -139,6 +153,25 @@ def mdl5_knn(spark, d):
     return rounded(known.select("household_id", "ts", "p"))
 
 
+_NEAR_ROWS = f"(SELECT f.*, l.wd, l.activity FROM {ACTIVITY_FEATURES_SQL} f JOIN activity_lags l USING (household_id, ts) WHERE {_WEATHER_KNOWN})"
+
+
+@query(
+    "mdl5_knn_weather",
+    "SELECT household_id, ts, round(avg(label), 6) AS p FROM"
+    " (SELECT a.household_id, a.ts, b.activity AS label FROM"
+    f" {_NEAR_ROWS} a JOIN {_NEAR_ROWS} b ON a.household_id = b.household_id AND CAST(b.ts AS DATE) < CAST(a.ts AS DATE)"
+    "  QUALIFY row_number() OVER (PARTITION BY a.household_id, a.ts ORDER BY "
+    + " + ".join(f"power(a.{c} - b.{c}, 2)" for c in ["hour", *LAGS, *WEATHER])
+    + "   + CASE WHEN a.wd = b.wd THEN 0 WHEN a.wd = 4 OR b.wd = 4 THEN 1 ELSE 2 END, b.ts) <= 10)"
+    " GROUP BY household_id, ts",
+)
+def mdl5_knn_weather(spark, d):
+    """Nearest neighbours on real-valued features, by an index that takes the rows of each day."""
+    out = daily(spark, d, "knn", weather=True, n_neighbors=10)
+    return rounded(out.where(F.col("p").isNotNull()).select("household_id", "ts", "p"))
+
+
 @query("mdl1_logit")
 def mdl1_logit(spark, d):
     return scored(spark, d, "logit")
@@ -335,18 +368,6 @@ USAGE_WEIGHTS = {
 }
 
 _KNOWN_SQL = " AND ".join(f"{c} IS NOT NULL" for c in USAGE_WEIGHTS)
-
-_FILL = (
-    "first_value(w.{c} IGNORE NULLS) OVER (PARTITION BY {k} ORDER BY {o}"
-    " ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS {c}"
-)
-ACTIVITY_FEATURES_SQL = (
-    "(SELECT l.household_id, l.ts, l.hour, lag24 AS activity_lag_24, lag48 AS activity_lag_48,"
-    " lag72 AS activity_lag_72, "
-    + ", ".join(f"CAST(dayname(l.ts) = '{w}' AS INT) AS day_name_{w}" for w in WEEKDAY_DUMMIES)
-    + ", " + ", ".join(_FILL.format(c=c, k="l.household_id", o="l.ts") for c in WEATHER)
-    + " FROM activity_lags l LEFT JOIN weather w ON l.ts = w.ts QUALIFY lag72 IS NOT NULL)"
-)
 USAGE_FEATURES_SQL = (
     "(SELECT u.household_id, u.device, u.day, lag(usage, 1) OVER w1 AS usage_lag_1,"
     " lag(usage, 2) OVER w1 AS usage_lag_2,"
@@ -405,7 +426,6 @@ _EXPLAINED_SQL = (
     " (SELECT f.*, CAST(f.{at} AS DATE) AS d, l.{label} AS y FROM {source} f JOIN {truth} l USING ({ids}) WHERE {known})"
     " GROUP BY {keys} HAVING count(DISTINCT y) = 2) USING ({keys}) WHERE d > both_known"
 )
-_WEATHER_KNOWN = " AND ".join(f"{c} IS NOT NULL" for c in WEATHER)
 
 
 def _gap(predictions: DataFrame, ids: list[str]) -> DataFrame:

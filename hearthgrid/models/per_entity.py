@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearthgrid.models import daily
+from hearthgrid.models.neighbours import GrowingIndex
 from hearthgrid.session import spread_out
 
 
+#: Where the different feature cells exceed this share of the rows, neighbours are searched by an index instead of among the cells.
+CELL_SHARE = 0.9
 #: Parts that the days of one entity are dealt to at most.
 MOST_PARTS = 8
 
@@ -111,6 +114,11 @@ def _walk(keys: list[str], order: str, columns: list[str], label: str, model_typ
         train_auc = np.full(len(rows), np.nan)
         phi, base = np.full(x.shape if explain else (0, 0), np.nan), np.full(len(rows), np.nan)
         reason = np.full(len(rows), None, dtype=object)
+        index, held = None, 0
+        if model_type == "knn" and usable.any() and len(np.unique(x[usable], axis=0)) > CELL_SHARE * usable.sum():
+            # few rows share a cell: an index takes the rows of each day as it passes
+            index = GrowingIndex(int(np.argmax(x[usable].std(axis=0))))
+            places = np.flatnonzero(usable)
         w, nearest, own = None, None, np.ones(len(rows), bool)
         if model_type in daily.MODELS:
             part = int(rows["_part"].iloc[0])
@@ -136,6 +144,11 @@ def _walk(keys: list[str], order: str, columns: list[str], label: str, model_typ
                     phi[target], base[target] = w[1:] * (x[target] - mean), w[0] + w[1:] @ mean
                 score = rank_auc(y[known], predict_logistic(w, x[known]))
                 train_auc[today] = np.nan if score is None else score
+            elif index is not None:
+                upto = int(np.searchsorted(places, np.flatnonzero(known)[-1], "right"))
+                index.add(x[places[held:upto]], y[places[held:upto]])
+                held = upto
+                p[target] = [index.share(row, params.get("n_neighbors", 10)) for row in x[target]]
             else:
                 if nearest is None:
                     places = np.flatnonzero(usable)

@@ -240,3 +240,23 @@ def test_seconds_per_day(spark, separable):
     rows = separable.withColumn("day", F.to_date("ts"))
     out = seconds_per_day(spark, "activity", "none", lambda: rows.groupBy("day", "household_id").agg(F.avg("a").alias("a"))).collect()
     assert len(out) == rows.select("day").distinct().count() and all(r.seconds > 0 for r in out)
+
+
+def test_growing_index_equals_all_distances_with_less_work():
+    from hearthgrid.models.neighbours import GrowingIndex
+
+    work = {}
+    for days in (20, 160):
+        rng = np.random.default_rng(days)
+        x = np.column_stack([rng.uniform(0, 360, 24 * days), rng.normal(size=24 * days), rng.integers(0, 3, 24 * days)])
+        x[5::24] = x[4::24]  # equal rows: the earlier one counts
+        y = (rng.random(24 * days) < 0.4).astype(float)
+        index = GrowingIndex(0)
+        for d in range(1, days):
+            index.add(x[24 * (d - 1) : 24 * d], y[24 * (d - 1) : 24 * d])
+            for i in range(24 * d, 24 * d + 24, 7):
+                order = np.lexsort((np.arange(24 * d), ((x[: 24 * d] - x[i]) ** 2).sum(axis=1)))[:5]
+                assert index.share(x[i], 5) == pytest.approx(y[order].mean())
+        work[days] = index.compared / days
+    # a day of eight times as many days costs far less than eight times as much
+    assert work[160] < 3 * work[20]
