@@ -786,8 +786,8 @@ def xai3_boosting_adds_up(spark, d):
     return adds_up(spark, d, "xgboost", "cover", "margin")
 
 
-@query("met7_seconds_per_day")
-def met7_seconds_per_day(spark, d):
+@query("xai_met7_seconds_per_day")
+def xai_met7_seconds_per_day(spark, d):
     """Task seconds per explained day of the boosted usage model."""
     return timing.seconds_per_day(spark, "usage", "tree paths", lambda: xai3_tree_boosting(spark, d))
 

@@ -390,8 +390,8 @@ def agent_scores(t: Prepared, activity, usage):
     return rounded(load_rows.unionByName(activity_rows).unionByName(usage_rows))
 
 
-@query("evl10_agent_scores_trained")
-def evl10_agent_scores_trained(spark, d):
+@query("mdl10_agent_scores")
+def mdl10_agent_scores(spark, d):
     """Scores of the agents' own models, refitted every day."""
     return agent_scores(
         Prepared(spark, d), stage(daily(spark, d, "logit"), "activity"), stage(daily_usage(spark, d), "usage")
@@ -430,8 +430,8 @@ def evl10_agent_scores_neighbours(spark, d):
     )
 
 
-@query("evl9_framework_trained")
-def evl9_framework_trained(spark, d):
+@query("mdl11_framework_days")
+def mdl11_framework_days(spark, d):
     """Days until every agent's scores stay within tolerance: models of each day on the whole period, and load profiles."""
     trained = cold_starts(spark, d)
     named = F.when(F.col("device").isNull(), F.col("agent")).otherwise(F.concat("agent", F.lit("_"), agent_key(F.col("device"))))
@@ -452,8 +452,8 @@ def model_recommendations(spark, d):
     return decide.recommend(decide.with_costs(inputs), 0.25, 0.375), activity, usage
 
 
-@query("rec_model_explained")
-def rec_model_explained(spark, d):
+@query("rec2_model_explained")
+def rec2_model_explained(spark, d):
     """Recommendations with the reasons of the very models that made them, at the recommended hour, in words."""
     recommended, activity, usage = model_recommendations(spark, d)
     reasons = lambda df, ids, columns: unscaled(per_entity.own_attributions(df, ids, columns))
