@@ -217,6 +217,7 @@ def rec3_errors(spark, d):
     return decide.input_errors(Prepared(spark, d).inputs())
 
 
+# The message must equal the expected text.
 @query(
     "rec4_message",
     "SELECT r.household_id, r.device, r.day, r.recommendation,"

@@ -711,6 +711,19 @@ def xai1_lime(spark, d):
     )
 
 
+@query("xai8_surrogate_scores")
+def xai8_surrogate_scores(spark, d):
+    """Scores of the local surrogates' predictions against the truth and against the usage model itself, per household."""
+    train, test, model = _usage_model(spark, d)
+    scales = explain.feature_scales(train, USAGE_COLUMNS)
+    surrogates = stage(explain.lime(test, USAGE_IDS, USAGE_COLUMNS, scales, model.score), "surrogates")
+    # one row for each explained day and device
+    local = surrogates.where(F.col("feature") == USAGE_COLUMNS[0]).select(*USAGE_IDS, F.col("local_pred").alias("surrogate"))
+    own = model.score(test).select(*USAGE_IDS, F.col("usage").alias("label"), F.col("p").alias("model"))
+    rows = stage(own.join(local, USAGE_IDS), "surrogate-rows")
+    return metrics.explanation_scores(rows, ["household_id"], "label", "model", "surrogate")
+
+
 @query("xai12_lime_weights")
 def xai12_lime_weights(spark, d):
     return explain.ranked_weights(xai1_lime(spark, d), USAGE_IDS)

@@ -88,6 +88,21 @@ def snk2_weather_tables(spark, d):
     return rounded(read("hour").unionByName(read("day")), 8)
 
 
+@query(
+    "snk2_house_means",
+    "SELECT 'hour' AS grain, household_id, appliance, ts, round(watts, 6) AS watts FROM hourly UNION ALL"
+    f" SELECT 'day', household_id, appliance, date_trunc('day', ts), round(avg(watts) + {NUDGE}, 6) FROM hourly GROUP BY ALL",
+)
+def snk2_house_means(spark, d):
+    """Unscaled means of every appliance by hour and day, written and read again."""
+    path = _new_path(spark, "house")
+    tables.write_house_means(hourly(spark, d), path)
+    read = lambda grain, nudge: rounded(
+        tables.read_unscaled(spark, path, grain).select(F.lit(grain).alias("grain"), *METER, "ts", "watts"), nudge=nudge
+    )
+    return read("hour", 0.0).unionByName(read("day", NUDGE))
+
+
 @query(
     "snk3_append_scores",
     f"SELECT 'length' AS model, 'all' AS params, 'auc' AS metric, auc AS value FROM ({_auc_sql('scores', '', 'label', 'score')})"
@@ -456,10 +471,17 @@ def model_recommendations(spark, d):
 def rec2_model_explained(spark, d):
     """Recommendations with the reasons of the very models that made them, at the recommended hour, in words."""
     recommended, activity, usage = model_recommendations(spark, d)
-    reasons = lambda df, ids, columns: unscaled(per_entity.own_attributions(df, ids, columns))
+    path = _new_path(spark, "weather")
+    tables.write_unscaled_weather(V.weather(spark, d), path)
+
+    def reasons(df, ids, columns, unit, ts):
+        own = per_entity.own_attributions(df, ids, columns)
+        return explained.with_unscaled(own, tables.read_unscaled(spark, path, unit), ts)
+
     return explained.with_sentences(
-        stage(recommended, "recommended"), reasons(activity, ["household_id", "ts"], [*ACTIVITY_COLUMNS, *WEATHER]),
-        reasons(usage, KEY, USAGE_COLUMNS),
+        stage(recommended, "recommended"),
+        reasons(activity, ["household_id", "ts"], [*ACTIVITY_COLUMNS, *WEATHER], "hour", F.col("ts")),
+        reasons(usage, KEY, USAGE_COLUMNS, "day", F.col("day").cast("timestamp_ntz")),
     )
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthgrid.config import WEATHER_COLUMNS
 from hearthgrid.operators import explain, sentences
 from hearthgrid.plans.decide import KEY
+from hearthgrid.session import stage
 
 
 def _moments(recommended: DataFrame) -> DataFrame:
@@ -21,6 +23,18 @@ def at_recommended_hour(recommended: DataFrame, attributions: DataFrame) -> Data
     return explain.importance(hours.join(attributions, ["household_id", "ts"]), KEY)
 
 
+def with_unscaled(attributions: DataFrame, weather: DataFrame, ts: Column) -> DataFrame:
+    """Attributions with ``unscaled``: the stored reading behind a weather feature at the time ``ts``, or the model's own value without one.
+
+    ``weather`` has one row for each hour or day.
+    """
+    columns = [c for c in weather.columns if c in WEATHER_COLUMNS]
+    long = weather.unpivot(["ts"], columns, "feature", "_stored").withColumnRenamed("ts", "_at")
+    joined = attributions.withColumn("_at", ts).join(stage(long, "unscaled"), ["_at", "feature"], "left").drop("_at")
+    own = F.when(F.col("feature").isin(*columns), F.col("value"))
+    return joined.withColumn("unscaled", F.coalesce("_stored", own)).drop("_stored")
+
+
 def with_sentences(recommended: DataFrame, activity: DataFrame, usage: DataFrame) -> DataFrame:
     """Recommendations with a sentence on the activity at their hour and one on the use of the device.
 

@@ -137,6 +137,22 @@ def write_unscaled_weather(readings_weather: DataFrame, path: str) -> None:
         )
 
 
+def write_house_means(readings: DataFrame, path: str) -> None:
+    """Hourly and daily means of every appliance's unscaled readings (``household_id, appliance, ts, watts``), for explanations (SNK-2)."""
+    from hearthgrid.operators.resample import resample_mean
+
+    for unit in ("hour", "day"):
+        means = resample_mean(readings, ["household_id", "appliance"], ["watts"], unit)
+        write_table(means, f"{path.rstrip('/')}/{unit}", "household_id")
+
+
+def read_unscaled(spark: SparkSession, path: str, unit: str) -> DataFrame:
+    """Means that :func:`write_unscaled_weather` or :func:`write_house_means` wrote, by ``hour`` or ``day``."""
+    if unit not in ("hour", "day"):
+        raise ValueError(f"unknown unit {unit!r}, use 'hour' or 'day'")
+    return read_table(spark, f"{path.rstrip('/')}/{unit}")
+
+
 SCORE_COLUMNS = ["model", "params", "metric", "value"]
 
 
