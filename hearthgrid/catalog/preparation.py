@@ -18,7 +18,7 @@ from hearthgrid.operators.prices import hourly_mean_price, replicate_years
 from hearthgrid.operators.runs import drop_partial_first_day
 from hearthgrid.plans import prepare
 from hearthgrid.plans.dates import date_bounds, from_date, min_start, timespan
-from hearthgrid.session import stage, staging_dir
+from hearthgrid.session import stage, stage_by, staging_dir
 from hearthgrid.sources import meter, tables
 
 METER = ["household_id", "appliance"]
@@ -34,7 +34,8 @@ def hourly(spark: SparkSession, sf_dir: str, fill: str = "zero") -> DataFrame:
     """Hourly readings, written once in an application and read by all queries on the directory."""
     key = (spark.sparkContext.applicationId, sf_dir, fill)
     if key not in _HOURLY:
-        _HOURLY[key] = stage(prepare.hourly_readings(V.readings(spark, sf_dir), fill=fill), "hourly")
+        # a household has a bounded number of hours
+        _HOURLY[key] = stage_by(prepare.hourly_readings(V.readings(spark, sf_dir), fill=fill), "household_id", "hourly")
     return _HOURLY[key]
 
 

@@ -15,6 +15,8 @@ def build_session(app: str = "hearthgrid", master: str | None = None, **conf: st
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # joins on a household and more need no exchange where both sides lie by household
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         # many queries share the preparation stages: keep their compiled code
         .config("spark.sql.codegen.cache.maxEntries", "2000")
         # plans of several hundred columns: no call-site capture per column
@@ -55,6 +57,20 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_by(df: DataFrame, key: str, name: str) -> DataFrame:
+    """Write ``df`` to the staging area in hash buckets of ``key``, sorted by it, and read it back.
+
+    Groups, windows and joins whose keys hold ``key`` then need no exchange (joins: with the settings of :func:`build_session`). For keys that
+    have a bounded number of rows each, as a bucket is one task.
+    """
+    spark = df.sparkSession
+    number = uuid.uuid4().hex
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+    writer.option("path", f"{staging_dir(spark).rstrip('/')}/{name}-{number}").format("parquet").saveAsTable(f"{name}_{number}")
+    return spark.table(f"{name}_{number}")
+
+
 def staged_bytes(df: DataFrame) -> int:
     """Bytes of the files of a staged table, as the planner knows them."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -1,3 +1,4 @@
+import re
 from datetime import date
 
 import pytest
@@ -168,3 +169,21 @@ def test_replicated_years_skip_leap_day(spark):
     years = {r.y: r["count"] for r in out.groupBy(F.year("ts").alias("y")).count().collect()}
     assert years == {2022: 365, 2023: 365, 2024: 366}
     assert out.where(F.hour("ts") != 5).count() == 0
+
+
+def test_threshold_grid_joins_without_exchange(spark):
+    """Branches of the hourly table lie by household: without any broadcast, rows move for the prices of a day and the final sum only."""
+    from hearthgrid.catalog.decisions import Prepared
+
+    def shuffles():
+        plan = Prepared(spark, "/root/testdata/sf0.001").grid()._jdf.queryExecution().executedPlan().toString()
+        return re.findall(r"Exchange (?:hash|range)partitioning\((.*?), 4\)", plan)
+
+    assert len(shuffles()) <= 3
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        keys = [re.sub(r"#\d+L?", "", k) for k in shuffles()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [k for k in keys if k != "day"] == ["household_id, activity_threshold"]
