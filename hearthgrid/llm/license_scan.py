@@ -2,7 +2,7 @@
 
 Templates are put in classes by their number of 5-word shingles. For each class a text is covered by overlapping windows, so
 laid that any place of a template of the class lies whole in one of them, also with foreign words inside: up to ``INSERTED``
-and a quarter of the class's largest size. From a window's size follows the least Jaccard
+and a quarter of the class's largest size, where a match can lose the shingles around them. From a window's size follows the least Jaccard
 similarity that a match can have, and from that the number of MinHash bands (of one row) that
 miss it with a probability of at most ``MISS``. Windows that share a band with a template are
 verified against its shingles themselves.
@@ -140,12 +140,17 @@ class Templates:
         for i, n in enumerate(places):
             by_class.setdefault(1 << (n - 1).bit_length(), []).append(i)
         plans = []
+        # a run of foreign words inside a match breaks SHINGLE - 1 shingles at least: small templates can't lose so many
+        room = {}
+        for most, members in by_class.items():
+            lost = max(len(self.shingles[i]) - math.ceil(containment * len(self.shingles[i]) - 1e-9) for i in members)
+            room[most] = INSERTED + most // 4 if lost >= SHINGLE - 1 else 0
         #: Places that a match of each template may take.
-        self.longest = [(most := 1 << (n - 1).bit_length()) + INSERTED + most // 4 for n in places]
+        self.longest = [(most := 1 << (n - 1).bit_length()) + room[most] for n in places]
         for most, members in sorted(by_class.items()):
             step = max(1, most // 2)
             # the whole match lies in one window wherever it starts
-            blocks = -(-(most + INSERTED + most // 4 + step - 1) // step)
+            blocks = -(-(most + room[most] + step - 1) // step)
             least = 1.0
             for i in members:
                 shared = math.ceil(containment * len(self.shingles[i]) - 1e-9)
