@@ -18,7 +18,7 @@ from hearthgrid.operators.prices import hourly_mean_price, replicate_years
 from hearthgrid.operators.runs import drop_partial_first_day
 from hearthgrid.plans import prepare
 from hearthgrid.plans.dates import date_bounds, from_date, min_start, timespan
-from hearthgrid.session import stage, stage_by, staging_dir
+from hearthgrid.session import stage, stage_by, staged_bytes, staging_dir
 from hearthgrid.sources import meter, tables
 
 METER = ["household_id", "appliance"]
@@ -35,7 +35,9 @@ def hourly(spark: SparkSession, sf_dir: str, fill: str = "zero") -> DataFrame:
     key = (spark.sparkContext.applicationId, sf_dir, fill)
     if key not in _HOURLY:
         # a household has a bounded number of hours
-        _HOURLY[key] = stage_by(prepare.hourly_readings(V.readings(spark, sf_dir), fill=fill), "household_id", "hourly")
+        readings = V.readings(spark, sf_dir)
+        size = staged_bytes(V.table(spark, sf_dir, "events"))
+        _HOURLY[key] = stage_by(prepare.hourly_readings(readings, fill=fill), "household_id", "hourly", size)
     return _HOURLY[key]
 
 

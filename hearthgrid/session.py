@@ -57,15 +57,21 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stage_by(df: DataFrame, key: str, name: str) -> DataFrame:
+#: Bytes that a bucket is laid out for.
+BUCKET_BYTES = 64 << 20
+
+
+def stage_by(df: DataFrame, key: str, name: str, size: int) -> DataFrame:
     """Write ``df`` to the staging area in hash buckets of ``key``, sorted by it, and read it back.
 
     Groups, windows and joins whose keys hold ``key`` then need no exchange (joins: with the settings of :func:`build_session`). For keys that
-    have a bounded number of rows each, as a bucket is one task.
+    have a bounded number of rows each, as a bucket is one task. ``size``, the bytes that ``df`` is made from, gives the number of buckets: at least
+    one for each core and at most the configured number of shuffle partitions.
     """
     spark = df.sparkSession
     number = uuid.uuid4().hex
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
+    buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted)
     writer = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
     writer.option("path", f"{staging_dir(spark).rstrip('/')}/{name}-{number}").format("parquet").saveAsTable(f"{name}_{number}")
     return spark.table(f"{name}_{number}")
