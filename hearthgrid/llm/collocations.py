@@ -33,9 +33,9 @@ TOP = 2000
 INSIDE = 80
 NO_LANG = "und"
 #: Words that a task holds before it passes on their counts or suffixes.
-HELD = 1_000_000
+HELD = 500_000
 #: Word positions that a shard is laid out for, and suffixes above which a shard is routed again.
-SHARD, LARGE = 1_000_000, 1_000_000
+SHARD, LARGE = 750_000, 750_000
 #: So many of the most frequent words have a number that tasks know, which is shorter than a hash.
 NUMBERED = 1 << 20
 #: Frequent words are marked in a bit map of this fixed size.
