@@ -23,7 +23,7 @@ from hearthgrid.llm.trees import BINS, FlatTrees
 DIGITS = 3
 L2, LEAST = 1e-6, 2.0
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
-COUNTS = pa.schema([("tree", pa.int32()), ("cell", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
+COUNTS = pa.schema([("tree", pa.int32()), ("cell", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
 SPLITS = pa.schema(
     [("tree", pa.int32()), ("node", pa.int32()), ("feature", pa.int32()),
      ("threshold", pa.float64()), ("low", pa.float64()), ("high", pa.float64())]
@@ -73,7 +73,7 @@ def counter(model: FlatTrees, level: int, cuts: list[np.ndarray], columns: np.nd
     trees, width, first, nodes = len(model.feature), len(cuts), 2**level - 1, 2**level
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((trees, 2 * nodes * width * bins), np.int64)
+        total = np.zeros((trees, 2 * nodes * width * bins), np.int32)
         for batch in batches:
             x, y, key = matrix(batch), batch.column("label").to_numpy(), batch.column("key").to_numpy()
             cell = np.column_stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(cuts)])
@@ -85,7 +85,7 @@ def counter(model: FlatTrees, level: int, cuts: list[np.ndarray], columns: np.nd
                     node = 2 * node + 1 + (x[row, model.feature[t, node]] > model.threshold[t, node])
                 at = ((y * nodes + node - first) * (width * bins))[:, None] + cell
                 times = np.where(columns[t, node], draws(key, t)[:, None], 0)
-                total[t] += np.bincount(at.ravel(), times.ravel(), total.shape[1]).astype(np.int64)
+                total[t] += np.bincount(at.ravel(), times.ravel(), total.shape[1]).astype(np.int32)
         for t in range(trees):
             at = np.flatnonzero(total[t])
             if len(at):

@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -27,6 +27,8 @@ from hearthgrid.session import attach, spread_out, stage
 
 #: A word of the dictionary stands in so many different texts and in this share of them; the most frequent ones are taken.
 WORD_DOCS, WORD_SHARE, MAX_WORDS = 5, 0.0005, 20_000
+#: Words that a task counts before it hands their counts on.
+HELD_WORDS = 100_000
 #: Examples made of each labelled form.
 PER_FORM = 40
 TREES, DEPTH, SHARE = 40, 7, 0.4
@@ -48,6 +50,7 @@ CANDIDATE = re.compile(
     r"(?P<spoken>[A-Za-z0-9_+/.\-]{8,}+(?:={1,2}(?![A-Za-z0-9_+/.\-\"']))?+)(?!\s*[:=])"
     rf"|(?<![A-Za-z0-9_+/.\-])(?=[A-Za-z_+/.\-]*\d|{_PROVIDER})[A-Za-z0-9_+/.\-]{{12,}}={{0,2}}"
 )
+_LETTERS = re.compile("[a-z]{4,20}")
 _SECRET_WORD = re.compile(rf"(?i){_KEYWORD}|private|credentials")
 _HASH_WORD = re.compile(r"(?i)\b(?:commit|sha\d*|md5|checksum|digest|hash|revision|build|etag|uuid|guid|id|order|invoice|phone|card|isbn|version)\b")
 _PLACEHOLDER = re.compile(r"(?i)example|sample|dummy|your|change|xxx|placeholder|test|foo|bar|1234|abcd|redacted|\*\*\*")
@@ -290,11 +293,24 @@ def corpus_words(docs: DataFrame) -> list[str]:
     copies = stage(texts.groupBy(keys).agg(F.count("*").alias("n")).where("n > 1"), "copies")
     repeats = copies.agg(F.sum(F.col("n") - 1)).first()[0] or 0
     least = max(WORD_DOCS, WORD_SHARE * (texts.count() - repeats))
-    words = F.array_distinct(F.expr("regexp_extract_all(lower(text), '[a-z]{4,20}', 0)")).alias("words")
-    weighed = attach(texts.select(words, *keys), copies, keys, "left")
-    each = weighed.select(F.explode("words").alias("word"), (1 / F.coalesce("n", F.lit(1))).alias("part"))
+    weighed = attach(texts, copies, keys, "left").select("text", F.coalesce("n", F.lit(1)).alias("n"))
+
+    def count(batches):
+        parts = defaultdict(float)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                for text, n in zip(part["text"].to_pylist(), part["n"].to_pylist(), strict=True):
+                    for word in set(_LETTERS.findall(text.lower())):
+                        parts[word] += 1 / n
+                if len(parts) >= HELD_WORDS:
+                    yield pa.RecordBatch.from_arrays([pa.array([*parts]), pa.array([*parts.values()])], ["word", "part"])
+                    parts.clear()
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([*parts]), pa.array([*parts.values()])], ["word", "part"])
+
     # parts of a text add up to 1 but for rounding
-    counts = each.groupBy("word").agg(F.round(F.sum("part")).alias("n"))
+    counts = weighed.mapInArrow(count, "word string, part double").groupBy("word").agg(F.round(F.sum("part")).alias("n"))
     return [r.word for r in counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()]
 
 
