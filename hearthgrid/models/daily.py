@@ -60,13 +60,13 @@ def probabilities(model_type: str, codes: np.ndarray, sizes: np.ndarray, n: np.n
         for _, margin in T.ada(codes, sizes, n, ones, rounds, **params):
             pass
         return T.logistic(2 * margin / rounds)
+    if model_type == "ebm":
+        fitted = additive.fit_side_by_side(codes, sizes, n, ones, **params)
+        return np.stack([T.logistic(shapes.margins(codes)) for shapes in fitted])
     out = np.empty(n.shape)
     for k in range(len(n)):
-        if model_type == "random forest":
-            trees, node = T.forest(codes, sizes, n[k], ones[k], **params)
-            out[k] = trees.value[node].mean(axis=0)
-        else:
-            out[k] = T.logistic(additive.fit_cells(codes, sizes, n[k], ones[k], **params).margins(codes))
+        trees, node = T.forest(codes, sizes, n[k], ones[k], **params)
+        out[k] = trees.value[node].mean(axis=0)
     return out
 
 

@@ -297,3 +297,38 @@ def test_additive_over_tasks_equals_one_task(frame, monkeypatch):
     codes = one.bins.codes(x)
     assert one.names() == spread.names()
     assert one.shapes.margins(codes) == pytest.approx(spread.shapes.margins(codes), abs=1e-9)
+
+
+def test_additive_models_side_by_side_equal_single_ones(monkeypatch):
+    x, y = sample(300, 5)
+    bins, codes, of, *_ = counted(x, y)
+    day = np.arange(300) // 30
+    n, ones = (np.array([np.bincount(of[day < d], w[day < d], len(codes)) for d in (2, 4, 9)]) for w in (np.ones(300), y))
+    calls = []
+    boost = additive.boost
+    monkeypatch.setattr(additive, "boost", lambda *a: calls.append(1) or boost(*a))
+    got = daily.probabilities("ebm", codes, bins.sizes, n, ones, rounds=4, interactions=2)
+    assert len(calls) == 1  # no model takes steps of its own
+    for k in range(3):
+        one = additive.fit_cells(codes, bins.sizes, n[k], ones[k], 4, 2)
+        assert np.array_equal(got[k], T.logistic(one.margins(codes)))
+
+
+def test_line_steps_equal_a_search_of_both_levels():
+    rng = np.random.default_rng(2)
+    g, h = rng.normal(size=(40, 9)).round(1), rng.integers(0, 3, (40, 9)) / 2
+    g[h == 0] = 0
+    g[:4, 1:], h[:4, 1:] = 0, 0
+
+    def tree(g, h, depth):
+        value = np.full(len(g), -g.sum() / (h.sum() + 1))
+        q = lambda a, b: a.sum() ** 2 / (b.sum() + 1)
+        gains = [q(g[:k], h[:k]) + q(g[k:], h[k:]) if min(h[:k].sum(), h[k:].sum()) >= 1 else 0 for k in range(1, len(g))]
+        if not depth or not gains or max(gains) - q(g, h) <= 1e-9:
+            return value
+        k = int(np.argmax(np.round(gains, 12))) + 1
+        return np.concatenate([tree(g[:k], h[:k], depth - 1), tree(g[k:], h[k:], depth - 1)])
+
+    for width in (1, 2, 9):
+        want = [tree(a, b, 2) for a, b in zip(g[:, :width], h[:, :width])]
+        assert additive.line_steps(g[:, :width], h[:, :width]) == pytest.approx(np.array(want))
