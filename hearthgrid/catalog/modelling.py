@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -584,7 +585,7 @@ def xai2_shapley(spark, d):
     """Exact Shapley values of the usage model for every test day."""
     train, test, model = _usage_model(spark, d)
     background = explain.sample_background(train, USAGE_COLUMNS)
-    return explain.shapley(test, USAGE_IDS, USAGE_COLUMNS, background, model.score)
+    return explain.shapley(test, USAGE_IDS, USAGE_COLUMNS, background, model.score, on_arrays=model.on_arrays())
 
 
 _LINEAR_SQL = " + ".join(f"{w} * {c}" for c, w in USAGE_WEIGHTS.items())
@@ -596,6 +597,10 @@ def linear_score(df: DataFrame) -> DataFrame:
     return df.withColumn("p", F.expr(_LINEAR_SQL))
 
 
+def linear_on_arrays(x: np.ndarray) -> np.ndarray:
+    return x @ np.array([USAGE_WEIGHTS[c] for c in USAGE_COLUMNS])
+
+
 def _usage_rows(spark, d):
     rows = stage(usage_frame(spark, d).na.drop(subset=USAGE_COLUMNS), "features")
     return rows.where(F.col("day") < "2024-01-22"), rows.where(F.col("day") >= "2024-01-22")
@@ -631,7 +636,7 @@ def xai2_efficiency(spark, d):
     """Attributions add up to the model's own score of the row less its mean score of the background."""
     train, test, model = _usage_model(spark, d)
     background = explain.sample_background(train, USAGE_COLUMNS)
-    phi = explain.shapley(test, USAGE_IDS, USAGE_COLUMNS, background, model.score)
+    phi = explain.shapley(test, USAGE_IDS, USAGE_COLUMNS, background, model.score, on_arrays=model.on_arrays())
     mean = model.score(spark.createDataFrame(background)).agg(F.sum(F.col("w") * F.col("p"))).first()[0]
     total = phi.groupBy(*USAGE_IDS).agg(F.count(F.lit(1)).alias("features"), F.sum("attribution").alias("sum"))
     own = model.score(test).select(*USAGE_IDS, "p")
@@ -652,7 +657,7 @@ def xai1_lime_linear(spark, d):
     train, test = _usage_rows(spark, d)
     scales = explain.feature_scales(train, USAGE_COLUMNS)
     out = explain.lime(
-        test, USAGE_IDS, USAGE_COLUMNS, scales, linear_score, alpha=1e-10
+        test, USAGE_IDS, USAGE_COLUMNS, scales, linear_score, alpha=1e-10, on_arrays=linear_on_arrays
     )
     return rounded(out.select(*USAGE_IDS, "feature", "weight", "local_pred"), 5)
 
@@ -691,7 +696,7 @@ def xai2_shapley_activity(spark, d):
 def xai5_importance(spark, d):
     train, test, model = _usage_model(spark, d)
     background = explain.sample_background(train, USAGE_COLUMNS)
-    phi = explain.shapley(test, USAGE_IDS, USAGE_COLUMNS, background, model.score)
+    phi = explain.shapley(test, USAGE_IDS, USAGE_COLUMNS, background, model.score, on_arrays=model.on_arrays())
     return explain.importance(phi, USAGE_IDS)
 
 
@@ -699,7 +704,7 @@ def xai5_importance(spark, d):
 def xai10_kmeans_background(spark, d):
     train, test, model = _usage_model(spark, d)
     background = explain.kmeans_background(train, USAGE_COLUMNS, 10)
-    return explain.shapley(test, USAGE_IDS, USAGE_COLUMNS, background, model.score)
+    return explain.shapley(test, USAGE_IDS, USAGE_COLUMNS, background, model.score, on_arrays=model.on_arrays())
 
 
 @query("xai1_lime")
@@ -707,7 +712,7 @@ def xai1_lime(spark, d):
     train, test, model = _usage_model(spark, d)
     return explain.lime(
         test, USAGE_IDS, USAGE_COLUMNS, explain.feature_scales(train, USAGE_COLUMNS),
-        model.score,
+        model.score, on_arrays=model.on_arrays(),
     )
 
 
@@ -716,7 +721,8 @@ def xai8_surrogate_scores(spark, d):
     """Scores of the local surrogates' predictions against the truth and against the usage model itself, per household."""
     train, test, model = _usage_model(spark, d)
     scales = explain.feature_scales(train, USAGE_COLUMNS)
-    surrogates = stage(explain.lime(test, USAGE_IDS, USAGE_COLUMNS, scales, model.score), "surrogates")
+    surrogates = explain.lime(test, USAGE_IDS, USAGE_COLUMNS, scales, model.score, on_arrays=model.on_arrays())
+    surrogates = stage(surrogates, "surrogates")
     # one row for each explained day and device
     local = surrogates.where(F.col("feature") == USAGE_COLUMNS[0]).select(*USAGE_IDS, F.col("local_pred").alias("surrogate"))
     own = model.score(test).select(*USAGE_IDS, F.col("usage").alias("label"), F.col("p").alias("model"))

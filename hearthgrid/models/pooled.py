@@ -6,6 +6,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -33,6 +34,12 @@ class Scorer:
         p = vector_to_array("probability")[1].alias(SCORE)
         return out.select(*df.columns, p)
 
+    def on_arrays(self) -> Callable[[np.ndarray], np.ndarray]:
+        """The same of rows of features, as a function that tasks can take; of a logistic model."""
+        fitted = self.model.stages[-1]
+        weights, intercept = fitted.coefficients.toArray(), float(fitted.intercept)
+        return lambda x: 1.0 / (1.0 + np.exp(-np.clip(x @ weights + intercept, -700, 700)))
+
 
 def _assembler(columns: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep")

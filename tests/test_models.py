@@ -260,3 +260,47 @@ def test_growing_index_equals_all_distances_with_less_work():
         work[days] = index.compared / days
     # a day of eight times as many days costs far less than eight times as much
     assert work[160] < 3 * work[20]
+
+
+def test_array_hashes_are_those_of_spark(spark):
+    from datetime import date
+
+    from hearthgrid.functions import hashes
+
+    texts = ["", "abc", "Dishwasher", "Washing Machine", "a text of more than thirty-two bytes, é and so on, " * 2, None]
+    rows = [(7, i - 2, 2**40 * (i - 3), t, None if i == 1 else date(2024, 1, 1 + i), at(i), i) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "s int, a int, b long, t string, d date, ts timestamp_ntz, n int").repartition(1)
+    out = df.select("*", F.xxhash64("s", "a", "b", "t", "d", "ts").alias("want")).toArrow().combine_chunks()
+    keys = [hashes.plain(out[c].combine_chunks()) for c in ("s", "a", "b", "t", "d", "ts")]
+    for i, want in enumerate(out["want"].to_pylist()):
+        state = np.array([hashes.SEED], np.uint64)
+        for values, wide in keys:
+            state = hashes.with_value(state, values[i], wide)
+        assert int(state.astype(np.int64)[0]) == want
+
+
+def test_explanations_on_arrays_equal_those_on_rows(spark, separable):
+    ids = ["household_id", "ts"]
+    model = pooled.fit("logit", separable, COLS, "y")
+    few = separable.limit(12).unionByName(separable.limit(2))  # two rows come twice
+    few = few.withColumn("household_id", F.when(F.col("household_id") != 2, F.col("household_id")))
+    background, scales = explain.sample_background(separable, COLS, 9), explain.feature_scales(separable, COLS)
+    jobs = {
+        "attribution": lambda **more: explain.shapley(few, ids, COLS, background, model.score, **more),
+        "weight": lambda **more: explain.lime(few, ids, COLS, scales, model.score, samples=300, **more),
+    }
+
+    def refused(df):
+        raise AssertionError("rows were made")
+
+    for column, job in jobs.items():
+        rest = {"attribution": ["value", "base", "prediction"], "weight": ["value", "local_pred"]}[column]
+        want, got = (
+            {(r.household_id, r.ts, r.feature): [r[c] for c in [column, *rest]] for r in df.collect()}
+            for df in (job(), job(on_arrays=model.on_arrays()))
+        )
+        assert len(got) == 24 and got.keys() == want.keys()
+        for k, v in want.items():
+            assert got[k] == pytest.approx(v, abs=1e-9)
+    explain.lime(few, ids, COLS, scales, refused, samples=30, on_arrays=model.on_arrays()).collect()
+    explain.shapley(few, ids, COLS, background, refused, on_arrays=model.on_arrays()).collect()
