@@ -19,7 +19,7 @@ from pyspark.sql import types as ST
 
 from hearthgrid.models.cells import TreeModel
 from hearthgrid.models.trees import Trees
-from hearthgrid.session import spread_out
+from hearthgrid.session import attach, spread_out, stage
 
 #: Entries (rows x leaves x path) that are worked on at once.
 AT_ONCE = 2_000_000
@@ -119,6 +119,43 @@ def by_background(paths: Paths, codes: np.ndarray, background: np.ndarray, width
     return out
 
 
+def by_weighted_background(paths: Paths, codes: np.ndarray, background: np.ndarray, weight: np.ndarray, width: int) -> np.ndarray:
+    """Attributions (row, feature): :func:`by_background` summed over the background with its weights.
+
+    A leaf sees of a row only which of its ranges the row keeps to. So each pair of such patterns, of rows and of the background, is
+    worked on once for a leaf. Where both together keep to all ranges, the background's gaps are what only the row keeps to, and the other way round.
+    """
+    out = np.zeros((len(codes), width))
+    places = paths.feature.shape[1]
+    full, share = (1 << places) - 1, pair_weights(places)
+    bit = 1 << np.arange(places)
+    step = max(1, AT_ONCE // max(1, (len(codes) + len(background)) * places, min(len(codes), full + 1) * min(len(background), full + 1)))
+    for a in range(0, len(paths.value), step):
+        part = slice(a, a + step)
+        leaf = np.arange(len(paths.value[part])) << places
+        own, row_of = np.unique(leaf + paths.kept(codes, part) @ bit, return_inverse=True)
+        theirs, other_of = np.unique(leaf + paths.kept(background, part) @ bit, return_inverse=True)
+        total = np.bincount(other_of.ravel(), np.repeat(weight, len(leaf)), len(theirs))
+        # every pattern of rows with every pattern of the background at the same leaf
+        first, last = (np.searchsorted(theirs, (own >> places) + k << places) for k in (0, 1))
+        left = np.repeat(np.arange(len(own)), last - first)
+        right = np.arange(len(left)) - np.repeat(np.cumsum(last - first) - last, last - first)
+        alive = (own[left] | theirs[right]) & full == full
+        left, right = left[alive], right[alive]
+        only_row, only_other = full - (theirs[right] & full), full - (own[left] & full)
+        m, n = (np.bitwise_count(v).astype(int) for v in (only_row, only_other))
+        value = paths.value[part][own[left] >> places] * total[right]
+        gain, loss = value * share[m, n], value * share[n, m]
+        table, feature = np.zeros((len(own), width)), paths.feature[part][own >> places]
+        for k in range(places):
+            moved = np.where(only_row & bit[k], gain, 0.0) - np.where(only_other & bit[k], loss, 0.0)
+            held = np.flatnonzero(feature[:, k] >= 0)
+            table[held, feature[held, k]] += np.bincount(left, moved, len(own))[held]
+        for i, at in enumerate(row_of.reshape(len(codes), -1)):
+            out[i] += table[at].sum(axis=0)
+    return out
+
+
 def attributions(model: TreeModel, paths: Paths, x: np.ndarray, background: list[dict], method: str, output: str):
     """Attributions (row, feature), base and prediction of rows of features."""
     codes, width = model.bins.codes(x), len(model.columns)
@@ -130,18 +167,20 @@ def attributions(model: TreeModel, paths: Paths, x: np.ndarray, background: list
         return phi, np.full(len(x), base + model.base), margin
     weight = np.array([b["w"] for b in background])
     z = np.array([[float(b[c]) for c in model.columns] for b in background])
-    every = by_background(paths, codes, model.bins.codes(z), width)
     other = model.margins(z)
-    if output == "probability":
-        # the difference of a pair's probabilities is shared as that of their margins
-        gap = margin[None] - other[:, None]
-        p, q = model.probability(margin)[None], model.probability(other)[:, None]
-        near = np.abs(gap) < 1e-9
-        slope = model.probability(other + 5e-7) - model.probability(other - 5e-7)
-        every = every * np.where(near, slope[:, None] * 1e6, (p - q) / np.where(near, 1.0, gap))[:, :, None]
-        margin, other = p[0], q[:, 0]
+    if output == "margin" or model.link == "identity":
+        # no pair of rows has a factor of its own
+        phi = by_weighted_background(paths, codes, model.bins.codes(z), weight, width)
+        return phi, np.full(len(x), float(weight @ other)), margin
+    every = by_background(paths, codes, model.bins.codes(z), width)
+    # the difference of a pair's probabilities is shared as that of their margins
+    gap = margin[None] - other[:, None]
+    p, q = model.probability(margin)[None], model.probability(other)[:, None]
+    near = np.abs(gap) < 1e-9
+    slope = model.probability(other + 5e-7) - model.probability(other - 5e-7)
+    every = every * np.where(near, slope[:, None] * 1e6, (p - q) / np.where(near, 1.0, gap))[:, :, None]
     phi = np.einsum("b,brf->rf", weight, every)
-    return phi, np.full(len(x), float(weight @ other)), margin
+    return phi, np.full(len(x), float(weight @ q[:, 0])), p[0]
 
 
 def tree_shapley(
@@ -153,33 +192,35 @@ def tree_shapley(
     With a background (rows with a weight ``w``) the values of the margin equal those over all coalitions of features; with
     ``output="probability"`` each background row's difference in probability is shared in proportion to them, which for trees whose leaves
     hold probabilities is the same. The attributions of an instance add up to prediction - base. Rows with an unknown
-    feature are left out.
+    feature are left out. Rows with the same features are explained once, and the result is joined to each of them.
     """
     if method not in ("cover", "background") or output not in ("margin", "probability"):
         raise ValueError(f"unknown method {method!r} or output {output!r}")
     paths = Paths.of(model.trees)
     names = model.columns
 
+    values = [f"_{j}" for j in range(len(names))]
+
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 rows = batch.slice(at, 64)
-                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in rows.columns[-len(names) :]])
+                x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in rows.columns])
                 phi, base, prediction = attributions(model, paths, x, background or [], method, output)
-                repeat = np.repeat(np.arange(len(x)), len(names))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        *(c.take(pa.array(repeat)) for c in rows.columns[: len(ids)]), pa.array(names * len(x)), pa.array(x.ravel()),
-                        pa.array(phi.ravel()), pa.array(base[repeat]), pa.array(prediction[repeat]),
-                    ],
-                    names=[*ids, "feature", "value", "attribution", "base", "prediction"],
+                    [*rows.columns, pa.array(phi.tolist(), pa.list_(pa.float64())), pa.array(base), pa.array(prediction)],
+                    names=[*values, "_phi", "base", "prediction"],
                 )
 
     known = instances.select(*ids, *[F.col(c).cast("double").alias(f"_{j}") for j, c in enumerate(names)])
-    known = known.na.drop(subset=[f"_{j}" for j in range(len(names))])
+    known = known.na.drop(subset=values)
     double = ST.DoubleType()
     schema = ST.StructType(
-        [known.schema[c] for c in ids] + [ST.StructField("feature", ST.StringType())]
-        + [ST.StructField(c, double) for c in ("value", "attribution", "base", "prediction")]
+        [ST.StructField(c, double) for c in values] + [ST.StructField("_phi", ST.ArrayType(double))]
+        + [ST.StructField(c, double) for c in ("base", "prediction")]
     )
-    return spread_out(known, ids).mapInArrow(run, schema)
+    explained = stage(spread_out(known.select(*values).distinct(), values).mapInArrow(run, schema), "explained-cells")
+    parts = [F.struct(F.lit(c).alias("feature"), F.col(f"_{j}").alias("value"), F.col("_phi")[j].alias("attribution")) for j, c in enumerate(names)]
+    return attach(known, explained, values).select(*ids, "base", "prediction", F.inline(F.array(*parts))).select(
+        *ids, "feature", "value", "attribution", "base", "prediction"
+    )

@@ -332,3 +332,31 @@ def test_line_steps_equal_a_search_of_both_levels():
     for width in (1, 2, 9):
         want = [tree(a, b, 2) for a, b in zip(g[:, :width], h[:, :width])]
         assert additive.line_steps(g[:, :width], h[:, :width]) == pytest.approx(np.array(want))
+
+
+def test_patterns_of_leaves_equal_single_pairs():
+    x, y = sample(400, 7)
+    bins, codes, _, n, ones = counted(x, y)
+    paths = attributions.Paths.of(T.forest(codes, bins.sizes, n, ones, 6, 20)[0])
+    rows, other = bins.codes(sample(30, 8)[0]), bins.codes(sample(50, 9)[0])
+    weight = np.arange(1, 51) / 1275
+    want = np.einsum("b,brf->rf", weight, attributions.by_background(paths, rows, other, 3))
+    assert attributions.by_weighted_background(paths, rows, other, weight, 3) == pytest.approx(want, abs=1e-9)
+
+
+def test_equal_rows_are_explained_once(frame, monkeypatch, tmp_path):
+    model = cells.fit_forest(frame, COLS, "y", 3, 5)
+    few = frame.limit(10)
+    many = few.crossJoin(frame.sparkSession.range(200).withColumnRenamed("id", "k"))
+    found = attributions.attributions
+
+    def noted(model, paths, x, *rest):
+        with open(tmp_path / "rows", "a") as f:
+            f.write(f"{len(x)}\n")
+        return found(model, paths, x, *rest)
+
+    monkeypatch.setattr(attributions, "attributions", noted)
+    out = attributions.tree_shapley(many, ["household_id", "ts", "k"], model, background_of(frame))
+    assert out.count() == 10 * 200 * 3
+    one = attributions.tree_shapley(few, ["household_id", "ts"], model, background_of(frame))
+    assert one.count() == 30 and one.exceptAll(out.where("k = 7").drop("k")).count() == 0
