@@ -360,3 +360,69 @@ def test_equal_rows_are_explained_once(frame, monkeypatch, tmp_path):
     assert out.count() == 10 * 200 * 3
     one = attributions.tree_shapley(few, ["household_id", "ts"], model, background_of(frame))
     assert one.count() == 30 and one.exceptAll(out.where("k = 7").drop("k")).count() == 0
+
+
+def naive_forest(codes, sizes, ones, n, depth, per_node, number):
+    """Share of ones of the leaf of each cell in one tree, with the splits searched node by node."""
+    out = np.zeros(len(codes))
+
+    def split(at, level, path):
+        out[at] = ones[at].sum() / max(n[at].sum(), 1)
+        live = at[n[at] > 0]
+        can = [f for f in range(len(sizes)) if len(set(codes[live, f])) > 1]
+        if level == depth or not can:
+            return
+        priority = T.uniform(np.array([number]), np.array([path], np.uint64), len(sizes))[0]
+        q = lambda v: ones[v].sum() ** 2 / n[v].sum()
+        best = (1e-9, None, None)
+        for f in sorted(sorted(can, key=lambda f: priority[f])[:per_node]):
+            for c in range(sizes[f] - 1):
+                left, right = live[codes[live, f] <= c], live[codes[live, f] > c]
+                if len(left) and len(right) and q(left) + q(right) - q(live) > best[0] + 1e-12:
+                    best = (q(left) + q(right) - q(live), f, c)
+        if best[1] is not None:
+            upper = codes[at, best[1]] > best[2]
+            split(at[~upper], level + 1, 2 * path)
+            split(at[upper], level + 1, 2 * path + 1)
+
+    split(np.arange(len(codes)), 0, 1)
+    return out
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_drawn_trees_equal_a_search_node_by_node(monkeypatch, packed):
+    if not packed:
+        monkeypatch.setattr(T, "PACKED", 2)
+    monkeypatch.setattr(T, "DRAWN_AT_ONCE", 700)  # some trees at a time
+    x, y = sample(250, 11)
+    x = np.column_stack([x, np.arange(250) % 70, np.zeros(250)])  # more bins than a word has bits, and one bin
+    bins, codes, _, n, ones = counted(x, y)
+    rng = np.random.default_rng(0)
+    n = np.array([rng.poisson(n) for _ in range(8)])
+    n[5] = 0  # a tree without rows
+    ones = np.minimum(n, np.array([rng.poisson(ones) for _ in range(8)]))
+    for depth in (1, 7):
+        trees, node = T.grow_drawn(codes, bins.sizes, ones, n, depth, 2, np.arange(8) + 3)
+        for t in range(8):
+            want = naive_forest(codes, bins.sizes, ones[t].astype(float), n[t].astype(float), depth, 2, t + 3)
+            assert trees.value[node[t]] == pytest.approx(want, abs=1e-12)
+        assert np.array_equal(trees.upto(codes, 7), node)
+
+
+def test_first_levels_are_the_shallower_forest():
+    x, y = sample(300)
+    bins, codes, _, n, ones = counted(x, y)
+    deep, _ = T.forest(codes, bins.sizes, n, ones, 12, 15)
+    flat, node = T.forest(codes, bins.sizes, n, ones, 4, 15)
+    assert np.array_equal(deep.value[deep.upto(codes, 4)], flat.value[node])
+    assert sum(f.startswith("random forest") for f in search.FAMILIES) == 2
+
+
+def test_histograms_are_made_of_open_nodes_only(monkeypatch):
+    x, y = sample(300)
+    bins, codes, _, n, ones = counted(x, y)
+    seen, best = [], T.best_splits
+    monkeypatch.setattr(T, "best_splits", lambda g, h, *a: seen.append(h) or best(g, h, *a))
+    T.boost(codes, bins.sizes, n[None], ones[None], 4, 5)
+    first = int(bins.sizes[0])
+    assert seen and min(h[:, :first].sum(axis=1).min() for h in seen) >= 2 - 1e-6 and len(seen) <= 4 * 5
